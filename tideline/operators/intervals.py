@@ -145,3 +145,12 @@ class Intervals:
     def totals(self) -> DataFrame:
         """key, bucket, total_ms: time inside any interval, per bucket that has some."""
         return self.pieces.groupBy("key", "bucket").agg(F.sum(F.col("e") - F.col("s")).alias("total_ms"))
+
+
+def common(a: Intervals, b: Intervals) -> DataFrame:
+    """key, start_ms, end_ms: time that both hold. Pieces meet inside their bucket; touching ones are joined again."""
+    if a.bucket_ms != b.bucket_ms:
+        raise ValueError("both need the same buckets")
+    left, right = a.pieces.select("key", "bucket", "s", "e"), b.pieces.select("key", "bucket", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    met = left.join(right, ["key", "bucket"]).where("s < e2 and s2 < e").select("key", F.greatest("s", "s2").alias("s"), F.least("e", "e2").alias("e"))
+    return Intervals(met, "key", "s", "e", a.bucket_ms).periods().select("key", "start_ms", "end_ms")
