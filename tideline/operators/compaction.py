@@ -9,7 +9,7 @@
 4. Row count, sum and xor of row hashes per day must agree: source = files + dropped. Otherwise the call fails.
 
 Segments listed twice count once; open segments count like closed ones; segments without records and records
-without a segment make no output (the latter are counted in the report's ``orphans``). Null keys are values.
+without a segment make no output. Null keys and record numbers are values.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tideline.functions.hashing import row_hash
 from tideline.functions.hilbert import grid, hilbert2
@@ -27,6 +28,9 @@ from tideline.session import shared_path, written
 from tideline.sources.messages import canonical_json, event_time
 
 GROUP = ["coin", "channel", "day"]
+RECORD = ["path", "record_no", "recv_ms", "conn_ms", "raw"]
+IDENTITY = ["path", "row_hash"]
+FILES_PER_TASK = 32
 
 
 def distinct_segments(segments: DataFrame) -> DataFrame:
@@ -52,34 +56,38 @@ class Compaction:
 
 
 class SegmentCompactor:
+    """Decisions are made on narrow rows of hashes, times and sizes; the messages themselves move twice, at the end."""
+
     def __init__(self, segments: DataFrame, records: DataFrame, target_bytes: int = 128 << 20, bits: int = 8):
         self.segments, self.target_bytes, self.bits = distinct_segments(segments), target_bytes, bits
-        self.records = records.select("path", "record_no", "recv_ms", "conn_ms", "raw")
-
-    def source(self) -> DataFrame:
-        """Records with their segment's coin, channel, day, hour and order."""
-        return self.records.join(self.segments.drop("closed").withColumn("day", utc_day("hour_ms")), "path")
-
-    def repeats(self) -> DataFrame:
+        records = records.select(*RECORD)
+        self.records = records.where("path is not null").withColumn("row_hash", row_hash(records, RECORD))
+
+    def keyed(self) -> DataFrame:
+        """One narrow row per record: its segment's coin, channel, day, hour and order; value hashes; event time; size."""
+        equal = [F.col("conn_ms"), F.col("recv_ms"), canonical_json("raw")]
+        parts = [p for c in equal for p in (c.isNull(), c)]
+        narrow = self.records.select(
+            "path", "record_no", "recv_ms", "row_hash", F.xxhash64(*parts).alias("v1"), F.xxhash64(F.lit(1), *parts).alias("v2"),
+            event_time("raw", F.lit("trades")).alias("first_item_ms"), event_time("raw", F.lit("")).alias("data_ms"),
+            (F.coalesce(F.octet_length("raw"), F.lit(0)) + 32).alias("weight"),
+        )
+        event = F.coalesce(F.when(F.col("channel") == "trades", F.col("first_item_ms")).otherwise(F.col("data_ms")), F.col("recv_ms"))
+        of = self.segments.drop("closed").withColumn("day", utc_day("hour_ms"))
+        return narrow.join(of, "path").withColumn("event_ms", event).drop("first_item_ms", "data_ms")
+
+    def repeats(self, keyed: DataFrame) -> DataFrame:
         """Records equal to one of an earlier segment of the same coin and channel."""
-        value = canonical_json("raw")
-        same_as = [F.col("coin"), F.col("channel"), F.col("conn_ms"), F.col("recv_ms"), value]
-        parts = [p for c in same_as for p in (c.isNull(), c)]
-        names = ["path", "record_no", "recv_ms", "conn_ms", "raw"]
-        keyed = written(
-            self.source().select(*GROUP, "hour_ms", "opened_ms", "path", "record_no", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"), row_hash(self.records, names).alias("row_hash")),
-            "record-keys",
-        )
         rank = F.struct("opened_ms", "path")
-        several = keyed.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last").drop("last")
-        return keyed.join(several, ["h1", "h2"]).where(rank > F.col("first")).select(*GROUP, "hour_ms", "path", "record_no", "row_hash")
+        of = [F.coalesce("coin", F.lit("")), F.coalesce("channel", F.lit("")), F.col("coin").isNull(), F.col("channel").isNull()]
+        rows = keyed.withColumn("stream", F.xxhash64(*of))
+        several = rows.groupBy("stream", "v1", "v2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last").drop("last")
+        return rows.join(several, ["stream", "v1", "v2"]).where(rank > F.col("first")).select(*GROUP, "hour_ms", "path", "record_no", "row_hash")
 
     def coded(self, rows: DataFrame) -> DataFrame:
         low, high = day_start("day") - DAY_MS, day_start("day") + 2 * DAY_MS
-        at = lambda c: grid(c, low, high, self.bits)
-        event = F.coalesce(event_time("raw", "channel"), F.col("recv_ms"))
-        names = ["path", "record_no", "recv_ms", "conn_ms", "raw"]
-        return rows.withColumn("code", hilbert2(at(F.col("recv_ms")), at(event), self.bits)).withColumn("row_hash", row_hash(rows, names)).withColumn("weight", F.coalesce(F.octet_length("raw"), F.lit(0)) + 32)
+        at = lambda c: grid(F.col(c), low, high, self.bits)
+        return rows.select(*GROUP, "hour_ms", "path", "record_no", "row_hash", "weight", hilbert2(at("recv_ms"), at("event_ms"), self.bits).alias("code"))
 
     def ranges(self, coded: DataFrame) -> DataFrame:
         """Exact histogram of bytes per code, with the place of each code in its day and the day's number of files."""
@@ -104,37 +112,37 @@ class SegmentCompactor:
         """Writes the files and checks them. Eager."""
         spark = self.records.sparkSession
         location = location or shared_path(spark, "compacted")
-        dropped = written(self.repeats(), "repeats")
-        source = self.source()
-        kept = self.coded(source.join(dropped.select("path", "record_no"), ["path", "record_no"], "left_anti"))
-        ranges = written(self.ranges(kept), "ranges")
+        keyed = written(self.keyed(), "record-keys")
+        dropped = written(self.repeats(keyed), "repeats")
+        coded = self.coded(keyed.join(dropped.select(*IDENTITY), IDENTITY, "left_anti"))
+        ranges = written(self.ranges(coded), "ranges")
         n_files = ranges.groupBy(*GROUP).agg(F.max("n_files").alias("n")).agg(F.sum("n")).first()[0] or 0
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_files, 20_000) // 8)
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_files // FILES_PER_TASK, 20_000))
         spread = F.pmod(F.xxhash64(*GROUP) + F.col("file_no"), F.lit(tasks)).cast("int")  # a day's files go to different tasks
+        places = self.placed(coded, ranges).select(*GROUP, "hour_ms", *IDENTITY, "code", "file_no").distinct()
         (
-            self.placed(kept, ranges)
+            self.records.join(places, IDENTITY)
             .repartitionById(tasks, spread)
             .sortWithinPartitions(*GROUP, "file_no", "code", "recv_ms", "path", "record_no")
-            .select(*GROUP, "hour_ms", "path", "record_no", "recv_ms", "conn_ms", "raw")
+            .select(*GROUP, "hour_ms", *RECORD)
             .write.option("compression", "zstd")
             .partitionBy(*GROUP)
             .parquet(location)
         )
-        kept_schema = source.select("hour_ms", "path", "record_no", "recv_ms", "conn_ms", "raw", *GROUP).schema
-        files = spark.read.schema(kept_schema).parquet(location)
-        digests = written(self._digests(source, files, dropped), "digests")
+        kinds = {f.name: f for f in (*self.records.schema, *keyed.schema)}
+        files = spark.read.schema(StructType([kinds[n] for n in ("hour_ms", *RECORD, *GROUP)])).parquet(location)
+        digests = written(self._digests(keyed, files, dropped), "digests")
         bad = digests.where("not ok").limit(5).collect()
         if bad:
             raise RuntimeError(f"source and destination differ: {bad}")
         return Compaction(files, dropped, digests, location)
 
     def _digests(self, source: DataFrame, files: DataFrame, dropped: DataFrame) -> DataFrame:
-        names = ["path", "record_no", "recv_ms", "conn_ms", "raw"]
         part = lambda df, side, h, f: df.select(*GROUP, F.lit(side).alias("side"), h.alias("h"), f.alias("f"))
         none = F.lit(None).cast("string")
         rows = (
-            part(source, "source", row_hash(source, names), none)
-            .unionByName(part(files, "written", row_hash(files, names), F.input_file_name()))
+            part(source, "source", F.col("row_hash"), none)
+            .unionByName(part(files, "written", row_hash(files, RECORD), F.input_file_name()))
             .unionByName(part(dropped, "dropped", F.col("row_hash"), none))
         )
         of = lambda s, x: F.when(F.col("side") == s, x)
