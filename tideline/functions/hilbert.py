@@ -10,7 +10,8 @@ def grid(x: Column, low: Column, high: Column, bits: int) -> Column:
     """The cell of ``x`` among 2**bits equal cells of [low, high); values outside go to the end cells, null to cell 0."""
     cells = 1 << bits
     cell = F.floor((x - low).cast("double") * cells / (high - low).cast("double"))
-    return F.coalesce(F.greatest(F.lit(0).cast("long"), F.least(F.lit(cells - 1).cast("long"), cell)), F.lit(0).cast("long"))
+    low_end, high_end = F.lit(0).cast("long"), F.lit(cells - 1).cast("long")
+    return F.when(cell.isNull(), low_end).otherwise(F.greatest(low_end, F.least(high_end, cell)))
 
 
 def hilbert2(x: Column, y: Column, bits: int) -> Column:

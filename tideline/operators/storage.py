@@ -61,19 +61,19 @@ def in_spans(instant: str, spans: Sequence[tuple[int, int]]) -> Column:
 
 
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Columns of both, and ``n``: how many more copies of a row left has (positive) or right has (negative).
+    """Columns of both, and ``n_more``: how many more copies of a row left has (positive) or right has (negative).
 
     NaN equals NaN, -0.0 equals 0.0, null equals null. One aggregate, with map-side combine, for both directions.
     """
     cols = left.columns
     flat = lambda df, n: df.select(*(canonical(df, c).alias(c) for c in cols), F.lit(n).alias("n_"))
-    return flat(left, 1).unionByName(flat(right, -1)).groupBy(*cols).agg(F.sum("n_").alias("n")).where("n != 0")
+    return flat(left, 1).unionByName(flat(right, -1)).groupBy(*cols).agg(F.sum("n_").alias("n_more")).where("n_more != 0")
 
 
 def copies(diff: DataFrame, positive: bool) -> DataFrame:
     """The rows of one direction of ``multiset_difference``, each as often as it is missing."""
-    n = F.col("n") if positive else -F.col("n")
-    return diff.where(n > 0).withColumn("copy_", F.explode(F.sequence(F.lit(1), n.cast("int")))).drop("n", "copy_")
+    n = F.col("n_more") if positive else -F.col("n_more")
+    return diff.where(n > 0).withColumn("copy_", F.explode(F.sequence(F.lit(1), n.cast("int")))).drop("n_more", "copy_")
 
 
 def change_log(old: DataFrame, new: DataFrame, pair: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
@@ -85,9 +85,9 @@ def change_log(old: DataFrame, new: DataFrame, pair: Sequence[str], skip: Sequen
     cols = [c for c in old.columns if c not in skip]
     diff = multiset_difference(old.select(*cols), new.select(*cols))
     order = W.partitionBy(*pair).orderBy(*(F.col(c).asc_nulls_last() for c in cols if c not in pair))
-    side = lambda p, tag: copies(diff, p).withColumn("k", F.row_number().over(order)).select(*(F.col(c).alias(f"{tag}_{c}") for c in [*cols, "k"]))
+    side = lambda p, tag: copies(diff, p).withColumn("k_", F.row_number().over(order)).select(*(F.col(c).alias(f"{tag}_{c}") for c in [*cols, "k_"]))
     o, n = side(True, "o"), side(False, "n")
-    on = F.col("o_k") == F.col("n_k")
+    on = F.col("o_k_") == F.col("n_k_")
     for c in pair:
         on &= F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}"))
     both = o.join(n, on, "full_outer")
@@ -96,7 +96,7 @@ def change_log(old: DataFrame, new: DataFrame, pair: Sequence[str], skip: Sequen
     none = F.lit(None)
     changed = [F.when(~F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}")), field(c, F.col(f"o_{c}"), F.col(f"n_{c}"))) for c in cols if c not in pair]
     removed, added = F.array(field("row_removed", text("o"), none)), F.array(field("row_added", none, text("n")))
-    found = F.when(F.col("n_k").isNull(), removed).when(F.col("o_k").isNull(), added).otherwise(F.filter(F.array(*changed), lambda x: x.isNotNull()))
+    found = F.when(F.col("n_k_").isNull(), removed).when(F.col("o_k_").isNull(), added).otherwise(F.filter(F.array(*changed), lambda x: x.isNotNull()))
     keys = [F.coalesce(f"o_{c}", f"n_{c}").alias(c) for c in pair]
     return both.select(*keys, F.explode(found).alias("x")).select(*pair, "x.*")
 

@@ -438,7 +438,7 @@ _EDGE = "(SELECT s.* EXCLUDE (snapshot_ms, seq) FROM fill_snapshots s JOIN (SELE
 SELECT batch_id, address, coin, time_ms, px, sz, side, start_position, closed_pnl, fee, tid, sum(n)::BIGINT n FROM x GROUP BY ALL HAVING sum(n) <> 0""")
 def multiset_diff(spark: SparkSession, d: str) -> DataFrame:
     """Rows that the first delivery of a batch has more or less often than its last."""
-    return multiset_difference(*_deliveries(spark, d))
+    return multiset_difference(*_deliveries(spark, d)).withColumnRenamed("n_more", "n")
 
 
 _REST = ", ".join(f"{c} NULLS LAST" for c in _SNAP if c not in ("time_ms", "tid"))
