@@ -93,7 +93,8 @@ class Contamination:
             for b in batches:
                 found = {(t, i) for t, _, items in g.hits([words(x) for x in b["text"]]) for i in items}
                 ids = b["doc_id"].to_numpy()
-                yield pd.DataFrame({"doc_id": [ids[t] for t, _ in found], "item_id": [i for _, i in found]})
+                if found:
+                    yield pd.DataFrame({"doc_id": [ids[t] for t, _ in found], "item_id": [i for _, i in found]})
 
         kind = dict(rows.dtypes)["doc_id"]
         return rows.mapInPandas(scan, f"doc_id {kind}, item_id long").distinct()
@@ -105,7 +106,8 @@ class Contamination:
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for b in batches:
                     got = [(k, r) for k, t in zip(b[key], b.iloc[:, 1]) for w in [words(t)] for r in {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}]
-                    yield pd.DataFrame({key: [k for k, _ in got], "run": [r for _, r in got]})
+                    if got:
+                        yield pd.DataFrame({key: [k for k, _ in got], "run": [r for _, r in got]})
 
             return run
 
@@ -138,7 +140,8 @@ class Contamination:
                         else:
                             out.append((ids[t], at[run[0]][0], at[run[1] - 1][1], run[1] - run[0]))
                             run = [k, (k or 0) + g.n]
-                yield pd.DataFrame(out, columns=["doc_id", "start", "end", "n_words"])
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "start", "end", "n_words"])
 
         kind = dict(rows.dtypes)["doc_id"]
         return rows.mapInPandas(scan, f"doc_id {kind}, start long, end long, n_words long")

@@ -19,22 +19,22 @@ from tideline.functions.timeops import floor_div
 
 
 def ticks(right: DataFrame, entity: str, time: str, width: int) -> DataFrame:
-    """entity_, tick_, before, after, inside: per entity and tick, what may be nearest to an instant of the tick."""
+    """entity_, tick_, before_, after_, inside_: per entity and tick, what may be nearest to an instant of the tick."""
     rows = right.select(F.col(entity).alias("entity_"), F.col(time).cast("long").alias("t")).where("entity_ is not null and t is not null")
     own = rows.groupBy("entity_", floor_div("t", width).alias("tick")).agg(F.array_sort(F.collect_set("t")).alias("ts"))
     far = F.lit(None).cast("long")
     none = F.lit(None).cast("array<long>")
     spread = F.explode(
         F.array(
-            F.struct(F.col("tick").alias("tick_"), far.alias("before"), far.alias("after"), F.col("ts").alias("inside")),
-            F.struct((F.col("tick") + 1).alias("tick_"), F.element_at("ts", -1).alias("before"), far.alias("after"), none.alias("inside")),
-            F.struct((F.col("tick") - 1).alias("tick_"), far.alias("before"), F.element_at("ts", 1).alias("after"), none.alias("inside")),
+            F.struct(F.col("tick").alias("tick_"), far.alias("before_"), far.alias("after_"), F.col("ts").alias("inside_")),
+            F.struct((F.col("tick") + 1).alias("tick_"), F.element_at("ts", -1).alias("before_"), far.alias("after_"), none.alias("inside_")),
+            F.struct((F.col("tick") - 1).alias("tick_"), far.alias("before_"), F.element_at("ts", 1).alias("after_"), none.alias("inside_")),
         )
     )
     return (
         own.select("entity_", spread.alias("x"))
         .groupBy("entity_", F.col("x.tick_").alias("tick_"))
-        .agg(F.max("x.before").alias("before"), F.min("x.after").alias("after"), F.first("x.inside", ignorenulls=True).alias("inside"))
+        .agg(F.max("x.before_").alias("before_"), F.min("x.after_").alias("after_"), F.first("x.inside_", ignorenulls=True).alias("inside_"))
     )
 
 
@@ -44,8 +44,8 @@ def nearest(left: DataFrame, right: DataFrame, left_entity: str, left_time: str,
     rows = left.where(F.col(left_entity).isNotNull() & F.col(left_time).isNotNull())
     t = F.col(left_time).cast("long")
     joined = rows.withColumn("tick_of_left_", floor_div(t, tolerance_ms)).join(served, (F.col(left_entity) == F.col("entity_")) & (F.col("tick_of_left_") == F.col("tick_")))
-    before = F.greatest("before", F.array_max(F.filter("inside", lambda x: x <= t)))
-    after = F.least("after", F.array_min(F.filter("inside", lambda x: x >= t)))
+    before = F.greatest("before_", F.array_max(F.filter("inside_", lambda x: x <= t)))
+    after = F.least("after_", F.array_min(F.filter("inside_", lambda x: x >= t)))
     back, ahead = t - F.col("b_"), F.col("a_") - t
     best = F.when((back <= ahead) | ahead.isNull(), F.col("b_")).otherwise(F.col("a_"))
     return joined.withColumn("b_", before).withColumn("a_", after).withColumn(out, best).where(F.abs(F.col(out) - t) <= tolerance_ms).select(*left.columns, out)

@@ -37,12 +37,9 @@ def thin(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int, eps: float) -> n
 
 
 def reached(lo: np.ndarray, hi: np.ndarray) -> int:
-    """Greatest distance of any rank from the rank interval of the best value, rounded up: 0 if every rank is known."""
-    if not len(lo):
-        return 0
-    widest = int((hi - lo).max())
+    """Greatest rank error of the best value, for any rank: half the widest span from one value's least rank to the next one's greatest."""
     gap = int((hi[1:] - lo[:-1]).max()) if len(lo) > 1 else 0
-    return max(widest, -(-gap // 2) if gap > 1 else 0)
+    return -(-gap // 2) if gap > 1 else 0
 
 
 def merge(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], eps: float) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:

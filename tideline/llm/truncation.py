@@ -78,7 +78,8 @@ def ending(text: str | None) -> int:
             block.append(line)
         before = "\n".join(lines[: -len(block)]).rstrip()
         return WHOLE if _STOP.search(last) or before.endswith("\\end{document}") else CUT if len(block) > 1 else UNSURE
-    if _MARK.search(s):
+    last = _COMMENT.sub("", last).rstrip() or last  # a note behind the text
+    if _MARK.search(last):
         return MARKED
     if _STOP.search(last) or _DISPLAY_END.search(last):
         return WHOLE
