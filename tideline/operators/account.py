@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.timeops import DAY_MS
+from tideline.functions.timeops import DAY_MS, floor_div
 from tideline.operators.ordered import Runs
+from tideline.operators.stats import level_changes, step_levels, weighted_percentile
+from tideline.session import written
 
 #: Relative slack of positions, and the kinds that have positions.
 SLACK = 1e-9
@@ -161,6 +163,47 @@ def pnl_divergence(parts_: DataFrame, episodes_: DataFrame) -> DataFrame:
     return rows.where("not unknown").select(*KEYS, "episode", (gap / F.col("traded_notional") * 1e4).alias("divergence_bps"))
 
 
+def facts(fills: DataFrame, start_ms: int, end_ms: int, default_lot: float = 0.01, tolerance_bps: float = 10.0) -> DataFrame:
+    """One row of measures per account over [start, end): fills, breaks, episodes, durations, shares, open coins, results.
+
+    Steps and parts are made once, as tables; every measure is an aggregate over all accounts at once.
+    """
+    inside = fills.where((F.col("time_ms") >= start_ms) & (F.col("time_ms") < end_ms))
+    steps_ = written(steps(inside, default_lot=default_lot), "steps")
+    parts_ = written(parts(steps_), "parts")
+    episodes_ = written(episodes(parts_), "episodes")
+    notional = F.coalesce(F.abs("sz") * F.col("px"), F.lit(0.0))
+    base = inside.groupBy("address").agg(
+        F.count(F.lit(1)).alias("n_fills"), F.sum(notional).alias("notional"), F.sum(F.when(F.col("kind") == LOT_KIND, notional).otherwise(0.0)).alias("perp_notional"),
+        F.count(F.when(F.lower("liquidated_user") == F.lower("address"), 1)).alias("liquidated_fills"),
+    )
+    broken = steps_.groupBy("address").agg(F.count(F.when(F.col("broke"), 1)).alias("n_breaks"))
+    flat = F.col("opened_from_flat")
+    opened = F.sum(F.when(flat, F.col("opening_notional")))
+    runs = episodes_.groupBy("address").agg(
+        F.count(F.when(flat & F.col("closed").isNotNull(), 1)).alias("closed_episodes"),
+        F.median(F.when(flat, F.col("closed") - F.col("opened"))).alias("median_duration_ms"),
+        F.when(opened > 0, F.sum(F.when(flat, F.col("opening_taker_notional"))) / opened).alias("taker_share"),
+        F.countDistinct(F.when(flat, floor_div(F.col("opened") - start_ms, 7 * DAY_MS))).alias("active_blocks"),
+    )
+    off = pnl_divergence(parts_, episodes_).groupBy("address").agg(F.max("divergence_bps").alias("max_divergence_bps"), F.count(F.when(F.col("divergence_bps") > tolerance_bps, 1)).alias("n_violations"))
+    is_open = lambda c: (F.col(c) != 0).cast("long")
+    changes = level_changes(events(steps_), ["address"], "coin", "t", [], is_open("prev_position"), is_open("position"), start_ms)
+    open_ = weighted_percentile(step_levels(changes, ["address"], "t", "delta", start_ms, end_ms), ["address"], "level", "weight", 50, "median_open").drop("weight")
+    out = base
+    for more in (ignored(inside), broken, runs, off, open_):
+        out = out.join(more, "address", "left")
+    return out
+
+
+def exposure(steps_: DataFrame, start_ms: int, end_ms: int, pct: int = 95) -> DataFrame:
+    """address, exposure, hours: time-weighted percentile of the sum of |position| * price over time in position, in whole cents."""
+    cents = lambda c: F.floor(F.abs(F.col(c)) * F.col("px") * 100 + 0.5).cast("long")
+    changes = level_changes(steps_, ["address"], "coin", "time_ms", ["seq"], cents("before"), cents("after"), start_ms)
+    found = weighted_percentile(step_levels(changes, ["address"], "t", "delta", start_ms, end_ms), ["address"], "level", "weight", pct, "cents")
+    return found.select("address", (F.col("cents") / 100).alias("exposure"), (F.col("weight") / 3_600_000).alias("hours"))
+
+
 def lots_from_meta(meta: DataFrame) -> DataFrame:
     """coin, lot: 10 to the minus sz_decimals."""
     return meta.select("coin", F.pow(F.lit(10.0), -F.col("sz_decimals")).alias("lot"))

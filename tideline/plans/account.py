@@ -51,9 +51,9 @@ def continuity_breaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_STEPS} SELECT address, coin, kind, time_ms AS t, arg_min(bf, seq) prev_position, arg_max(af, seq) AS position, bool_or(bf = 0 OR af = 0 OR bf * af < 0) touched_zero, arg_max(px, seq) px,
- round(sum(sz * px), 4) notional, bool_or(broke) unobserved, count(*)::BIGINT n_fills FROM s GROUP BY ALL""")
+ round(sum(sz * px), 8) notional, bool_or(broke) unobserved, count(*)::BIGINT n_fills FROM s GROUP BY ALL""")
 def leader_events(spark: SparkSession, d: str) -> DataFrame:
-    return acc.events(_steps(spark, d)).withColumn("notional", F.round("notional", 4))
+    return acc.events(_steps(spark, d)).withColumn("notional", F.round("notional", 8))
 
 
 _TWAP = f"""SELECT k.*, EXISTS (SELECT 1 FROM u WHERE u.address = k.address AND u.coin = k.coin AND u.twap_id IS NOT NULL AND u.time_ms BETWEEN k.prev_t - {NEIGHBOURHOOD_MS} AND k.t + {NEIGHBOURHOOD_MS}) has_twap
@@ -100,10 +100,10 @@ ep AS (SELECT address, coin, kind, episode, opened, coalesce(ended, CASE WHEN nf
 """
 
 
-@query(f"""WITH {_PARTS} SELECT address, coin, episode, opened, closed, side, opened_from_flat, broken, round(traded, 4) traded_notional, round(op, 4) opening_notional, round(tk, 4) opening_taker_notional, n_fills FROM ep""")
+@query(f"""WITH {_PARTS} SELECT address, coin, episode, opened, closed, side, opened_from_flat, broken, round(traded, 8) traded_notional, round(op, 8) opening_notional, round(tk, 8) opening_taker_notional, n_fills FROM ep""")
 def episodes(spark: SparkSession, d: str) -> DataFrame:
     e = acc.episodes(acc.parts(_steps(spark, d)))
-    rounded = [F.round(c, 4).alias(c) for c in ("traded_notional", "opening_notional", "opening_taker_notional")]
+    rounded = [F.round(c, 8).alias(c) for c in ("traded_notional", "opening_notional", "opening_taker_notional")]
     return e.select("address", "coin", "episode", "opened", "closed", "side", "opened_from_flat", "broken", *rounded, "n_fills")
 
 
@@ -156,9 +156,15 @@ ch AS (SELECT address, {START} t, fr delta FROM d WHERE rn = 1 UNION ALL SELECT
 {_LEVELS} SELECT address, min(lv)::BIGINT p95_cents, max(tot)::BIGINT weight FROM k WHERE cum * 100 >= tot * 95 GROUP BY address""")
 def exposure_steps(spark: SparkSession, d: str) -> DataFrame:
     """95th percentile over time in position of each account's exposure, in whole cents so that sums are exact."""
-    cents = lambda c: F.floor(F.abs(F.col(c)) * F.col("px") * 100 + 0.5).cast("long")
-    changes = level_changes(_steps(spark, d), ["address"], "coin", "time_ms", ["seq"], cents("before"), cents("after"), START)
-    return weighted_percentile(step_levels(changes, ["address"], "t", "delta", START, END), ["address"], "level", "weight", 95, "p95_cents")
+    e = acc.exposure(_steps(spark, d), START, END)
+    return e.select("address", F.round(F.col("exposure") * 100).cast("long").alias("p95_cents"), F.round(F.col("hours") * 3_600_000).cast("long").alias("weight"))
+
+
+@query()
+def account_measures(spark: SparkSession, d: str) -> DataFrame:
+    """All measures of all accounts in one table."""
+    f = acc.facts(read(spark, d, "fills").where("address is not null"), START, END)
+    return f.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in f.dtypes))
 
 
 @query(f"""WITH {_STEPS} SELECT kind, count(expected)::BIGINT pairs, count(CASE WHEN broke THEN 1 END)::BIGINT breaks, count(CASE WHEN broke AND time_ms = prev_t THEN 1 END)::BIGINT same_ms FROM s GROUP BY kind""")

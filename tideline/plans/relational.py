@@ -497,11 +497,17 @@ def running_volume(spark: SparkSession, d: str) -> DataFrame:
     return Runs(rows, ["coin"], "time_ms", ["tid", "sz"]).previous(["time_ms"]).select("coin", "time_ms", "tid", "volume", "prev_time_ms")
 
 
-@query()
+_NOW = 15708 * D - D // 2
+
+
+@query(f"""WITH {_MERGE.format(n='o', c='true')}, w AS (SELECT coin, min(time_ms) since FROM trades WHERE time_ms IS NOT NULL GROUP BY coin HAVING min(time_ms) <= {_NOW}),
+d AS (SELECT coin, since, unnest(range(since // {D}, {_NOW} // {D} + 1)) AS day FROM w),
+x AS (SELECT *, day * {D} a, least((day + 1) * {D}, {_NOW}) b FROM d WHERE least((day + 1) * {D}, {_NOW}) > day * {D})
+SELECT x.coin, x.day, coalesce((SELECT sum(greatest(0, least(o.e, x.b) - greatest(o.s, x.a))) FROM o WHERE o.coin = x.coin AND o.s < x.b AND o.e > x.a), 0)::BIGINT gap_ms, greatest(0, since - a)::BIGINT unrecorded_ms, (b - a)::BIGINT observed_ms, (day + 1) * {D} <= {_NOW} AS complete FROM x""")
 def coverage_days(spark: SparkSession, d: str) -> DataFrame:
     """Each coin's days since its first trade: outage, unrecorded and observed time; the present moment is a parameter."""
     since = read(spark, d, "trades").where("time_ms is not null").groupBy("coin").agg(F.min("time_ms").alias("since_ms"))
-    return day_coverage(Intervals(read(spark, d, "gaps"), "coin", "start_ms", "end_ms"), since, 15708 * D - D // 2)
+    return day_coverage(Intervals(read(spark, d, "gaps"), "coin", "start_ms", "end_ms"), since.where(F.col("since_ms") <= _NOW), _NOW)
 
 
 @query("SELECT coin, day FROM (SELECT coin, day, row_number() OVER (PARTITION BY coin ORDER BY day) k FROM (SELECT DISTINCT coin, day FROM day_coverage WHERE complete AND (observed_ms - gap_ms - unrecorded_ms) * 100 >= observed_ms * 80)) WHERE k <= 3")
