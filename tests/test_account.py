@@ -80,7 +80,7 @@ def model(rows):
 def test_episodes_like_a_row_by_row_walk(spark, seed, bucket):
     rows = ledger(seed)
     steps = acc.steps(frame(spark, rows + rows[:5]), bucket_ms=bucket)
-    got = acc.episodes(acc.parts(steps, bucket)).collect()
+    got = acc.episodes(acc.parts(steps), bucket).collect()
     flat = sorted(((r.coin, r.opened, r.closed, r.side, r.opened_from_flat, r.broken, round(r.traded_notional, 6), round(r.opening_notional, 6), round(r.opening_taker_notional, 6), r.n_fills) for r in got), key=str)
     assert flat == model(rows)
 
@@ -101,14 +101,21 @@ def test_breaks_and_unusable_fills(spark):
 def test_pnl_of_a_whole_episode(spark):
     rows = [fill(0, 1, px=100.0, sz=2.0), fill(1, 2, px=110.0, sz=1.0, side="A", start=2.0, pnl=10.0), fill(2, 3, px=90.0, sz=1.0, side="A", start=1.0, pnl=-9.0)]
     parts = acc.parts(acc.steps(frame(spark, rows)))
-    got = acc.pnl_divergence(parts, acc.episodes(parts)).collect()
+    got = acc.pnl_divergence(acc.episodes(parts)).collect()
     assert [round(r.divergence_bps, 9) for r in got] == [round(1.0 / 400.0 * 1e4, 9)]
 
 
 def test_turning_fill_reports_for_the_closing_episode(spark):
     rows = [fill(0, 1, px=100.0), fill(1, 2, px=110.0, sz=2.0, side="A", start=1.0, pnl=10.0), fill(2, 3, px=100.0, sz=1.0, start=-1.0, pnl=10.0)]
     parts = acc.parts(acc.steps(frame(spark, rows)))
-    assert [round(r.divergence_bps, 9) for r in acc.pnl_divergence(parts, acc.episodes(parts)).collect()] == [0.0, 0.0]
+    assert [round(r.divergence_bps, 9) for r in acc.pnl_divergence(acc.episodes(parts)).collect()] == [0.0, 0.0]
+
+
+def test_residue_counts_at_average_cost(spark):
+    """Half a lot off: 2 opened at 100 and 110, 1.996 closed at 120."""
+    rows = [fill(0, 1, px=100.0), fill(1, 2, px=110.0, start=1.0), fill(2, 3, px=120.0, sz=1.996, side="A", start=2.0, pnl=1.996 * 15)]
+    got = acc.pnl_divergence(acc.episodes(acc.parts(acc.steps(frame(spark, rows))))).collect()
+    assert [round(r.divergence_bps, 6) for r in got] == [0.0]
 
 
 def exposure(spark, rows, pct, hours):
@@ -116,7 +123,9 @@ def exposure(spark, rows, pct, hours):
     steps = acc.steps(frame(spark, rows))
     changes = level_changes(steps, ["address"], "coin", "time_ms", ["seq"], cents("before"), cents("after"), 0)
     levels = step_levels(changes, ["address"], "t", "delta", 0, hours * 3_600_000)
-    return [(r.x / 100, r.weight / 3_600_000) for r in weighted_percentile(levels, ["address"], "level", "weight", pct, "x").collect()]
+    got = [(r.x / 100, r.weight / 3_600_000) for r in weighted_percentile(levels, ["address"], "level", "weight", pct, "x").collect()]
+    assert [(r.exposure, r.hours) for r in acc.exposure(steps, 0, hours * 3_600_000, pct).collect()] == got  # two ways to the same
+    return got
 
 
 def test_exposure_over_time(spark):
@@ -135,4 +144,4 @@ def test_nearest_rank(spark):
 def test_empty(spark):
     steps = acc.steps(frame(spark, []))
     parts = acc.parts(steps)
-    assert acc.events(steps).count() == acc.episodes(parts).count() == acc.pnl_divergence(parts, acc.episodes(parts)).count() == 0
+    assert acc.events(steps).count() == acc.episodes(parts).count() == acc.pnl_divergence(acc.episodes(parts)).count() == 0

@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.timeops import DAY_MS, floor_div
-from tideline.operators.ordered import Runs
-from tideline.operators.stats import level_changes, step_levels, weighted_percentile
+from tideline.operators.ordered import Runs, bucketed
+from tideline.operators.stats import step_levels, weighted_percentile
 from tideline.session import written
 
 #: Relative slack of positions, and the kinds that have positions.
 SLACK = 1e-9
 LOT_KIND, OTHER_KIND = "perp", "hip3"
 KEYS = ["address", "coin"]
+BUCKET_MS = 64 * DAY_MS  # a run is cut every so often; each cut costs a row
 
 
 def ignored(fills: DataFrame) -> DataFrame:
@@ -32,20 +33,25 @@ def ignored(fills: DataFrame) -> DataFrame:
     return fills.where(F.col("kind").isin(LOT_KIND, OTHER_KIND)).distinct().groupBy("address").agg(F.sum((missing | bad_side).cast("long")).alias("n_ignored"))
 
 
-def usable(fills: DataFrame) -> DataFrame:
-    """Fills with a signed size (side B adds, A takes away)."""
-    named = fills.select("address", "seq", "time_ms", "coin", "kind", "px", "sz", "side", "start_position", "crossed", "closed_pnl", "twap_id").distinct()
-    whole = named.where(F.col("kind").isin(LOT_KIND, OTHER_KIND) & F.col("side").isin("A", "B")).dropna(subset=["time_ms", "coin", "px", "sz", "start_position"])
-    return whole.withColumn("signed", F.when(F.col("side") == "B", F.col("sz")).otherwise(-F.col("sz")))
+def usable(fills: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Fills with a signed size (side B adds, A takes away), each once, placed by account, coin and time."""
+    named = fills.select("address", "seq", "time_ms", "coin", "kind", "px", "sz", "side", "start_position", "crossed", "closed_pnl", "twap_id")
+    whole = named.where(F.col("kind").isin(LOT_KIND, OTHER_KIND) & F.col("side").isin("A", "B")).dropna(subset=["address", "time_ms", "coin", "px", "sz", "start_position"])
+    once = bucketed(whole, KEYS, "time_ms", bucket_ms).distinct()
+    return once.withColumn("signed", F.when(F.col("side") == "B", F.col("sz")).otherwise(-F.col("sz")))
 
 
 def _sign(c: Column) -> Column:
     return F.signum(c).cast("int")
 
 
-def steps(fills: DataFrame, lots: DataFrame | None = None, default_lot: float = 0.01, bucket_ms: int = DAY_MS) -> DataFrame:
-    """usable fills with lot, before, after (zero by rule), expected (null for a coin's first), broke, touched_zero."""
-    rows = usable(fills)
+def steps(fills: DataFrame, lots: DataFrame | None = None, default_lot: float = 0.01, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """usable fills with lot, before, after (zero by rule), expected (null for a coin's first), broke, touched_zero.
+
+    And what the next row will find: whether the fill opens or crosses, whether and on which side it leaves a position
+    open. All of it follows from the row and the one before it.
+    """
+    rows = usable(fills, bucket_ms)
     if lots is None:
         rows = rows.withColumn("lot", F.when(F.col("kind") == LOT_KIND, F.lit(default_lot)))
     else:
@@ -54,12 +60,16 @@ def steps(fills: DataFrame, lots: DataFrame | None = None, default_lot: float =
     near = F.when(F.col("lot").isNotNull(), F.col("lot") / 2).otherwise(SLACK * F.col("sz"))
     zeroed = lambda c: F.when(F.abs(c) < near, F.lit(0.0)).otherwise(c)
     rows = rows.withColumn("before", zeroed(F.col("start_position"))).withColumn("after", zeroed(F.col("start_position") + F.col("signed")))
-    out = Runs(rows, KEYS, "time_ms", ["seq"], bucket_ms).previous(["after", "time_ms"])
+    b, a, d = F.col("before"), F.col("after"), _sign(F.col("signed"))
+    rows = rows.withColumn("opens", (b == 0) | (_sign(b) == d))
+    rows = rows.withColumn("crosses", ~F.col("opens") & (a != 0) & (_sign(a) != _sign(b)))
+    rows = rows.withColumn("open_after", F.col("opens") | (a != 0)).withColumn("side_after", F.when(F.col("opens"), d).when(F.col("crosses"), _sign(a)).otherwise(_sign(b)))
+    out = Runs(rows, KEYS, "time_ms", ["seq"], null_keys=False).previous(["after", "time_ms", "px", "open_after", "side_after"])
     expected = F.col("prev_after")
     limit = F.when(F.col("lot").isNotNull(), F.col("lot") * (1 + SLACK)).otherwise(SLACK * F.greatest(F.abs(expected), F.col("sz")))
     broke = F.coalesce(F.abs(F.col("start_position") - expected) > limit, F.lit(False))
     touched = (F.col("before") == 0) | (F.col("after") == 0) | (F.col("before") * F.col("after") < 0)
-    return out.withColumn("broke", broke).withColumn("touched_zero", touched).withColumnRenamed("prev_after", "expected").withColumnRenamed("prev_time_ms", "prev_t").drop("has_prev")
+    return out.withColumn("broke", broke).withColumn("touched_zero", touched).withColumnsRenamed({"prev_after": "expected", "prev_time_ms": "prev_t"})
 
 
 def breaks(steps_: DataFrame) -> DataFrame:
@@ -81,97 +91,105 @@ def events(steps_: DataFrame) -> DataFrame:
     )
 
 
-def parts(steps_: DataFrame, bucket_ms: int = DAY_MS) -> DataFrame:
+def parts(steps_: DataFrame) -> DataFrame:
     """Each fill as the part that closes or opens, and a second part where it crosses zero; each with its episode's number.
 
     Whether an episode is open after a row, and on which side, follows from that row alone. A row that finds the
     position at zero or on the other side ends the open episode where that is seen, as broken.
     """
     b, a, d = F.col("before"), F.col("after"), _sign(F.col("signed"))
-    opening = (b == 0) | (_sign(b) == d)
-    crossed = ~opening & (a != 0) & (_sign(a) != _sign(b))
-    rows = steps_.withColumn("opens", opening).withColumn("crosses", crossed)
-    rows = rows.withColumn("open_after", F.col("opens") | (a != 0)).withColumn("side_after", F.when(F.col("opens"), d).when(F.col("crosses"), _sign(a)).otherwise(_sign(b)))
-    rows = Runs(rows.drop("prev_t"), KEYS, "time_ms", ["seq"], bucket_ms).previous(["open_after", "side_after"])
     has = F.coalesce(F.col("prev_open_after"), F.lit(False))
     forced = has & ((b == 0) | (_sign(b) != F.col("prev_side_after")))
-    rows = rows.withColumn("forced", forced).withColumn("live", has & ~forced)
+    rows = steps_.withColumn("forced", forced).withColumn("live", has & ~forced)
     starts = ~F.col("live")
     first_size = F.when(F.col("opens"), F.col("sz")).when((a == 0) | F.col("crosses"), F.abs(b)).otherwise(F.col("sz"))
     one = F.struct(
         F.lit(0).alias("part"), starts.alias("starts"), F.col("opens").alias("opening"), first_size.alias("size"), (starts & (b == 0)).alias("from_flat"),
-        F.when(F.col("opens"), F.when(b == 0, d).otherwise(_sign(b))).otherwise(_sign(b)).alias("side"), (F.col("broke") & (F.col("live") | (b != 0))).alias("broken_part"), (~F.col("opens") & ((a == 0) | F.col("crosses"))).alias("ends"),
+        F.when(F.col("opens"), F.when(b == 0, d).otherwise(_sign(b))).otherwise(_sign(b)).alias("run_side"), (F.col("broke") & (F.col("live") | (b != 0))).alias("broken_part"), (~F.col("opens") & ((a == 0) | F.col("crosses"))).alias("ends"),
     )
-    two = F.struct(F.lit(1).alias("part"), F.lit(True).alias("starts"), F.lit(True).alias("opening"), F.abs(a).alias("size"), F.lit(True).alias("from_flat"), _sign(a).alias("side"), F.lit(False).alias("broken_part"), F.lit(False).alias("ends"))
+    two = F.struct(F.lit(1).alias("part"), F.lit(True).alias("starts"), F.lit(True).alias("opening"), F.abs(a).alias("size"), F.lit(True).alias("from_flat"), _sign(a).alias("run_side"), F.lit(False).alias("broken_part"), F.lit(False).alias("ends"))
     split = F.explode(F.when(F.col("crosses"), F.array(one, two)).otherwise(F.array(one)))
-    rows = rows.withColumn("p", split).select(*KEYS, "kind", "time_ms", "seq", "px", "start_position", "signed", "crossed", "closed_pnl", "sz", "forced", "p.*")
-    return Runs(rows, KEYS, "time_ms", ["seq", "part"], bucket_ms).running(episode=F.col("starts").cast("long"))
+    rows = rows.withColumn("p", split).select(*steps_.columns, "forced", "p.*")
+    return Runs(rows, KEYS, "time_ms", ["seq", "part"], null_keys=False).running(episode=F.col("starts").cast("long"))
 
 
-def episodes(parts_: DataFrame) -> DataFrame:
-    """One row per episode: opened, closed (null while open), side, how it began and ended, notionals, fills."""
+def episodes(parts_: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """One row per episode: opened, closed (null while open), side, how it began and ended, notionals, fills, and its result.
+
+    ``divergence_bps`` is the distance of the rebuilt from the reported result per traded notional, for whole episodes:
+    from flat, closed, not broken, every fill with a reported result. With average cost, an episode whose sizes cancel
+    has realized its cash flow, whatever the order of its fills. Where a residue below a lot is left, it counts at the
+    average cost reached; only the fills of such episodes are looked at in order, as a list.
+    """
     notional = F.col("size") * F.col("px")
-    first, last = F.struct("time_ms", "seq", "part"), F.struct("time_ms", "seq", "part")
-    rows = parts_.groupBy(*KEYS, "kind", "episode").agg(
+    at = F.struct("time_ms", "seq", "part")
+    side = F.col("run_side").cast("double")
+    rows = parts_.withColumn("from_", side * F.col("start_position")).withColumn("to_", side * (F.col("start_position") + F.col("signed")))
+    rows = rows.withColumn("change", F.greatest("to_", F.lit(0.0)) - F.greatest("from_", F.lit(0.0)))
+    # the result of a fill that turns the position belongs to the episode it closes
+    inherited = F.col("starts") & (F.col("from_") < 0) & (-F.col("from_") > SLACK * F.col("sz"))
+    out = rows.groupBy(*KEYS, "kind", "episode").agg(
         F.min("time_ms").alias("opened"),
         F.max(F.when(F.col("ends"), F.col("time_ms"))).alias("ended"),
-        F.min_by("side", first).alias("side"),
-        F.min_by("from_flat", first).alias("opened_from_flat"),
+        F.min_by("run_side", at).alias("side"),
+        F.min_by("from_flat", at).alias("opened_from_flat"),
         F.bool_or("broken_part").alias("broken_fill"),
         F.sum(notional).alias("traded_notional"),
         F.coalesce(F.sum(F.when(F.col("opening"), notional)), F.lit(0.0)).alias("opening_notional"),
         F.coalesce(F.sum(F.when(F.col("opening") & F.col("crossed"), notional)), F.lit(0.0)).alias("opening_taker_notional"),
         F.count(F.lit(1)).alias("n_fills"),
-        F.min_by("seq", first).alias("first_seq"),
-        F.max_by("seq", last).alias("last_seq"),
-        F.min_by("forced", first).alias("forced_start"),
+        F.min_by("seq", at).alias("first_seq"),
+        F.max_by("seq", at).alias("last_seq"),
+        F.min_by("forced", at).alias("forced_start"),
+        F.sum(-F.col("change") * F.col("px")).alias("cash"),
+        F.sum("change").alias("residue"),
+        F.sum(F.when(inherited, 0.0).otherwise(F.col("closed_pnl"))).alias("reported"),
+        F.bool_or(F.col("closed_pnl").isNull()).alias("unknown"),
     )
+    out = written(out, "episodes")
     # an episode cut short ends where the next one's first row shows it
-    rows = Runs(rows, KEYS, "opened", ["episode"]).following(["opened", "forced_start"])
+    out = Runs(out, KEYS, "opened", ["episode"], bucket_ms, null_keys=False).following(["opened", "forced_start"])
     cut = F.col("ended").isNull() & F.coalesce(F.col("next_forced_start"), F.lit(False))
-    closed = F.coalesce("ended", F.when(cut, F.col("next_opened")))
-    return rows.select(
-        *KEYS, "kind", "episode", "opened", closed.alias("closed"), "side", "opened_from_flat", (F.col("broken_fill") | cut).alias("broken"),
-        "traded_notional", "opening_notional", "opening_taker_notional", "n_fills", "first_seq", "last_seq",
+    out = out.withColumn("closed", F.coalesce("ended", F.when(cut, F.col("next_opened")))).withColumn("broken", F.col("broken_fill") | cut)
+    whole = F.expr("opened_from_flat and closed is not null and not broken and not unknown and traded_notional > 0")
+    rest = out.where(whole & (F.abs("residue") > 1e-9)).select(*KEYS, "episode")
+    left = rows.join(rest, [*KEYS, "episode"], "left_semi").groupBy(*KEYS, "episode").agg(F.array_sort(F.collect_list(F.struct("time_ms", "seq", "part", "px", "change"))).alias("fills"))
+    left = left.select(*KEYS, "episode", _cost_left("fills").alias("cost_left"))
+    out = out.join(left, [*KEYS, "episode"], "left")
+    realized = F.col("side") * (F.col("cash") + F.coalesce("cost_left", F.lit(0.0)))
+    gap = F.when(whole, F.abs(realized - F.col("reported")) / F.col("traded_notional") * 1e4)
+    return out.select(
+        *KEYS, "kind", "episode", "opened", "closed", "side", "opened_from_flat", "broken",
+        "traded_notional", "opening_notional", "opening_taker_notional", "n_fills", "first_seq", "last_seq", gap.alias("divergence_bps"),
     )
 
 
-def pnl_divergence(parts_: DataFrame, episodes_: DataFrame) -> DataFrame:
-    """address, coin, episode, divergence_bps: rebuilt against reported result, per traded notional, for whole episodes.
-
-    Average cost depends on all earlier fills of the episode, so each episode's fills are folded in order, in the JVM.
-    An episode is bounded by its account's own trading; fills without reported result make it uncheckable.
-    """
-    checkable = episodes_.where("opened_from_flat and closed is not null and not broken and traded_notional > 0").select(*KEYS, "episode", F.col("side").alias("eside"), "traded_notional")
-    item = F.struct("time_ms", "seq", "part", "px", "sz", "start_position", "signed", "closed_pnl")
-    rows = parts_.join(checkable, [*KEYS, "episode"]).groupBy(*KEYS, "episode", "eside", "traded_notional").agg(F.array_sort(F.collect_list(item)).alias("rows"), F.bool_or(F.col("closed_pnl").isNull()).alias("unknown"))
+def _cost_left(fills: str) -> Column:
+    """Size left times average cost after folding the fills in order: what opens is averaged in, what closes leaves the average."""
     zero = F.lit(0.0)
-    start = F.struct(zero.alias("size"), zero.alias("cost"), zero.alias("realized"), zero.alias("reported"), F.lit(True).alias("first"))
 
     def fold(s: Column, x: Column) -> Column:
-        side = F.col("eside").cast("double")
-        before, after = side * x["start_position"], side * (x["start_position"] + x["signed"])
-        change = F.greatest(after, zero) - F.greatest(before, zero)
-        adds = change > 0
-        cost = F.when(adds, (s["size"] * s["cost"] + change * x["px"]) / (s["size"] + change)).otherwise(s["cost"])
-        realized = s["realized"] + F.when(adds, zero).otherwise(-change * (x["px"] - s["cost"]) * side)
-        inherited = s["first"] & (before < 0) & (-before > SLACK * x["sz"])
-        reported = s["reported"] + F.when(inherited, zero).otherwise(x["closed_pnl"])
-        return F.struct((s["size"] + change).alias("size"), cost.alias("cost"), realized.alias("realized"), reported.alias("reported"), F.lit(False).alias("first"))
+        size = s["size"] + x["change"]
+        cost = F.when(x["change"] > 0, (s["size"] * s["cost"] + x["change"] * x["px"]) / size).otherwise(s["cost"])
+        return F.struct(size.alias("size"), cost.alias("cost"))
 
-    gap = F.aggregate("rows", start, fold, lambda s: F.abs(s["realized"] - s["reported"]))
-    return rows.where("not unknown").select(*KEYS, "episode", (gap / F.col("traded_notional") * 1e4).alias("divergence_bps"))
+    return F.aggregate(fills, F.struct(zero.alias("size"), zero.alias("cost")), fold, lambda s: s["size"] * s["cost"])
+
+
+def pnl_divergence(episodes_: DataFrame) -> DataFrame:
+    """address, coin, episode, divergence_bps of the episodes that can be checked."""
+    return episodes_.where("divergence_bps is not null").select(*KEYS, "episode", "divergence_bps")
 
 
 def facts(fills: DataFrame, start_ms: int, end_ms: int, default_lot: float = 0.01, tolerance_bps: float = 10.0) -> DataFrame:
     """One row of measures per account over [start, end): fills, breaks, episodes, durations, shares, open coins, results.
 
-    Steps and parts are made once, as tables; every measure is an aggregate over all accounts at once.
+    Parts are made once, as a table; every measure is an aggregate over all accounts at once.
     """
     inside = fills.where((F.col("time_ms") >= start_ms) & (F.col("time_ms") < end_ms))
-    steps_ = written(steps(inside, default_lot=default_lot), "steps")
-    parts_ = written(parts(steps_), "parts")
-    episodes_ = written(episodes(parts_), "episodes")
+    parts_ = written(parts(steps(inside, default_lot=default_lot)), "parts")
+    steps_ = parts_.where("part = 0")  # one row per fill
+    episodes_ = episodes(parts_)
     notional = F.coalesce(F.abs("sz") * F.col("px"), F.lit(0.0))
     base = inside.groupBy("address").agg(
         F.count(F.lit(1)).alias("n_fills"), F.sum(notional).alias("notional"), F.sum(F.when(F.col("kind") == LOT_KIND, notional).otherwise(0.0)).alias("perp_notional"),
@@ -184,22 +202,35 @@ def facts(fills: DataFrame, start_ms: int, end_ms: int, default_lot: float = 0.0
         F.count(F.when(flat & F.col("closed").isNotNull(), 1)).alias("closed_episodes"),
         F.median(F.when(flat, F.col("closed") - F.col("opened"))).alias("median_duration_ms"),
         F.when(opened > 0, F.sum(F.when(flat, F.col("opening_taker_notional"))) / opened).alias("taker_share"),
-        F.countDistinct(F.when(flat, floor_div(F.col("opened") - start_ms, 7 * DAY_MS))).alias("active_blocks"),
+        F.size(F.collect_set(F.when(flat, floor_div(F.col("opened") - start_ms, 7 * DAY_MS)))).cast("long").alias("active_blocks"),
+        F.max("divergence_bps").alias("max_divergence_bps"),
+        F.count(F.when(F.col("divergence_bps") > tolerance_bps, 1)).alias("n_violations"),
     )
-    off = pnl_divergence(parts_, episodes_).groupBy("address").agg(F.max("divergence_bps").alias("max_divergence_bps"), F.count(F.when(F.col("divergence_bps") > tolerance_bps, 1)).alias("n_violations"))
-    is_open = lambda c: (F.col(c) != 0).cast("long")
-    changes = level_changes(events(steps_), ["address"], "coin", "t", [], is_open("prev_position"), is_open("position"), start_ms)
-    open_ = weighted_percentile(step_levels(changes, ["address"], "t", "delta", start_ms, end_ms), ["address"], "level", "weight", 50, "median_open").drop("weight")
+    open_ = open_coins(steps_, start_ms, end_ms).drop("weight")
     out = base
-    for more in (ignored(inside), broken, runs, off, open_):
+    for more in (ignored(inside), broken, runs, open_):
         out = out.join(more, "address", "left")
     return out
 
 
+def moves(steps_: DataFrame, was: Column, before: Column, after: Column, start_ms: int) -> DataFrame:
+    """address, t, delta: what each fill changes in a sum over coins; a coin's first fill shows where it stood at the start."""
+    seen = F.col("has_prev")
+    first = steps_.where(~seen).select("address", F.lit(start_ms).cast("long").alias("t"), before.alias("delta"))
+    return first.unionByName(steps_.select("address", F.col("time_ms").alias("t"), (after - F.when(seen, was).otherwise(before)).alias("delta")))
+
+
+def open_coins(steps_: DataFrame, start_ms: int, end_ms: int, pct: int = 50) -> DataFrame:
+    """address, median_open, weight: time-weighted percentile of the number of open coins, over the time with at least one."""
+    is_open = lambda c: (F.col(c) != 0).cast("long")
+    changes = moves(steps_, is_open("expected"), is_open("before"), is_open("after"), start_ms)
+    return weighted_percentile(step_levels(changes, ["address"], "t", "delta", start_ms, end_ms), ["address"], "level", "weight", pct, "median_open")
+
+
 def exposure(steps_: DataFrame, start_ms: int, end_ms: int, pct: int = 95) -> DataFrame:
     """address, exposure, hours: time-weighted percentile of the sum of |position| * price over time in position, in whole cents."""
-    cents = lambda c: F.floor(F.abs(F.col(c)) * F.col("px") * 100 + 0.5).cast("long")
-    changes = level_changes(steps_, ["address"], "coin", "time_ms", ["seq"], cents("before"), cents("after"), start_ms)
+    cents = lambda c, px: F.floor(F.abs(F.col(c)) * F.col(px) * 100 + 0.5).cast("long")
+    changes = moves(steps_, cents("expected", "prev_px"), cents("before", "px"), cents("after", "px"), start_ms)
     found = weighted_percentile(step_levels(changes, ["address"], "t", "delta", start_ms, end_ms), ["address"], "level", "weight", pct, "cents")
     return found.select("address", (F.col("cents") / 100).alias("exposure"), (F.col("weight") / 3_600_000).alias("hours"))
 

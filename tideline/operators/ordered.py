@@ -28,44 +28,66 @@ def on_same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]])
     return out
 
 
+def bucketed(df: DataFrame, keys: Sequence[str], time: str, bucket_ms: int) -> DataFrame:
+    """``df`` placed by keys and time bucket, so that all later steps on the same runs find their rows where they need them."""
+    return df.withColumn(BUCKET, floor_to(time, bucket_ms)).repartition(*keys, BUCKET)
+
+
 class Runs:
-    def __init__(self, df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], bucket_ms: int = DAY_MS):
-        self.keys, self.order, self.bucket_ms = list(keys), [time, *(o for o in order if o != time)], bucket_ms
-        self.df = df.where(F.col(time).isNotNull()).withColumn(BUCKET, floor_to(time, bucket_ms))
+    """``keys`` name a run, ``time`` and ``order`` its order. A frame that is ``bucketed`` keeps its buckets and its place.
+
+    ``null_keys=False`` promises that keys are never null; joins then need no shuffle of their own.
+    """
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], bucket_ms: int = DAY_MS, null_keys: bool = True):
+        self.keys, self.order, self.null_keys = list(keys), [time, *(o for o in order if o != time)], null_keys
+        self.kept = df.columns
+        self.df = df.where(F.col(time).isNotNull())
+        if BUCKET not in df.columns:
+            self.df = self.df.withColumn(BUCKET, floor_to(time, bucket_ms))
         self.inside = W.partitionBy(*keys, BUCKET).orderBy(*self.order)
         self.along = W.partitionBy(*(f"c_{k}" for k in keys)).orderBy(f"c_{BUCKET}")
 
     def _carried(self, df: DataFrame, per_bucket: Sequence[Column], carried: Sequence[Column]) -> DataFrame:
         """``df`` with, on each row, ``carried``: columns over one row per bucket, along the run."""
-        edges = df.groupBy(*(F.col(k).alias(f"c_{k}") for k in [*self.keys, BUCKET])).agg(*per_bucket)
-        edges = edges.select(*(f"c_{k}" for k in [*self.keys, BUCKET]), *carried)
-        pairs = [(k, f"c_{k}") for k in [*self.keys, BUCKET]]
+        names = [*self.keys, BUCKET]
+        edges = df.groupBy(*(F.col(k).alias(f"c_{k}") for k in names)).agg(*per_bucket).select(*(f"c_{k}" for k in names), *carried)
+        if not self.null_keys:
+            return df.join(edges.withColumnsRenamed({f"c_{k}": k for k in names}), names, "left")
+        pairs = [(k, f"c_{k}") for k in names]
         return df.join(edges, on_same(df, edges, pairs), "left").drop(*(b for _, b in pairs))
 
     def previous(self, columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
         """``df`` with the values of the run's previous row, and ``has_prev``."""
-        return self._neighbour(columns, prefix, back=True)
+        return self.annotate(previous=columns, prefixes=(prefix, "next_"))
 
     def following(self, columns: Sequence[str], prefix: str = "next_") -> DataFrame:
         """``df`` with the values of the run's next row, and ``has_next``."""
-        return self._neighbour(columns, prefix, back=False)
-
-    def _neighbour(self, columns: Sequence[str], prefix: str, back: bool) -> DataFrame:
-        row, order = F.struct(*columns), F.struct(*self.order)
-        edge = (F.max_by if back else F.min_by)(row, order).alias("edge_")
-        step = F.lag if back else F.lead
-        df = self._carried(self.df, [edge], [step("edge_").over(self.along).alias("far_")])
-        near = step(row).over(self.inside)
-        df = df.withColumn("near_", F.coalesce(near, F.col("far_")))
-        return df.select(*self.df.columns, *(F.col(f"near_.{c}").alias(f"{prefix}{c}") for c in columns), F.col("near_").isNotNull().alias(f"has_{prefix.rstrip('_')}")).drop(BUCKET)
+        return self.annotate(following=columns, prefixes=("prev_", prefix))
 
     def running(self, **sums: Column) -> DataFrame:
         """``df`` with running sums up to and including each row."""
+        return self.annotate(running=sums)
+
+    def annotate(self, previous: Sequence[str] = (), following: Sequence[str] = (), running: dict[str, Column] | None = None, prefixes: tuple[str, str] = ("prev_", "next_")) -> DataFrame:
+        """All of these in one pass: the rows below are read twice, once for the buckets' edges and once for the result."""
+        sums, order = running or {}, F.struct(*self.order)
+        before, upto = self.along.rowsBetween(W.unboundedPreceding, -1), self.inside.rowsBetween(W.unboundedPreceding, 0)
+        edges, carried, out = [], [], list(self.kept)
         df = self.df.select("*", *(c.alias(f"x_{n}") for n, c in sums.items()))
-        before = self.along.rowsBetween(W.unboundedPreceding, -1)
-        df = self._carried(df, [F.sum(f"x_{n}").alias(f"s_{n}") for n in sums], [F.coalesce(F.sum(f"s_{n}").over(before), F.lit(0)).alias(f"b_{n}") for n in sums])
-        upto = self.inside.rowsBetween(W.unboundedPreceding, 0)
-        return df.select(*self.df.columns, *((F.coalesce(F.sum(f"x_{n}").over(upto), F.lit(0)) + F.col(f"b_{n}")).alias(n) for n in sums)).drop(BUCKET)
+        near = {}
+        for columns, prefix, edge, step in ((previous, prefixes[0], F.max_by, F.lag), (following, prefixes[1], F.min_by, F.lead)):
+            if columns:
+                row, name = F.struct(*columns), prefix.rstrip("_")
+                edges.append(edge(row, order).alias(f"edge_{name}_"))
+                carried.append(step(f"edge_{name}_").over(self.along).alias(f"far_{name}_"))
+                near[f"near_{name}_"] = F.coalesce(step(row).over(self.inside), F.col(f"far_{name}_"))
+                out += [*(F.col(f"near_{name}_.{c}").alias(f"{prefix}{c}") for c in columns), F.col(f"near_{name}_").isNotNull().alias(f"has_{name}")]
+        for n in sums:
+            edges.append(F.sum(f"x_{n}").alias(f"s_{n}"))
+            carried.append(F.coalesce(F.sum(f"s_{n}").over(before), F.lit(0)).alias(f"b_{n}"))
+            out.append((F.coalesce(F.sum(f"x_{n}").over(upto), F.lit(0)) + F.col(f"b_{n}")).alias(n))
+        return self._carried(df, edges, carried).withColumns(near).select(*out) if near else self._carried(df, edges, carried).select(*out)
 
 
 def as_of(

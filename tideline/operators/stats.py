@@ -13,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.timeops import DAY_MS
-from tideline.operators.ordered import Runs
+from tideline.operators.ordered import BUCKET, Runs, bucketed
+
+LEVEL_BUCKET_MS = 64 * DAY_MS
 
 
 def nearest_ranks(df: DataFrame, keys: Sequence[str], value: Column, percents: Sequence[int], prefix: str = "p") -> DataFrame:
@@ -33,25 +35,24 @@ def weighted_percentile(df: DataFrame, keys: Sequence[str], value: str, weight:
     return hist.where(F.col("cum_") * 100 >= F.col("all_") * pct).groupBy(*keys).agg(F.min("v_").alias(out), F.max("all_").alias("weight"))
 
 
-def step_levels(changes: DataFrame, keys: Sequence[str], time: str, delta: str, start_ms: int, end_ms: int, bucket_ms: int = DAY_MS) -> DataFrame:
+def step_levels(changes: DataFrame, keys: Sequence[str], time: str, delta: str, start_ms: int, end_ms: int, bucket_ms: int = LEVEL_BUCKET_MS) -> DataFrame:
     """keys, level, weight: how long the running sum of ``delta`` stood at each level above 0 within [start_ms, end_ms).
 
     Changes before the start count from the start on; those at or after the end never.
     """
     at = changes.where(F.col(time) < end_ms).select(*keys, F.greatest(F.col(time), F.lit(start_ms)).alias("t_"), F.col(delta).alias("d_"))
-    at = at.groupBy(*keys, "t_").agg(F.sum("d_").alias("d_"))
-    levels = Runs(at, keys, "t_", [], bucket_ms).running(level=F.col("d_"))
-    levels = Runs(levels, keys, "t_", [], bucket_ms).following(["t_"])
+    at = bucketed(at, keys, "t_", bucket_ms).groupBy(*keys, BUCKET, "t_").agg(F.sum("d_").alias("d_"))
+    levels = Runs(at, keys, "t_", []).annotate(following=["t_"], running={"level": F.col("d_")})
     weight = F.coalesce(F.col("next_t_"), F.lit(end_ms)) - F.col("t_")
     return levels.withColumn("w_", weight).where("level > 0 and w_ > 0").groupBy(*keys, "level").agg(F.sum("w_").cast("long").alias("weight"))
 
 
-def level_changes(rows: DataFrame, keys: Sequence[str], item: str, time: str, order: Sequence[str], before: Column, after: Column, start_ms: int, bucket_ms: int = DAY_MS) -> DataFrame:
+def level_changes(rows: DataFrame, keys: Sequence[str], item: str, time: str, order: Sequence[str], before: Column, after: Column, start_ms: int, bucket_ms: int = LEVEL_BUCKET_MS) -> DataFrame:
     """keys, t, delta: what each row adds to the sum of ``after`` over items; an item's first row shows where it stood at the start."""
     rows = rows.withColumn("to_", after).withColumn("from_", before)
-    seen = Runs(rows, [*keys, item], time, order, bucket_ms).previous(["to_"])
-    first = seen.where("not has_prev").select(*keys, F.lit(start_ms).cast("long").alias("t"), F.col("from_").alias("delta"))
-    moves = seen.select(*keys, F.col(time).alias("t"), (F.col("to_") - F.coalesce(F.col("prev_to_"), F.col("from_"))).alias("delta"))
+    seen = Runs(rows, [*keys, item], time, order, bucket_ms).previous(["to_"], "was_")
+    first = seen.where("not has_was").select(*keys, F.lit(start_ms).cast("long").alias("t"), F.col("from_").alias("delta"))
+    moves = seen.select(*keys, F.col(time).alias("t"), (F.col("to_") - F.coalesce(F.col("was_to_"), F.col("from_"))).alias("delta"))
     return first.unionByName(moves)
 
 

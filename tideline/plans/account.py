@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tideline.functions.timeops import DAY_MS, floor_div
 from tideline.operators import account as acc
 from tideline.operators.ordered import exists_between
-from tideline.operators.stats import level_changes, step_levels, weighted_percentile
 from tideline.plans.registry import Registry
 from tideline.sources.tables import read
 
@@ -122,15 +121,13 @@ def episode_facts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pnl_divergence(spark: SparkSession, d: str) -> DataFrame:
     """Rebuilt against reported result of every whole episode, in basis points of its notional."""
-    parts = acc.parts(_steps(spark, d))
-    return acc.pnl_divergence(parts, acc.episodes(parts)).withColumn("divergence_bps", F.round("divergence_bps", 6))
+    return acc.pnl_divergence(acc.episodes(acc.parts(_steps(spark, d)))).withColumn("divergence_bps", F.round("divergence_bps", 6))
 
 
 @query()
 def pnl_violations(spark: SparkSession, d: str) -> DataFrame:
     """Accounts by how many of their whole episodes differ by more than ten basis points."""
-    parts = acc.parts(_steps(spark, d))
-    found = acc.pnl_divergence(parts, acc.episodes(parts))
+    found = acc.pnl_divergence(acc.episodes(acc.parts(_steps(spark, d))))
     return found.groupBy("address").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("divergence_bps") > 10, 1)).alias("n_over"), F.round(F.max("divergence_bps"), 6).alias("max_bps"))
 
 
@@ -145,9 +142,7 @@ ch AS (SELECT address, {START} t, CASE WHEN pp <> 0 THEN 1 ELSE 0 END delta FROM
 {_LEVELS} SELECT address, min(lv)::BIGINT median_open, max(tot)::BIGINT weight FROM k WHERE cum * 100 >= tot * 50 GROUP BY address""")
 def open_count_steps(spark: SparkSession, d: str) -> DataFrame:
     """Median number of open coins of each account over the time with at least one."""
-    is_open = lambda c: (F.col(c) != 0).cast("long")
-    changes = level_changes(acc.events(_steps(spark, d)), ["address"], "coin", "t", [], is_open("prev_position"), is_open("position"), START)
-    return weighted_percentile(step_levels(changes, ["address"], "t", "delta", START, END), ["address"], "level", "weight", 50, "median_open")
+    return acc.open_coins(_steps(spark, d), START, END)
 
 
 @query(f"""WITH {_STEPS}, v AS (SELECT address, coin, time_ms AS t, seq, floor(abs(bf) * px * 100 + 0.5)::BIGINT fr, floor(abs(af) * px * 100 + 0.5)::BIGINT too FROM s),
