@@ -95,17 +95,19 @@ class LatePeriods:
 
     # -- the same, batch by batch ---------------------------------------------------------------------------------
 
-    def ingest(self, spark: SparkSession, store: str, df: DataFrame) -> DataFrame:
-        """Adds a delivery of whole arrival batches to ``store`` and returns its partials.
+    def ingest(self, spark: SparkSession, store: str, df: DataFrame, delivery: int) -> DataFrame:
+        """Adds a delivery of whole arrival batches to ``store`` and returns all partials kept there.
 
-        Deliveries come in receive order. Rows of periods that are closed by then are kept as ``dropped`` counts only.
+        Deliveries are numbered in receive order. One that is repeated, after a failure, replaces itself. Rows of periods
+        that are closed by then are kept as ``dropped`` counts only.
         """
         rows = self.rows(df)
         own = self.arrivals(rows)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/arrivals")
-        known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        before = spark.read.schema(own.schema).parquet(f"{store}/arrivals") if known else own.limit(0)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        earlier = [n for s in (fs.listStatus(path) if fs.exists(path) else []) if (n := int(s.getPath().getName().rpartition("=")[2])) < delivery]
+        before = spark.read.schema(own.schema).parquet(*(f"{store}/arrivals/delivery={n}" for n in earlier)) if earlier else own.limit(0)
         made = self.partials(self.judged(rows, self.closing(before.unionByName(own))))
-        made.write.mode("append").parquet(f"{store}/partials")
-        own.write.mode("append").parquet(f"{store}/arrivals")
+        made.write.mode("overwrite").parquet(f"{store}/partials/delivery={delivery}")
+        own.write.mode("overwrite").parquet(f"{store}/arrivals/delivery={delivery}")
         return spark.read.schema(made.schema).parquet(f"{store}/partials")
