@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tideline.llm.mixing import DEFAULT_RANKS, PATTERN, Flow, Mixture, encoder, largest_total, route
+from tideline.llm.mixing import DEFAULT_RANKS, PATTERN, Flow, Mixture, encoder, largest_total, n_tokens, route
 
 
 def cheapest(arcs, n, source, sink):
@@ -78,3 +78,12 @@ def test_fixed_total_and_empty(spark):
     assert m.selected().count() == 1  # all ten are one text
     assert mixture(spark, [], [("a", 1.0, 2)]).selected().count() == 0
     assert mixture(spark, rows, []).shares_reached().count() == 0
+
+
+def test_long_blanks_are_counted_too():
+    enc = encoder(DEFAULT_RANKS, PATTERN)
+    count = lambda t: n_tokens(enc, t, PATTERN)
+    for blank in (" ", "\n", " \n\t"):
+        text = "word's 12 is" + blank * 1200 + "then, 3.5 ends" + blank * 1001
+        assert count(text) == len(enc.encode_ordinary(text))
+        assert count("x" + blank * 1_000_000 + "y") > 2

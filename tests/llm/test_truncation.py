@@ -54,3 +54,15 @@ def test_rates_and_columns(spark):
     rates = {(r.source, r.column): (r.n, r.n_truncated) for r in Truncation(df, columns=["text", "ending"]).rates().collect()}
     assert rates[("a", "text")] == (2, 1) and rates[(None, "ending")] == (1, 1)
     assert Truncation(df.limit(0)).rates().count() == 0
+
+
+@pytest.mark.parametrize("unit", ["{", "\\", "\\cite[", "- ", ".", "\\begin{a}", "% x\n", "\\'e", " ", "…", "\\qed "])
+def test_very_long_texts_take_no_longer_than_their_length(unit):
+    from time import process_time
+
+    from tideline.llm.words import words
+
+    began = process_time()
+    ending("x" + unit * 200_000 + "y")
+    words("x" + unit * 200_000 + "y")
+    assert process_time() - began < 10

@@ -16,10 +16,12 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import re
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +44,17 @@ def encoder(ranks: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+#: The tokenizer's own scanner runs out of stack on longer stretches of white space.
+LONG_BLANK = re.compile(r"\s{1000}")
+
+
+def n_tokens(enc, text: str, pattern: str) -> int:
+    """Number of tokens of a text, with long blanks too: there the pieces are cut here and only merged by the tokenizer."""
+    if not LONG_BLANK.search(text):
+        return len(enc.encode_ordinary(text))
+    return sum(len(enc._encode_single_piece(p)) for p in regex.findall(pattern, text))
+
+
 class Flow:
     """Min-cost flow by successive shortest paths, with integer capacities and costs of at least 0."""
 
@@ -153,7 +166,7 @@ class Mixture:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             enc = encoder(ranks, pattern)
             for b in batches:
-                yield b.assign(tokens=[len(enc.encode_ordinary(t)) for t in b.pop("text")])
+                yield b.assign(tokens=[n_tokens(enc, t, pattern) for t in b.pop("text")])
 
         rows = docs.where("text is not null").select("doc_id", "source", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
         return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, h1 long, h2 long, tokens long")

@@ -17,7 +17,7 @@ _LETTER = r"(?:\\[ij](?![A-Za-z])\s*|[A-Za-z])"
 _SIGN = rf"[\"'`^~=.]\s*(?:\{{\s*{_LETTER}\s*\}}|{_LETTER})"
 _NAMED = rf"[cvHkrudbt](?:\s*\{{\s*{_LETTER}\s*\}}|\s+{_LETTER})"
 _LIG = rf"(?:{'|'.join(sorted(TEX_LETTERS, key=len, reverse=True))})(?![A-Za-z])"
-_ARG = r"(?:\s*\[[^\]]*\])*\s*\{[^{}]*\}"
+_ARG = r"(?:\s*\[[^\[\]]*\])*\s*\{[^{}]*\}"
 
 #: One scan over the text. Groups: acc, lig give letters; gap gives a break; what has no group joins its neighbours.
 MARKUP = re.compile(
