@@ -18,7 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import written
+
 BLOCK = 512
+BROADCAST_ROWS = 100_000
 
 #: How a text ends.
 WHOLE, UNSURE, MARKED, CUT = 0, 1, 2, 3
@@ -26,7 +29,7 @@ WHOLE, UNSURE, MARKED, CUT = 0, 1, 2, 3
 _ENV = re.compile(r"\\(begin|end)\s*\{([^{}]*)\}")
 _COMMENT = re.compile(r"(?<!\\)%[^\n]*")
 _ESCAPED = re.compile(r"\\(?:\\(?:\[[^\]\n]*\])?|[{}$%])")
-_MARK = re.compile(r"\s*(?:\[\s*(?:…|\.\.\.|truncated|cut)\s*\]|\((?:…|\.\.\.|truncated)\)|…|\.\.\.)$", re.I)
+_MARK = re.compile(r"(?:\[\s*(?:…|\.\.\.|truncated|cut)\s*\]|\((?:…|\.\.\.|truncated)\)|…|\.\.\.)$", re.I)
 _STOP = re.compile(r"[.!?][)\]}'\"”’»$]*$|[.!?]\s*\\(?:qed|hfill\S*)$")
 _COMMANDS_ONLY = re.compile(r"(?:\\[A-Za-z@]+\*?(?:\s*\[[^\]]*\]|\s*\{[^{}]*\})*\s*|\$\\[A-Za-z]+\$\s*)+$")
 _BARE = re.compile(r"\\([A-Za-z@]+)\*?$")
@@ -144,7 +147,9 @@ class Truncation:
             return text.map(ending).astype("int8")
 
         rows = self._long(keep, ("chars", F.length), ("bytes", F.octet_length), ("ending", read))
-        s = self.spikes().withColumnsRenamed({"src": "src_", "col": "col_"})
+        s = written(self.spikes().withColumnsRenamed({"src": "src_", "col": "col_"}), "length-spikes")
+        if s.count() <= BROADCAST_ROWS:  # a row per source and column
+            s = F.broadcast(s)
         flagged = lambda c: F.coalesce(c, F.lit(False))
         exact: Column = flagged(F.col("chars") == F.col("exact_chars")) | flagged(F.col("bytes").between(F.col("exact_bytes") - 3, F.col("exact_bytes"))) | flagged(F.col("blocks") & (F.col("bytes") % BLOCK == 0))
         about = flagged(F.col("chars") > F.col("about_chars") * (1 - self.band)) | flagged(F.col("bytes") > F.col("about_bytes") * (1 - self.band))
