@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tideline.session import ship
+
 _TYPES = {"l": T.LongType(), "d": T.DoubleType(), "s": T.StringType(), "b": T.BooleanType(), "ts": T.TimestampType(), "bin": T.BinaryType()}
 
 
@@ -52,6 +54,7 @@ PARTITIONS = {
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     """``root/name.parquet``: with its declared schema where it has one, else with the file's own."""
+    ship(spark)
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
