@@ -96,3 +96,21 @@ def ladder_fill(levels: DataFrame, keys: Sequence[str], level: str, size: str, p
     before = F.coalesce(F.sum(size).over(W.partitionBy(*keys).orderBy(level).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     rows = levels.where(F.col(price).isNotNull() & (F.col(size) > 0)).withColumn("take", F.greatest(F.lit(0.0), F.least(F.col(size), F.lit(wanted) - before)))
     return rows.groupBy(*keys).agg(F.sum("take").alias("filled"), (F.sum(F.col("take") * F.col(price)) / F.sum("take")).alias("avg_px"), F.sum((F.col("take") > 0).cast("long")).alias("levels_used"))
+
+
+def to_episodes(payments: DataFrame, episodes: DataFrame, keys: Sequence[str], time: str) -> tuple[DataFrame, DataFrame]:
+    """``payments`` with the episode (opened < time <= closed, or still open) of their keys; and those that fall in none.
+
+    Episodes of a key do not overlap, so the last one opened strictly before the payment is the only candidate.
+    """
+    found = as_of(payments, episodes.select(*keys, "opened", "closed", "episode"), keys, time, "opened", ["opened", "closed", "episode"], strict=True, prefix="e_")
+    inside = F.col("e_opened").isNotNull() & (F.col("e_closed").isNull() | (F.col(time) <= F.col("e_closed")))
+    hit = found.where(inside).withColumnRenamed("e_episode", "episode").drop("e_opened", "e_closed")
+    return hit, found.where(~inside).select(*payments.columns)
+
+
+def decomposition(results: DataFrame, keys: Sequence[str], step: str, value: str) -> DataFrame:
+    """keys, step, value, delta, inert: what each step of a ladder of scenarios adds to the one before; one row per step."""
+    before = F.lag(value).over(W.partitionBy(*keys).orderBy(step))
+    delta = F.col(value) - F.coalesce(before, F.lit(0.0))
+    return results.select(*keys, step, value, delta.alias("delta"), F.coalesce(F.abs(F.col(value) - before) <= DUST * F.greatest(F.lit(1.0), F.abs(value)), F.lit(False)).alias("inert"))

@@ -71,6 +71,12 @@ def message_gaps(points: DataFrame, key: str, order: list[str], max_silence_ms:
     return seen.where("has_prev").select(key, F.col("prev_time_ms").alias("start_ms"), F.col("time_ms").alias("end_ms"), reason.alias("reason")).where("reason is not null")
 
 
+def open_silence(points: DataFrame, key: str, now_ms: int, max_silence_ms: int) -> DataFrame:
+    """key, start_ms, end_ms, reason: keys whose newest message is older than the limit, until now."""
+    newest = points.where(F.col("time_ms").isNotNull()).groupBy(key).agg(F.max_by("time_ms", F.struct("recv_ms", "time_ms")).alias("start_ms"))
+    return newest.where(F.lit(now_ms) - F.col("start_ms") > max_silence_ms).select(key, "start_ms", F.lit(now_ms).cast("long").alias("end_ms"), F.lit("silence").alias("reason"))
+
+
 def edge_rows(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """key, first and last row (as structs) in the given order."""
     row, by = F.struct(*df.columns), F.struct(*order)

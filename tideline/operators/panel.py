@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.timeops import second_of
+from tideline.functions.timeops import hour_floor, second_of
 from tideline.operators.ordered import as_of
 
 
@@ -42,3 +42,21 @@ def executions(rows: DataFrame, bars: DataFrame, side: str = "side") -> DataFram
     marked = as_of(known, bars, ["coin"], "x_second", "second", ["last"], strict=True, bucket_ms=86_400, prefix="m_").withColumnRenamed("m_last", "mark").drop("m_second", "x_second")
     none = found.where("x_second is null").drop("x_low", "x_high", "n_second", "x_second").withColumn("mark", F.lit(None).cast("double"))
     return marked.unionByName(none)
+
+
+def quotes_around(rows: DataFrame, quotes: DataFrame, time: str, side: str = "side") -> DataFrame:
+    """``rows`` with before_ms, after_ms and px: the worse, for the side, of the quotes just before and just after the instant.
+
+    ``quotes``: coin, time_ms, bid, ask. A buy pays the greater ask, a sell gets the lesser bid; one quote alone decides.
+    """
+    both = as_of(rows, quotes, ["coin"], time, "time_ms", ["bid", "ask"], prefix="b_")
+    both = as_of(both, quotes, ["coin"], time, "time_ms", ["bid", "ask"], forward=True, prefix="a_")
+    px = F.when(F.col(side) == "buy", F.greatest("b_ask", "a_ask")).otherwise(F.least("b_bid", "a_bid"))
+    return both.select(*rows.columns, F.col("b_time_ms").alias("before_ms"), F.col("a_time_ms").alias("after_ms"), px.alias("px"))
+
+
+def rates_at(rows: DataFrame, rates: DataFrame, time: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (coin, time) with the rate of their hour; and the coin, hour_ms that have none, which must not be."""
+    asked = rows.withColumn("hour_ms", hour_floor(time))
+    known = rates.groupBy("coin", "hour_ms").agg(F.min("rate").alias("rate"))
+    return asked.join(known, ["coin", "hour_ms"]), asked.select("coin", "hour_ms").distinct().join(known, ["coin", "hour_ms"], "left_anti")

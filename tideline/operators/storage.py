@@ -110,6 +110,13 @@ def replace_interval(stored: DataFrame, new: DataFrame, instant: str, span: tupl
     return stored.where(~inside | kept).unionByName(new.where(inside & ~kept))
 
 
+def add_only(existing: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The table with rows of new keys added, and the rows of ``new`` that would change what is there. Equal rows are neither."""
+    added = existing.unionByName(new.join(existing.select(key), key, "left_anti"))
+    clashes = multiset_difference(new.join(existing.select(key).distinct(), key, "left_semi"), existing).where("n_more > 0").drop("n_more")
+    return added, clashes
+
+
 class IntervalTable:
     """A Parquet table in versions, with the intervals written so far beside it. A version appears whole or not at all.
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions.timeops import DAY_MS, utc_day
 from tideline.operators import account as acc
-from tideline.operators.panel import delayed, executions
+from tideline.operators.feeds import open_silence
+from tideline.operators.panel import delayed, executions, quotes_around
 from tideline.plans.account import _PARTS, _steps
 from tideline.plans.registry import Registry
 from tideline.sources.tables import read
@@ -122,3 +123,24 @@ def stated_days(spark: SparkSession, d: str) -> DataFrame:
     b = read(spark, d, "book").groupBy(utc_day("recv_ms").alias("day")).agg(F.count(F.lit(1)).alias("c"))
     r = read(spark, d, "day_reports").where("day is not null and n_rows is not null").select("day", F.col("n_rows").alias("stated")).distinct()
     return r.join(b, "day", "left").select("day", "stated", F.coalesce("c", F.lit(0)).cast("long").alias("counted"))
+
+
+@query("""WITH q AS (SELECT coin, time_ms, max(struct_pack(a := coalesce(bid_px_1, -1), b := coalesce(ask_px_1, -1))) x, min(struct_pack(a := coalesce(bid_px_1, -1), b := coalesce(ask_px_1, -1))) y FROM book WHERE coin IS NOT NULL AND time_ms IS NOT NULL GROUP BY ALL),
+o AS (SELECT DISTINCT run_id, order_no, coin, side, exec_t FROM copy_orders WHERE coin IS NOT NULL AND exec_t IS NOT NULL),
+l AS (SELECT o.*, q.time_ms before_ms, nullif(q.x.a, -1) bb, nullif(q.x.b, -1) ba FROM o ASOF LEFT JOIN q ON o.coin = q.coin AND o.exec_t >= q.time_ms),
+r AS (SELECT l.*, q.time_ms after_ms, nullif(q.y.a, -1) ab, nullif(q.y.b, -1) aa FROM l ASOF LEFT JOIN q ON l.coin = q.coin AND l.exec_t <= q.time_ms)
+SELECT run_id, order_no, before_ms, after_ms, CASE WHEN side = 'buy' THEN CASE WHEN ba IS NULL THEN aa WHEN aa IS NULL THEN ba ELSE greatest(ba, aa) END ELSE CASE WHEN bb IS NULL THEN ab WHEN ab IS NULL THEN bb ELSE least(bb, ab) END END px FROM r""")
+def quotes_around_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The worse of the quotes around each order."""
+    o = read(spark, d, "copy_orders").where("coin is not null and exec_t is not null").select("run_id", "order_no", "coin", "side", "exec_t").distinct()
+    q = read(spark, d, "book").where("coin is not null").select("coin", "time_ms", F.col("bid_px_1").alias("bid"), F.col("ask_px_1").alias("ask"))
+    return quotes_around(o, q, "exec_t").select("run_id", "order_no", "before_ms", "after_ms", "px")
+
+
+@query("""WITH b AS (SELECT coin, max(struct_pack(recv_ms, time_ms)).time_ms start_ms FROM book WHERE time_ms IS NOT NULL GROUP BY coin), n AS (SELECT max(time_ms) // 86400000 * 86400000 now FROM book)
+SELECT coin, start_ms, now end_ms, 'silence' reason FROM b, n WHERE now - start_ms > 600000""")
+def open_silences(spark: SparkSession, d: str) -> DataFrame:
+    """Coins that are silent at the start of the newest day."""
+    points = read(spark, d, "book").select("coin", "time_ms", "recv_ms")
+    now = points.agg(F.max("time_ms")).first()[0] or 0
+    return open_silence(points, "coin", now // DAY_MS * DAY_MS, 600_000)
