@@ -85,6 +85,8 @@ def test_choices(spark):
     df = spark.createDataFrame([("a", 5), ("b", 4), ("c", 4), ("d", None)], "k string, v long")
     got = first_meeting(df, F.col("v") < 5, [F.desc("v"), F.asc("k")], 1)
     assert {r.k: (r.meets, r.place) for r in got.collect()} == {"a": (False, None), "b": (True, 1), "c": (True, None), "d": (False, None)}
+    odd = spark.createDataFrame([("a", None), (None, 3), (None, 2)], "k string, v long")
+    assert {(r.k, r.v): r.place for r in first_meeting(odd, F.lit(True), [F.desc_nulls_first("v")], 2).collect()} == {("a", None): 1, (None, 3): 2, (None, 2): None}
     assert rows(funnel(df, [("big", F.col("v") > 3), ("five", F.col("v") == 5)])) == [(0, "big", 4, 1), (1, "five", 3, 2)]
     assert rows(until_share(df.na.fill(0), "v", [F.desc("v"), F.asc("k")], 0.5).select("k")) == [("a",), ("b",)]
 

@@ -41,8 +41,13 @@ def second_of(x: Column | str) -> Column:
 
 
 def iso_text(x: Column | str) -> Column:
-    """``2013-01-01T00:00:00.123Z``; needs a session in UTC."""
-    return F.date_format(F.timestamp_millis(_c(x)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """``2013-01-01T00:00:00.123Z``, whatever the session's zone."""
+    day = utc_day(x)
+    rest = _c(x).cast("long") - day_start(day)
+    two = lambda c, n=2: F.lpad(c.cast("string"), n, "0")
+    at = lambda unit, limit: F.pmod(floor_div(rest, unit), F.lit(limit))
+    clock = F.concat(two(floor_div(rest, HOUR_MS)), F.lit(":"), two(at(60_000, 60)), F.lit(":"), two(at(1_000, 60)), F.lit("."), two(F.pmod(rest, F.lit(1_000)), 3))
+    return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), F.lit("T"), clock, F.lit("Z"))
 
 
 def parse_utc_date(text: Column | str) -> Column:

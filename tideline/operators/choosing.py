@@ -29,13 +29,18 @@ def block(ordered: DataFrame, size: int) -> DataFrame:
 
 
 def first_meeting(df: DataFrame, condition: Column, order: Sequence[Column], k: int) -> DataFrame:
-    """``df`` with ``place`` (1..k) of the first k rows that meet the condition, null for all others. A global top-k first."""
+    """``df`` with ``meets`` and ``place``: 1..k for the first k rows that meet the condition, null for all others.
+
+    Only the k best are ever ordered as a whole. ``order`` must tell rows apart; rows equal in every column share a place.
+    """
     marked = df.withColumn("meets", F.coalesce(condition, F.lit(False)))
     best = marked.where("meets").orderBy(*order).limit(k)
-    placed = best.withColumn("place", F.row_number().over(W.orderBy(*order)))  # k rows
-    return marked.where("not meets").withColumn("place", F.lit(None).cast("int")).unionByName(placed).unionByName(
-        marked.where("meets").join(best.select(*df.columns), list(df.columns), "left_anti").withColumn("place", F.lit(None).cast("int"))
-    )
+    placed = best.withColumn("place", F.row_number().over(W.orderBy(*order))).drop("meets")  # k rows
+    placed = placed.groupBy(*(F.col(c).alias(f"b_{c}") for c in df.columns)).agg(F.min("place").alias("place"))
+    on = F.col("meets")
+    for c in df.columns:
+        on &= F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    return marked.join(placed, on, "left").select(*df.columns, "meets", "place")
 
 
 def failed(stages: Sequence[tuple[str, Column]]) -> Column:
