@@ -88,9 +88,9 @@ p3 AS (SELECT *, coalesce(lag(open_after) OVER w, false) has, lag(side_after) OV
 p4 AS (SELECT *, has AND (bf = 0 OR sign(bf)::INT <> cs) forced FROM p3),
 p5 AS (SELECT *, has AND NOT forced live FROM p4),
 q AS (
- SELECT address, coin, kind, time_ms, seq, px, crossed, forced, 0 part, NOT live starts, opens opening, CASE WHEN opens THEN sz WHEN af = 0 OR crosses THEN abs(bf) ELSE sz END size, NOT live AND bf = 0 from_flat,
+ SELECT address, coin, kind, time_ms, seq, px, crossed, forced, start_position, signed, sz, closed_pnl, 0 part, NOT live starts, opens opening, CASE WHEN opens THEN sz WHEN af = 0 OR crosses THEN abs(bf) ELSE sz END size, NOT live AND bf = 0 from_flat,
   CASE WHEN opens AND bf = 0 THEN dd ELSE sign(bf)::INT END side, broke AND (live OR bf <> 0) broken_part, NOT opens AND (af = 0 OR crosses) ends FROM p5
- UNION ALL SELECT address, coin, kind, time_ms, seq, px, crossed, forced, 1, true, true, abs(af), true, sign(af)::INT, false, false FROM p5 WHERE crosses),
+ UNION ALL SELECT address, coin, kind, time_ms, seq, px, crossed, forced, start_position, signed, sz, closed_pnl, 1, true, true, abs(af), true, sign(af)::INT, false, false FROM p5 WHERE crosses),
 r AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY address, coin ORDER BY time_ms, seq, part ROWS UNBOUNDED PRECEDING)::BIGINT episode FROM q),
 e AS (SELECT address, coin, kind, episode, min(time_ms) opened, max(CASE WHEN ends THEN time_ms END) ended, arg_min(side, (time_ms, seq, part)) side, arg_min(from_flat, (time_ms, seq, part)) opened_from_flat, bool_or(broken_part) bp,
  sum(size * px) traded, sum(CASE WHEN opening THEN size * px ELSE 0 END) op, sum(CASE WHEN opening AND crossed THEN size * px ELSE 0 END) tk, count(*)::BIGINT n_fills, arg_min(forced, (time_ms, seq, part)) fs FROM r GROUP BY ALL),
@@ -118,13 +118,24 @@ def episode_facts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+# average cost, fill by fill: size, cost and realized result so far
+_PNL = f"""{_PARTS},
+sided AS (SELECT *, side * start_position b0, side * (start_position + signed) a0 FROM r),
+moved AS (SELECT *, greatest(a0, 0) - greatest(b0, 0) ch, starts AND b0 < 0 AND -b0 > 1e-9::DOUBLE * sz inherited FROM sided),
+folded AS (SELECT address, coin, episode, sum(CASE WHEN inherited THEN 0 ELSE closed_pnl END) reported, bool_or(closed_pnl IS NULL) unknown,
+ list_reduce(list_prepend([0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE], list([ch, px, side::DOUBLE] ORDER BY time_ms, seq, part)),
+  lambda s, f: CASE WHEN f[1] > 0 THEN [s[1] + f[1], (s[1] * s[2] + f[1] * f[2]) / (s[1] + f[1]), s[3]] ELSE [s[1] + f[1], s[2], s[3] - f[1] * (f[2] - s[2]) * f[3]] END)[3] realized FROM moved GROUP BY ALL),
+checked AS (SELECT address, coin, episode, abs(realized - reported) / traded * 1e4 bps FROM folded JOIN ep USING (address, coin, episode) WHERE opened_from_flat AND closed IS NOT NULL AND NOT broken AND NOT unknown AND traded > 0)
+"""
+
+
+@query(f"WITH {_PNL} SELECT address, coin, episode, round(bps, 6) divergence_bps FROM checked")
 def pnl_divergence(spark: SparkSession, d: str) -> DataFrame:
     """Rebuilt against reported result of every whole episode, in basis points of its notional."""
     return acc.pnl_divergence(acc.episodes(acc.parts(_steps(spark, d)))).withColumn("divergence_bps", F.round("divergence_bps", 6))
 
 
-@query()
+@query(f"WITH {_PNL} SELECT address, count(*)::BIGINT n, count(CASE WHEN bps > 10 THEN 1 END)::BIGINT n_over, round(max(bps), 6) max_bps FROM checked GROUP BY address")
 def pnl_violations(spark: SparkSession, d: str) -> DataFrame:
     """Accounts by how many of their whole episodes differ by more than ten basis points."""
     found = acc.pnl_divergence(acc.episodes(acc.parts(_steps(spark, d))))

@@ -10,7 +10,7 @@ from tideline.functions.timeops import DAY_MS, utc_day
 from tideline.operators import account as acc
 from tideline.operators.feeds import open_silence
 from tideline.operators.panel import delayed, executions, quotes_around
-from tideline.plans.account import _PARTS, _steps
+from tideline.plans.account import _PARTS, _PNL, _steps
 from tideline.plans.registry import Registry
 from tideline.sources.tables import read
 
@@ -102,7 +102,7 @@ def episode_bands(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(band.alias("band"), "opened_from_flat", F.col("closed").isNull().alias("still_open")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_fills").alias("fills"))
 
 
-@query()
+@query(f"WITH {_PNL}, t AS (SELECT unnest([0.001, 0.01, 0.1, 1, 10, 100])::DOUBLE tolerance_bps) SELECT tolerance_bps, count(*)::BIGINT n, count(CASE WHEN bps <= tolerance_bps THEN 1 END)::BIGINT n_within FROM checked, t GROUP BY tolerance_bps")
 def concordance(spark: SparkSession, d: str) -> DataFrame:
     """How many whole episodes agree with their reported result, at rising tolerances."""
     off = acc.pnl_divergence(acc.episodes(acc.parts(_steps(spark, d))))

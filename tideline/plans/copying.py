@@ -39,18 +39,24 @@ def copied_episodes(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d).groupBy(*KEYS, "episode").agg(F.min("exec_t").alias("opened"), F.max("exec_t").alias("last_t"), F.count(F.lit(1)).alias("n_parts"), F.sum("units").alias("net_units"))
 
 
-@query()
+_COST = f"""{_RUNS}, k AS (SELECT run_id, wallet, coin, episode, min(exec_t) opened, count(*)::BIGINT n_parts, sum(abs(units) / 100.0::DOUBLE * price) notional,
+ list_reduce(list_prepend([0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE], list([units / 100.0::DOUBLE, price, 0.0::DOUBLE] ORDER BY exec_t, order_no, part)),
+  lambda s, f: CASE WHEN abs(s[1] + f[1]) > abs(s[1]) THEN [s[1] + f[1], (s[1] * s[2] + f[1] * f[2]) / (s[1] + f[1]), s[3]]
+   ELSE [CASE WHEN abs(s[1] + f[1]) < 0.005 THEN 0 ELSE s[1] + f[1] END, s[2], s[3] - f[1] * (f[2] - s[2])] END) z FROM e GROUP BY ALL)"""
+
+
+@query(f"WITH {_COST} SELECT run_id, wallet, coin, episode, opened, n_parts, round(z[3], 2) realized, round(z[2], 8) AS cost, round(z[1], 6) AS size, round(notional, 2) notional FROM k")
 def average_costs(spark: SparkSession, d: str) -> DataFrame:
     """Realized result, average cost and size left of each copied episode."""
-    rounded = [F.round(c, 6).alias(c) for c in ("realized", "cost", "size", "notional")]
+    rounded = [F.round(c, n).alias(c) for c, n in (("realized", 2), ("cost", 8), ("size", 6), ("notional", 2))]
     return average_cost(_runs(spark, d), KEYS, "exec_t", ["order_no"]).select(*KEYS, "episode", "opened", "n_parts", *rounded)
 
 
-@query()
+@query(f"WITH {_COST} SELECT run_id, count(*)::BIGINT n, round(avg(CASE WHEN round(z[3], 6) > 0 THEN 1.0 ELSE 0.0 END), 9) hit_rate FROM k WHERE z[1] = 0 GROUP BY run_id")
 def hit_rates(spark: SparkSession, d: str) -> DataFrame:
     """Per run: closed episodes, and the share of them that gained."""
     c = average_cost(_runs(spark, d), KEYS, "exec_t", ["order_no"]).where("size = 0")
-    return c.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("realized") > 0).cast("double")), 9).alias("hit_rate"))
+    return c.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.round("realized", 6) > 0).cast("double")), 9).alias("hit_rate"))
 
 
 # -- curves --------------------------------------------------------------------------------------------------------------
