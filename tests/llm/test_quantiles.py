@@ -38,11 +38,12 @@ def test_few_values_are_exact():
     assert (n, err, v.tolist(), lo.tolist(), hi.tolist()) == (5, 0, [1, 2, 2, 5, 9], [1, 2, 3, 4, 5], [1, 2, 3, 4, 5])
 
 
-def test_bound_holds_over_partitions_and_days(spark):
+@pytest.mark.parametrize("fan_in", [2, 1024])
+def test_bound_holds_over_partitions_and_days(spark, fan_in):
     rng = np.random.default_rng(5)
     data = [(("hot" if i % 3 else "cold"), int(i % 4), float(x)) for i, x in enumerate(rng.lognormal(size=40_000))]
     df = spark.createDataFrame(data, "k string, day int, x double").repartition(9)
-    q = Quantiles(["k", "day"], eps=0.005)
+    q = Quantiles(["k", "day"], eps=0.005, fan_in=fan_in)
     days = q.combined(q.summaries(df, F.col("x")))
     for keys, got in ((["k", "day"], days), (["k"], q.combined(days, ["k"]))):
         for r in got.select(*keys, "n", "err", *(percentile(p).alias(f"p{p}") for p in (1, 50, 99))).collect():

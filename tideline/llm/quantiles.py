@@ -61,8 +61,9 @@ def merge(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], eps: floa
 class Quantiles:
     """Summaries of ``value`` per ``keys``; ``eps``: permitted rank error as a share of n."""
 
-    def __init__(self, keys: Sequence[str], eps: float = 0.0005, salts: int = 32):
-        self.keys, self.eps, self.salts = list(keys), eps, salts
+    def __init__(self, keys: Sequence[str], eps: float = 0.0005, fan_in: int = 1024):
+        """``fan_in``: from how many parts of the input summaries are merged at once; so many squared make one key's final merge."""
+        self.keys, self.eps, self.fan_in = list(keys), eps, fan_in
 
     def _schema(self, df: DataFrame, keys: Sequence[str]) -> str:
         kinds = dict(df.dtypes)
@@ -108,7 +109,7 @@ class Quantiles:
         return rows.mapInArrow(run, self._schema(rows, keys))
 
     def combined(self, summaries: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-        """One summary per ``keys`` (a subset of the summaries' keys): first under a salt, then in all."""
+        """One summary per ``keys`` (a subset of the summaries' keys): first over neighbouring parts, then in all."""
         keys = self.keys if keys is None else list(keys)
         schema = self._schema(summaries, keys)
 
@@ -121,8 +122,8 @@ class Quantiles:
 
             return run
 
-        salted = summaries.withColumn("salt_", F.pmod(F.xxhash64("v", "n", *summaries.columns[: len(summaries.columns) - 5]), F.lit(self.salts)))
-        middle = salted.groupBy(*keys, "salt_").applyInPandas(level(self.eps * 2 / 3), schema)
+        parts = summaries.withColumn("parts_", F.floor(F.spark_partition_id() / self.fan_in))
+        middle = parts.groupBy(*keys, "parts_").applyInPandas(level(self.eps * 2 / 3), schema)
         return middle.groupBy(*keys).applyInPandas(level(self.eps), schema)
 
 
