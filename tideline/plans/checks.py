@@ -23,12 +23,15 @@ DELAYS_MS = [1_000, 5_000, 30_000]
 @query(f"""WITH ev AS (SELECT DISTINCT run_id, order_no, coin, side, event_t FROM copy_orders WHERE coin IS NOT NULL AND event_t IS NOT NULL),
 x AS (SELECT ev.*, d delay_ms, event_t + d nominal_t, (event_t + d) // 1000 ns FROM ev, (SELECT unnest({DELAYS_MS})::BIGINT d)),
 b AS (SELECT coin, second, low, high, last FROM (SELECT DISTINCT coin, second, low, high, last FROM proxy)),
-f AS (SELECT coin, second, CASE WHEN count(*) = 1 THEN min(low) END low, CASE WHEN count(*) = 1 THEN min(high) END high FROM b GROUP BY ALL), g AS (SELECT coin, second, max(last) AS last FROM b GROUP BY ALL),
+f AS (SELECT coin, second, min(struct_pack(low, high)).low AS low, min(struct_pack(low, high)).high AS high FROM b GROUP BY ALL), g AS (SELECT coin, second, max(last) AS last FROM b GROUP BY ALL),
 y AS (SELECT x.*, f.second xs, f.low, f.high FROM x ASOF LEFT JOIN f ON x.coin = f.coin AND x.ns <= f.second),
 z AS (SELECT y.*, g.last mark FROM y ASOF LEFT JOIN g ON y.coin = g.coin AND y.xs > g.second)
 SELECT run_id, order_no, delay_ms, CASE WHEN xs = ns THEN nominal_t ELSE xs * 1000 END exec_t, CASE WHEN side = 'buy' THEN high ELSE low END exec_px, CASE WHEN xs IS NOT NULL THEN mark END mark FROM z""")
 def delayed_executions(spark: SparkSession, d: str) -> DataFrame:
-    """When and at what price each order would have been executed at several delays, and the price known just before."""
+    """When and at what price each order would have been executed at several delays, and the price known just before.
+
+    Of a second listed twice, the bar with the least low and high counts for execution, the greatest last price as mark.
+    """
     events = read(spark, d, "copy_orders").where("coin is not null and event_t is not null").select("run_id", "order_no", "coin", "side", "event_t").distinct()
     bars = read(spark, d, "proxy").select("coin", "second", "low", "high", "last").distinct()
     out = executions(delayed(events, "event_t", DELAYS_MS), bars)
