@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.timeops import DAY_MS, floor_div
+from tideline.functions.timeops import DAY_MS, floor_div, utc_day
 from tideline.operators import account as acc
 from tideline.operators.ordered import exists_between
 from tideline.plans.registry import Registry
@@ -14,11 +14,18 @@ from tideline.sources.tables import read
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
-START, END = 15700 * DAY_MS, 15708 * DAY_MS
+START, END = 15700 * DAY_MS, 15708 * DAY_MS  # the window of the SQL; the operators take theirs from the table
 NEIGHBOURHOOD_MS = 3_600_000
 AGE_EDGES_MS = [2 * DAY_MS, 5 * DAY_MS]
 
 
+def window(spark: SparkSession, d: str) -> tuple[int, int]:
+    """Start of the first and end of the last UTC day that has a fill; an empty window if no fill has a time."""
+    day = utc_day("time_ms")
+    first, last = read(spark, d, "fills").agg(F.min(day), F.max(day)).first()
+    return (0, 0) if first is None else (first * DAY_MS, (last + 1) * DAY_MS)
+
+
 def _steps(spark: SparkSession, d: str) -> DataFrame:
     return acc.steps(read(spark, d, "fills").where("address is not null"))
 
@@ -62,11 +69,11 @@ _TWAP = f"""SELECT k.*, EXISTS (SELECT 1 FROM u WHERE u.address = k.address AND
 @query(f"""WITH {_STEPS}, k AS ({_TWAP}) SELECT v.bucket, count(k.t)::BIGINT breaks, count(CASE WHEN k.has_twap THEN 1 END)::BIGINT with_twap
 FROM (SELECT unnest(range(3)) bucket) v LEFT JOIN k ON v.bucket = CASE WHEN {END} - k.t < {AGE_EDGES_MS[0]} THEN 0 WHEN {END} - k.t < {AGE_EDGES_MS[1]} THEN 1 ELSE 2 END GROUP BY v.bucket""")
 def break_ages(spark: SparkSession, d: str) -> DataFrame:
-    """Breaks by age at a stated moment, and how many have a fill of a split order nearby."""
+    """Breaks by age at the end of the last day that has fills, and how many have a fill of a split order nearby."""
     steps = _steps(spark, d)
     found = acc.breaks(steps).withColumn("low", F.col("prev_t") - NEIGHBOURHOOD_MS).withColumn("high", F.col("t") + NEIGHBOURHOOD_MS)
     near = exists_between(found, steps.where("twap_id is not null").select("address", "coin", "time_ms"), ["address", "coin"], "low", "high", "time_ms", "has_twap")
-    age = END - F.col("t")
+    age = window(spark, d)[1] - F.col("t")
     bucket = F.when(age < AGE_EDGES_MS[0], 0).when(age < AGE_EDGES_MS[1], 1).otherwise(2)
     counts = near.groupBy(bucket.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("b"), F.count(F.when(F.col("has_twap"), 1)).alias("w"))
     return spark.range(len(AGE_EDGES_MS) + 1).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").select("bucket", F.coalesce("b", F.lit(0)).cast("long").alias("breaks"), F.coalesce("w", F.lit(0)).cast("long").alias("with_twap"))
@@ -153,7 +160,7 @@ ch AS (SELECT address, {START} t, CASE WHEN pp <> 0 THEN 1 ELSE 0 END delta FROM
 {_LEVELS} SELECT address, min(lv)::BIGINT median_open, max(tot)::BIGINT weight FROM k WHERE cum * 100 >= tot * 50 GROUP BY address""")
 def open_count_steps(spark: SparkSession, d: str) -> DataFrame:
     """Median number of open coins of each account over the time with at least one."""
-    return acc.open_coins(_steps(spark, d), START, END)
+    return acc.open_coins(_steps(spark, d), *window(spark, d))
 
 
 @query(f"""WITH {_STEPS}, v AS (SELECT address, coin, time_ms AS t, seq, floor(abs(bf) * px * 100 + 0.5)::BIGINT fr, floor(abs(af) * px * 100 + 0.5)::BIGINT too FROM s),
@@ -162,14 +169,14 @@ ch AS (SELECT address, {START} t, fr delta FROM d WHERE rn = 1 UNION ALL SELECT
 {_LEVELS} SELECT address, min(lv)::BIGINT p95_cents, max(tot)::BIGINT weight FROM k WHERE cum * 100 >= tot * 95 GROUP BY address""")
 def exposure_steps(spark: SparkSession, d: str) -> DataFrame:
     """95th percentile over time in position of each account's exposure, in whole cents so that sums are exact."""
-    e = acc.exposure(_steps(spark, d), START, END)
+    e = acc.exposure(_steps(spark, d), *window(spark, d))
     return e.select("address", F.round(F.col("exposure") * 100).cast("long").alias("p95_cents"), F.round(F.col("hours") * 3_600_000).cast("long").alias("weight"))
 
 
 @query()
 def account_measures(spark: SparkSession, d: str) -> DataFrame:
-    """All measures of all accounts in one table."""
-    f = acc.facts(read(spark, d, "fills").where("address is not null"), START, END)
+    """All measures of all accounts in one table, over all days that have fills."""
+    f = acc.facts(read(spark, d, "fills").where("address is not null"), *window(spark, d))
     return f.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in f.dtypes))
 
 
