@@ -1,10 +1,10 @@
-"""The window of the account queries is that of the table, before and after the days that the SQL states."""
+"""Windows are those of the tables, before and after the days that the SQL states."""
 
 import pytest
 
 from compare import compare
 from tideline.functions.timeops import DAY_MS
-from tideline.plans import account
+from tideline.plans import account, relational
 from tideline.sources.tables import SCHEMAS
 
 FIRST, LAST = 15698, 15711
@@ -42,3 +42,18 @@ def test_measures_of_all_days(spark, root):
 def test_no_fills_no_window(spark, tmp_path):
     spark.createDataFrame([], SCHEMAS["fills"]).write.parquet(f"{tmp_path}/fills.parquet")
     assert account.account_measures(spark, str(tmp_path)).count() == account.open_count_steps(spark, str(tmp_path)).count() == 0
+
+
+def test_coverage_reaches_the_last_instant(spark, tmp_path):
+    at = lambda day, hour: day * DAY_MS + hour * HOUR
+    trade = lambda coin, t: (coin, t, t, 0, 1.0, 1.0, "A", None, None, 1)
+    spark.createDataFrame([trade("a", at(15706, 6)), trade("a", at(15709, 3)), trade("late", at(15708, 12)), trade("a", None)], SCHEMAS["trades"]).write.parquet(f"{tmp_path}/trades.parquet")
+    gaps = [("a", at(15707, 11), at(15708, 2), "silence"), ("late", at(15709, 1), at(15709, 4), "silence"), ("a", at(15712, 2), at(15712, 1), "silence"), (None, at(15712, 1), at(15712, 2), "silence"), ("a", at(15709, 0), None, "silence")]
+    spark.createDataFrame(gaps, SCHEMAS["gaps"]).write.parquet(f"{tmp_path}/gaps.parquet")
+    _, _, _, diff = compare(spark, str(tmp_path), "coverage_to_date", relational.coverage_to_date, relational.SQL["coverage_to_date"])
+    assert not diff
+    got = {(r.coin, r.day): (r.gap_ms // HOUR, r.unrecorded_ms // HOUR, r.observed_ms // HOUR, r.complete) for r in relational.coverage_to_date(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("a", 15706): (0, 6, 24, True), ("a", 15707): (13, 0, 24, True), ("a", 15708): (2, 0, 24, True), ("a", 15709): (0, 0, 4, False),
+        ("late", 15708): (0, 12, 24, True), ("late", 15709): (3, 0, 4, False),
+    }

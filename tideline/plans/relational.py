@@ -505,11 +505,23 @@ d AS (SELECT coin, since, unnest(range(since // {D}, {_NOW} // {D} + 1)) AS day
 x AS (SELECT *, day * {D} a, least((day + 1) * {D}, {_NOW}) b FROM d WHERE least((day + 1) * {D}, {_NOW}) > day * {D})
 SELECT x.coin, x.day, coalesce((SELECT sum(greatest(0, least(o.e, x.b) - greatest(o.s, x.a))) FROM o WHERE o.coin = x.coin AND o.s < x.b AND o.e > x.a), 0)::BIGINT gap_ms, greatest(0, since - a)::BIGINT unrecorded_ms, (b - a)::BIGINT observed_ms, (day + 1) * {D} <= {_NOW} AS complete FROM x""")
 def coverage_days(spark: SparkSession, d: str) -> DataFrame:
-    """Each coin's days since its first trade: outage, unrecorded and observed time; the present moment is a parameter."""
+    """Each coin's days since its first trade: outage, unrecorded and observed time, as of a stated moment."""
     since = read(spark, d, "trades").where("time_ms is not null").groupBy("coin").agg(F.min("time_ms").alias("since_ms"))
     return day_coverage(Intervals(read(spark, d, "gaps"), "coin", "start_ms", "end_ms"), since.where(F.col("since_ms") <= _NOW), _NOW)
 
 
+_LATEST = "(SELECT max(t) FROM (SELECT time_ms t FROM trades UNION ALL SELECT end_ms FROM gaps WHERE coin IS NOT NULL AND end_ms > start_ms))"
+
+
+@query(SQL["coverage_days"].replace(str(_NOW), _LATEST))
+def coverage_to_date(spark: SparkSession, d: str) -> DataFrame:
+    """The same as of the latest instant of trades and gaps, so that every day and coin of the tables has its row."""
+    trades, gaps = read(spark, d, "trades").where("time_ms is not null"), read(spark, d, "gaps")
+    latest = trades.select("time_ms").unionByName(gaps.where("coin is not null and end_ms > start_ms").select(F.col("end_ms").alias("time_ms"))).agg(F.max("time_ms")).first()[0]
+    since = trades.groupBy("coin").agg(F.min("time_ms").alias("since_ms"))
+    return day_coverage(Intervals(gaps, "coin", "start_ms", "end_ms"), since, latest or 0)
+
+
 @query("SELECT coin, day FROM (SELECT coin, day, row_number() OVER (PARTITION BY coin ORDER BY day) k FROM (SELECT DISTINCT coin, day FROM day_coverage WHERE complete AND (observed_ms - gap_ms - unrecorded_ms) * 100 >= observed_ms * 80)) WHERE k <= 3")
 def qualifying(spark: SparkSession, d: str) -> DataFrame:
     """The first three complete days of each coin covered by at least 80 percent, as stated."""
