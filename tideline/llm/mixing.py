@@ -4,7 +4,8 @@ A text that stands in several sources is one text with several memberships. Text
 tokens flow from patterns to source quotas, the k-th use of a pattern's tokens at cost k - 1, so that texts are repeated
 only where a quota asks for it, and shared texts go where they save a repetition. The network has as many nodes as there
 are patterns and sources, whatever the number of documents, and is solved on the driver. Along a seeded order of a
-pattern's texts each source then takes its stretch of tokens, whole texts each.
+pattern's texts each source then takes its stretch of tokens, whole texts each. A text that a source holds in several
+documents offers the tokens of all of them; its uses fill one document up to the source's limit, then the next.
 
 Sizes come from a public tokenizer whose file is a parameter. Texts without tokens, null texts and documents of sources
 without target are not used. A source without documents reaches nothing; the report says so. Unless a total is given,
@@ -18,6 +19,7 @@ import heapq
 import os
 import re
 from collections.abc import Iterator, Mapping
+from fractions import Fraction
 from functools import lru_cache
 
 import pandas as pd
@@ -104,8 +106,11 @@ class Flow:
             sent += push
 
 
-def route(patterns: Mapping[tuple[str, ...], int], quotas: Mapping[str, int], repeats: Mapping[str, int]) -> tuple[int, dict[tuple[tuple[str, ...], str], int]]:
-    """Tokens sent in all, and per (pattern, source)."""
+Sizes = Mapping[tuple[tuple[str, ...], str], int]
+
+
+def route(patterns: Mapping[tuple[str, ...], int], quotas: Mapping[str, int], repeats: Mapping[str, int], sizes: Sizes | None = None) -> tuple[int, dict[tuple[tuple[str, ...], str], int]]:
+    """Tokens sent in all, and per (pattern, source). ``sizes``: tokens of a source's documents in a pattern, where not the pattern's."""
     f = Flow()
     names = sorted(quotas)
     node = {s: 2 + i for i, s in enumerate(names)}
@@ -117,21 +122,21 @@ def route(patterns: Mapping[tuple[str, ...], int], quotas: Mapping[str, int], re
         for use in range(sum(repeats[s] for s in p)):
             f.add(0, at, tokens, use)
         for s in p:
-            ties[p, s] = f.add(at, node[s], tokens * repeats[s], 0)
+            ties[p, s] = f.add(at, node[s], (tokens if sizes is None else sizes[p, s]) * repeats[s], 0)
     f.out.setdefault(0, [])
     f.out.setdefault(1, [])
     sent = f.run(0, 1)
     return sent, {k: n for k, i in ties.items() if (n := f.used(i))}
 
 
-def largest_total(patterns: Mapping[tuple[str, ...], int], shares: Mapping[str, float], repeats: Mapping[str, int]) -> int:
+def largest_total(patterns: Mapping[tuple[str, ...], int], shares: Mapping[str, float], repeats: Mapping[str, int], sizes: Sizes | None = None) -> int:
     """The greatest total at which all quotas of sources that have texts are met."""
     have = {s for p in patterns for s in p if shares[s] > 0}
     low, high = 0, int(sum(n * sum(repeats[s] for s in p) for p, n in patterns.items()) / max(sum(shares[s] for s in have), 1e-12)) if have else 0
     while low < high:
         total = (low + high + 1) // 2
         quotas = {s: int(shares[s] * total) for s in have}
-        if route({p: n for p, n in patterns.items()}, quotas | {s: 0 for s in shares if s not in have}, repeats)[0] >= sum(quotas.values()):
+        if route({p: n for p, n in patterns.items()}, quotas | {s: 0 for s in shares if s not in have}, repeats, sizes)[0] >= sum(quotas.values()):
             low = total
         else:
             high = total - 1
@@ -151,15 +156,20 @@ class Mixture:
         self.shares = {r.source: float(r.x.target_share) for r in rows}
         self.repeats = {r.source: int(r.x.max_repeats) for r in rows}
         self.sized = written(self._sized(docs.join(F.broadcast(spark.createDataFrame([(s,) for s in self.shares], "source string")), "source"), ranks, pattern), "token-sizes")
-        self.members = self.sized.where("tokens > 0").groupBy("h1", "h2", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
-        self.texts = self.members.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.max("tokens").alias("tokens"))
-        found = self.texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MAX_PATTERNS + 1).collect()
+        self.documents = self.sized.where("tokens > 0").groupBy("h1", "h2", "source", "doc_id").agg(F.max("tokens").alias("tokens"))
+        members = self.documents.groupBy("h1", "h2", "source").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("tokens").alias("tokens"))
+        texts = members.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("source")).alias("pattern"))
+        self.members = members.join(texts, ["h1", "h2"])
+        found = self.members.groupBy("pattern", "source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens")).limit(MAX_PATTERNS + 1).collect()
         if len(found) > MAX_PATTERNS:
             raise ValueError("more membership patterns than the driver takes")
-        self.patterns = {tuple(r.pattern): int(r.tokens) for r in found}
-        self.total = largest_total(self.patterns, self.shares, self.repeats) if total_tokens is None else total_tokens
+        self.sizes = {(tuple(r.pattern), r.source): int(r.tokens) for r in found}
+        self.patterns: dict[tuple[str, ...], int] = {}
+        for (p, _), n in self.sizes.items():
+            self.patterns[p] = max(n, self.patterns.get(p, 0))
+        self.total = largest_total(self.patterns, self.shares, self.repeats, self.sizes) if total_tokens is None else total_tokens
         self.quotas = {s: int(share * self.total) for s, share in self.shares.items()}
-        _, self.routed = route(self.patterns, self.quotas, self.repeats)
+        _, self.routed = route(self.patterns, self.quotas, self.repeats, self.sizes)
 
     @staticmethod
     def _sized(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -172,36 +182,52 @@ class Mixture:
         return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, h1 long, h2 long, tokens long")
 
     def stretches(self, spark: SparkSession) -> DataFrame:
-        """pattern, source, start, end: where along a pattern's texts, laid end to end and round, each source takes its tokens."""
+        """pattern, source, start, end, size, limit: the tokens each source takes of its texts in a pattern, laid end to end and round.
+
+        A source begins at the share of the round at which the one before it ended.
+        """
         rows, at = [], {}
         for (p, s), n in sorted(self.routed.items()):
-            start = at.get(p, 0)
-            rows.append((list(p), s, start / self.patterns[p], (start + n) / self.patterns[p]))
-            at[p] = start + n
-        return spark.createDataFrame(rows, "pattern array<string>, source string, start double, end double")
+            begin, size = at.get(p, Fraction(0)), self.sizes[p, s]
+            start = int(begin % 1 * size)
+            rows.append((list(p), s, start, start + n, size, self.repeats[s]))
+            at[p] = begin + Fraction(n, size)
+        return spark.createDataFrame(rows, "pattern array<string>, source string, start long, end long, size long, limit long")
 
     def placed(self) -> DataFrame:
-        """Texts with the place, in [0, 1), at which each begins in its pattern's seeded order. Ordered slot by slot, never as a whole."""
-        texts = self.texts.withColumn("order", F.xxhash64(F.lit(self.seed), "h1", "h2")).withColumn("slot", F.pmod("order", F.lit(SLOTS)))
-        slots = texts.groupBy("pattern", "slot").agg(F.sum("tokens").alias("slot_tokens"))
-        along = W.partitionBy("pattern").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
-        slots = slots.withColumn("before_slot", F.sum("slot_tokens").over(along) - F.col("slot_tokens")).withColumn("all", F.sum("slot_tokens").over(W.partitionBy("pattern"))).drop("slot_tokens")
-        inside = W.partitionBy("pattern", "slot").orderBy("order", "h1", "h2").rowsBetween(W.unboundedPreceding, 0)
-        return texts.join(slots, ["pattern", "slot"]).withColumn("place", (F.col("before_slot") + F.sum("tokens").over(inside) - F.col("tokens")) / F.col("all"))
+        """Members with the tokens of their source before them in their pattern's seeded order. Ordered slot by slot, never as a whole."""
+        texts = self.members.withColumn("order", F.xxhash64(F.lit(self.seed), "h1", "h2")).withColumn("slot", F.pmod("order", F.lit(SLOTS))).withColumn("offered", F.col("copies") * F.col("tokens"))
+        slots = texts.groupBy("pattern", "source", "slot").agg(F.sum("offered").alias("slot_tokens"))
+        along = W.partitionBy("pattern", "source").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
+        slots = slots.withColumn("before_slot", F.sum("slot_tokens").over(along) - F.col("slot_tokens")).drop("slot_tokens")
+        inside = W.partitionBy("pattern", "source", "slot").orderBy("order", "h1", "h2").rowsBetween(W.unboundedPreceding, 0)
+        return texts.join(slots, ["pattern", "source", "slot"]).withColumn("before", F.col("before_slot") + F.sum("offered").over(inside) - F.col("offered"))
 
     def selected(self) -> DataFrame:
-        """doc_id, source, tokens, uses: documents used, one per text and source, and how often."""
+        """doc_id, source, tokens, uses: documents used, and how often."""
         stretch = self.stretches(self.sized.sparkSession)
-        # the points place + k inside [start, end)
-        uses = (F.ceil(F.col("end") - F.col("place")) - F.ceil(F.col("start") - F.col("place"))).cast("long")
-        taken = self.placed().join(F.broadcast(stretch), "pattern").withColumn("uses", uses).where("uses > 0").select("h1", "h2", "source", "uses")
-        return taken.join(self.members, ["h1", "h2", "source"]).select("doc_id", "source", "tokens", "uses")
+        # the copies that begin before a point of the round, each at before + i * tokens, + size for every round
+        until = lambda x: F.expr(f"copies * ({x} div size) + greatest(0, least(copies, ({x} % size - before + tokens - 1) div tokens))")
+        taken = self.placed().join(F.broadcast(stretch), ["pattern", "source"]).withColumn("uses", (until("end") - until("start")).cast("long")).where("uses > 0")
+        cols = ["doc_id", "source", "tokens", "uses"]
+        return taken.where("copies = 1").select(*cols).unionByName(self._over_copies(taken.where("copies > 1")).select(*cols))
+
+    def _over_copies(self, taken: DataFrame) -> DataFrame:
+        """The uses of texts with several documents, document by document. Ranked slot by slot, as one text can have most documents."""
+        text = ["h1", "h2", "source"]
+        rows = self.documents.join(taken.select(*text, "uses", "limit"), text).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
+        slots = rows.groupBy(*text, "slot").agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(W.partitionBy(*text).orderBy("slot").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+        slots = slots.withColumn("before", before).drop("n")
+        rank = F.col("before") + F.row_number().over(W.partitionBy(*text, "slot").orderBy("doc_id")) - 1
+        left = F.col("uses") - rank * F.col("limit")
+        return rows.join(slots, [*text, "slot"]).withColumn("uses", F.least(left, F.col("limit")).cast("long")).where("uses > 0")
 
     def shares_reached(self) -> DataFrame:
         """source, target_share, max_repeats, available, quota, reached, share, n_docs, n_uses: one row per target."""
         spark = self.sized.sparkSession
         plan = spark.createDataFrame([(s, self.shares[s], self.repeats[s], self.quotas[s]) for s in sorted(self.shares)], "source string, target_share double, max_repeats long, quota long")
-        have = self.members.groupBy("source").agg(F.sum("tokens").alias("available"))
+        have = self.members.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("available"))
         got = self.selected().groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("reached"), F.count(F.lit(1)).alias("n_docs"), F.sum("uses").alias("n_uses"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
         out = plan.join(have, "source", "left").join(got, "source", "left").select("source", "target_share", "max_repeats", zero("available"), "quota", zero("reached"), zero("n_docs"), zero("n_uses"))
