@@ -1,8 +1,8 @@
 """Texts that stop before their end, and how often each source cuts them.
 
 Per source and column, exact histograms of text length in characters and in bytes show how a source cuts: many texts of
-exactly the greatest length, a heap just below it (cut back to a word, a mark added), or too many whole multiples of a
-block size. Every text's ending is read against its whole structure: an open environment, group or formula, an unended
+exactly the greatest length or of another one that stands far out of its neighbours, a heap just below such a limit (cut
+back to a word, a mark added), or too many whole multiples of a block size. Copies of a text make no heap at another length. Every text's ending is read against its whole structure: an open environment, group or formula, an unended
 command, or a last sentence without its stop is a cut wherever it falls; endings that an author may well leave (a list
 of keywords, a formula, an ellipsis, a lone comment) count as cut only at a length at which the source cuts.
 
@@ -11,17 +11,20 @@ Null texts are no texts; an empty text is whole; repeated rows each count.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.session import written
 
 BLOCK = 512
 BROADCAST_ROWS = 100_000
+NEIGHBOURS = 64  # lengths on either side of one that are looked at for how many texts it would have by chance
 
 #: How a text ends.
 WHOLE, UNSURE, MARKED, CUT = 0, 1, 2, 3
@@ -111,13 +114,33 @@ class Truncation:
         return out
 
     def histograms(self) -> DataFrame:
-        """src, col, unit (chars, bytes), length, n: exact counts of every length."""
-        rows = self._long([], ("chars", F.length), ("bytes", F.octet_length))
+        """src, col, unit (chars, bytes), length, n, texts: exact counts of every length, of rows and of different texts."""
+        rows = self._long([], ("chars", F.length), ("bytes", F.octet_length), ("hash", F.xxhash64))
         unit = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).cast("long").alias("length")) for u in ("chars", "bytes"))))
-        return rows.select("src", "col", unit.alias("x")).groupBy("src", "col", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
+        return rows.groupBy("src", "col", "chars", "bytes", "hash").agg(F.count(F.lit(1)).alias("n")).select("src", "col", unit.alias("x"), "n").groupBy("src", "col", "x.unit", "x.length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+
+    def heaps(self, hist: DataFrame) -> DataFrame:
+        """src, col, unit, and the lengths, whether the greatest or not, at which and just below which texts heap up beyond chance.
+
+        Chance is the denser side of the neighbourhood and six deviations; a heap below a length is listed at the least one that shows it.
+        """
+        of = W.partitionBy("src", "col", "unit")
+        texts = lambda over: F.coalesce(F.sum("texts").over(over), F.lit(0))
+        beyond = lambda n, chance: (n >= self.least) & (n > chance + 6 * F.sqrt(chance) + 2)
+        by_length, by_log = of.orderBy("length"), of.orderBy("log")
+        side = F.greatest(texts(by_length.rangeBetween(-NEIGHBOURS, -1)) / F.least(F.col("length"), F.lit(NEIGHBOURS)), texts(by_length.rangeBetween(1, NEIGHBOURS)) / NEIGHBOURS)
+        step = lambda share: round(math.log(share) * 1e9)
+        one, four = step(1 - self.band), step(1 - 4 * self.band)
+        h = hist.where("length > 0").withColumn("log", F.round(F.log("length") * 1e9).cast("long")).withColumn("side", side)
+        near = texts(by_log.rangeBetween(one + 1, 0))
+        around = F.greatest(texts(by_log.rangeBetween(four, one)), texts(by_log.rangeBetween(1, step(1 + 3 * self.band)))) / 3
+        h = h.withColumn("at", beyond(F.col("texts"), F.col("side"))).withColumn("near", near).withColumn("around", around + 0.5)
+        h = h.withColumn("below", beyond(F.col("near"), F.col("around")))
+        h = h.withColumn("again", F.coalesce(F.bool_or("below").over(by_log.rangeBetween(one, -1)), F.lit(False)))
+        return h.groupBy("src", "col", "unit").agg(F.collect_list(F.when(F.col("at"), F.col("length"))).alias("at"), F.collect_list(F.when(F.col("below") & ~F.col("again"), F.col("length"))).alias("below"))
 
     def spikes(self) -> DataFrame:
-        """src, col, and per unit: the limit at which texts heap up exactly, the limit just below which they do, and whether blocks show."""
+        """src, col, and per unit: the limits at which texts heap up exactly, the limits just below which they do, and whether blocks show."""
         hist = self.histograms()
         top = hist.groupBy("src", "col", "unit").agg(F.max("length").alias("top"), F.sum("n").alias("total"))
         h = hist.join(top.withColumnsRenamed({"src": "src_", "col": "col_", "unit": "unit_"}), F.expr("src <=> src_ and col = col_ and unit = unit_"))
@@ -128,10 +151,13 @@ class Truncation:
             n(x == 1).alias("n_top"), n(near).alias("n_near"), n(below).alias("n_below"), n((F.col("length") % BLOCK == 0) & (F.col("length") > 0)).alias("n_block")
         )
         heap = lambda c: (F.col(c) >= self.least)
+        more = self.heaps(hist).withColumnsRenamed({"src": "src_", "col": "col_", "unit": "unit_"})
+        per = per.join(more, F.expr("src <=> src_ and col = col_ and unit = unit_"), "left")
+        limits = lambda top, more: F.array_union(F.when(top, F.array("top")).otherwise(F.array().cast("array<bigint>")), F.coalesce(more, F.array().cast("array<bigint>")))
         per = per.select(
             "src", "col", "unit",
-            F.when(heap("n_top"), F.col("top")).alias("exact"),
-            F.when(heap("n_near") & (F.col("n_near") > F.col("n_below")), F.col("top")).alias("about"),
+            limits(heap("n_top"), F.col("at")).alias("exact"),
+            limits(heap("n_near") & (F.col("n_near") > F.col("n_below")), F.col("below")).alias("about"),
             ((F.col("unit") == "bytes") & heap("n_block") & (F.col("n_block") * BLOCK > 4 * F.col("total"))).alias("blocks"),
         )
         of = lambda u, c: F.max(F.when(F.col("unit") == u, F.col(c)))
@@ -151,9 +177,10 @@ class Truncation:
         if s.count() <= BROADCAST_ROWS:  # a row per source and column
             s = F.broadcast(s)
         flagged = lambda c: F.coalesce(c, F.lit(False))
-        exact: Column = flagged(F.col("chars") == F.col("exact_chars")) | flagged(F.col("bytes").between(F.col("exact_bytes") - 3, F.col("exact_bytes"))) | flagged(F.col("blocks") & (F.col("bytes") % BLOCK == 0))
-        about = flagged(F.col("chars") > F.col("about_chars") * (1 - self.band)) | flagged(F.col("bytes") > F.col("about_bytes") * (1 - self.band))
-        cut = (F.col("ending") == CUT) | ((F.col("ending") == UNSURE) & exact) | ((F.col("ending") == MARKED) & about)
+        exact: Column = flagged(F.array_contains("exact_chars", F.col("chars").cast("long"))) | flagged(F.exists("exact_bytes", lambda x: F.col("bytes").between(x - 3, x))) | flagged(F.col("blocks") & (F.col("bytes") % BLOCK == 0))
+        below = lambda unit: flagged(F.exists(f"about_{unit}", lambda x: (F.col(unit) <= x) & (F.col(unit) > x * (1 - self.band))))
+        about = below("chars") | below("bytes")
+        cut = (F.col("ending") == CUT) | ((F.col("ending") == UNSURE) & exact) | ((F.col("ending") == MARKED) & (about | exact))
         return rows.join(s, F.expr("src <=> src_ and col = col_"), "left").select(*keep, "src", "col", "chars", "bytes", exact.alias("at_limit"), "ending", cut.alias("truncated"))
 
     def rates(self) -> DataFrame:
