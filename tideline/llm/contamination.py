@@ -72,6 +72,20 @@ class Grams:
                 yield t, k - int(ends[t] - lengths[t]), items
 
 
+def stretches(text: str, starts: list[int], n: int) -> list[dict[str, int]]:
+    """start, end, n_words of what windows of ``n`` words cover, in order; windows that overlap or touch are one."""
+    at = words_at(text)[1]
+    out = []
+    run = [starts[0], starts[0] + n]
+    for k in [*starts[1:], None]:
+        if k is not None and k <= run[1]:
+            run[1] = k + n
+        else:
+            out.append({"start": at[run[0]][0], "end": at[run[1] - 1][1], "n_words": run[1] - run[0]})
+            run = [k, (k or 0) + n]
+    return out
+
+
 class Contamination:
     def __init__(self, items: DataFrame, item: str = "item_id", passage: str = "passage", n: int = 13, broadcast_grams: int = 2_000_000):
         self.n, self.items = n, items.select(F.col(item).cast("long").alias("item_id"), F.col(passage).alias("passage")).where("item_id is not null and passage is not null")
@@ -116,42 +130,54 @@ class Contamination:
         of_docs = rows.mapInPandas(windows("doc_id"), f"doc_id {kind}, run string").withColumn("h", F.xxhash64("run"))
         return of_docs.join(of_items.distinct(), ["h", "run"]).select("doc_id", "item_id").distinct()
 
-    def spans(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-        """doc_id, start, end, n_words: the stretches of text covered by leaked runs, overlapping ones as one, in characters."""
-        if self.grams is None:
-            raise ValueError("spans need the items to fit the broadcast bound")
-        grams = self.grams
-        rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    def _spanned(self, rows: DataFrame) -> DataFrame:
+        """The rows with ``spans``: start, end, n_words of the leaked stretches of ``text``, null or empty without any."""
+        kind = "array<struct<start: bigint, end: bigint, n_words: bigint>>"
+        n = self.n
+        if self.grams is not None:
+            grams = self.grams
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            g = grams.value
-            for b in batches:
-                out = []
-                texts, ids = b["text"].to_list(), b["doc_id"].to_numpy()
+            @F.pandas_udf(kind)
+            def scan(text: pd.Series) -> pd.Series:
+                texts = [t or "" for t in text]
                 starts = defaultdict(list)
-                for t, k, _ in g.hits([words(x) for x in texts]):
+                for t, k, _ in grams.value.hits([words(x) for x in texts]):
                     starts[t].append(k)
-                for t, ks in starts.items():
-                    at = words_at(texts[t])[1]
-                    run = [ks[0], ks[0] + g.n]
-                    for k in [*ks[1:], None]:
-                        if k is not None and k <= run[1]:
-                            run[1] = k + g.n
-                        else:
-                            out.append((ids[t], at[run[0]][0], at[run[1] - 1][1], run[1] - run[0]))
-                            run = [k, (k or 0) + g.n]
-                if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "start", "end", "n_words"])
+                return pd.Series([stretches(texts[t], starts[t], n) if t in starts else None for t in range(len(texts))], dtype=object)
 
-        kind = dict(rows.dtypes)["doc_id"]
-        return rows.mapInPandas(scan, f"doc_id {kind}, start long, end long, n_words long")
+            return rows.withColumn("spans", scan("text"))
+
+        def windows(key: list[str]):
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    got = [(*r[:-1], k, " ".join(w[k : k + n])) for r in b.itertuples(index=False) for w in [words(r[-1])] for k in range(len(w) - n + 1)]
+                    if got:
+                        yield pd.DataFrame(got, columns=[*key, "k", "run"])
+
+            return run
+
+        @F.pandas_udf(kind)
+        def join(text: pd.Series, starts: pd.Series) -> pd.Series:
+            return pd.Series([None if k is None else stretches(t, list(k), n) for t, k in zip(text, starts)], dtype=object)
+
+        # where the runs stand follows from the text, so each text is looked up once and by what it says
+        known = self.items.select("passage").mapInPandas(windows([]), "k long, run string").select("run").distinct().withColumn("h", F.xxhash64("run"))
+        keyed = rows.withColumn("h1_", F.xxhash64("text")).withColumn("h2_", F.xxhash64(F.lit(1), "text"))
+        texts = keyed.where("text is not null").groupBy("h1_", "h2_").agg(F.first("text").alias("text"))
+        runs = texts.mapInPandas(windows(["h1_", "h2_"]), "h1_ long, h2_ long, k long, run string").withColumn("h", F.xxhash64("run"))
+        found = runs.join(known, ["h", "run"]).groupBy("h1_", "h2_").agg(F.sort_array(F.collect_list("k")).alias("starts_"))
+        return keyed.join(found, ["h1_", "h2_"], "left").withColumn("spans", join("text", "starts_")).drop("h1_", "h2_", "starts_")
+
+    def spans(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+        """doc_id, start, end, n_words: the stretches of text covered by leaked runs, overlapping ones as one, in characters."""
+        rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+        return self._spanned(rows).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*")
 
     def cleaned(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-        """doc_id, text, n_removed: every document, leaked spans replaced by one blank each."""
-        spans = self.spans(docs, doc, text).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-        rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+        """doc_id, text, n_removed: every document, leaked spans replaced by one blank each, whatever its doc_id."""
+        rows = self._spanned(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")))
         first = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
         cut = lambda acc, s: F.struct(F.concat(acc["kept"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(" ")).alias("kept"), s["end"].alias("at"))
         rest = F.aggregate("spans", first, cut, lambda acc: F.concat(acc["kept"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
         # offsets count code points, as Spark's substring does
-        return rows.join(spans, "doc_id", "left").select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest).alias("text"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_removed"))
+        return rows.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest).alias("text"), F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_removed"))
