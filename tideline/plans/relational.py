@@ -454,6 +454,37 @@ def divergence_log(spark: SparkSession, d: str) -> DataFrame:
     return log.groupBy("batch_id", "field").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _successive(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """For every delivery of a batch but the first, the rows of the one before it and its own, under its snapshot_ms."""
+    s = read(spark, d, "fill_snapshots").where("batch_id is not null and snapshot_ms is not null")
+    # a row per delivery, not per fill
+    near = W.partitionBy("batch_id").orderBy("snapshot_ms")
+    order = s.select("batch_id", "snapshot_ms").distinct().withColumn("prev_", F.lag("snapshot_ms").over(near)).withColumn("next_", F.lead("snapshot_ms").over(near))
+    s = s.join(order, ["batch_id", "snapshot_ms"])
+    cols = ["address", *_SNAP]
+    old = s.where("next_ is not null").select("batch_id", F.col("next_").alias("snapshot_ms"), *cols)
+    return old, s.where("prev_ is not null").select("batch_id", "snapshot_ms", *cols)
+
+
+_EACH = "(SELECT s.* EXCLUDE (snapshot_ms, seq), o.{at} snapshot_ms FROM fill_snapshots s JOIN (SELECT batch_id, snapshot_ms m, snapshot_ms own, lag(snapshot_ms) OVER w p, lead(snapshot_ms) OVER w n FROM (SELECT DISTINCT batch_id, snapshot_ms FROM fill_snapshots WHERE snapshot_ms IS NOT NULL) WINDOW w AS (PARTITION BY batch_id ORDER BY snapshot_ms)) o ON s.batch_id = o.batch_id AND s.snapshot_ms = o.m WHERE o.{has} IS NOT NULL)"
+_OLD, _NEW = _EACH.format(at="n", has="n"), _EACH.format(at="own", has="p")
+
+
+@query(f"""WITH x AS (SELECT *, 1 n FROM {_OLD} UNION ALL BY NAME SELECT *, -1 n FROM {_NEW})
+SELECT batch_id, snapshot_ms, address, coin, time_ms, px, sz, side, start_position, closed_pnl, fee, tid, sum(n)::BIGINT n FROM x GROUP BY ALL HAVING sum(n) <> 0""")
+def multiset_diff_each(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that the delivery before has more or less often than the delivery at snapshot_ms, for every delivery of a batch."""
+    return multiset_difference(*_successive(spark, d)).withColumnRenamed("n_more", "n")
+
+
+@query(SQL["divergence_log"].replace(_EDGE.format(f="min"), _OLD).replace(_EDGE.format(f="max"), _NEW).replace("batch_id, address, time_ms", "batch_id, snapshot_ms, address, time_ms")
+.replace("coalesce(o.batch_id, n.batch_id) batch_id,", "coalesce(o.batch_id, n.batch_id) batch_id, coalesce(o.snapshot_ms, n.snapshot_ms) snapshot_ms,").replace("o.batch_id = n.batch_id AND", "o.batch_id = n.batch_id AND o.snapshot_ms = n.snapshot_ms AND").replace("SELECT batch_id, field,", "SELECT batch_id, snapshot_ms, field,"))
+def divergence_log_each(spark: SparkSession, d: str) -> DataFrame:
+    """Which fields changed how often from one delivery to the next, for every delivery."""
+    log = change_log(*_successive(spark, d), ["batch_id", "snapshot_ms", "address", "time_ms", "tid"])
+    return log.groupBy("batch_id", "snapshot_ms", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""SELECT coin, time_ms, tid, px, 'old' AS version FROM trades WHERE time_ms < {LOW} OR time_ms >= {HIGH} OR (time_ms >= {LOW + D // 2} AND time_ms < {LOW + D})
 UNION ALL SELECT coin, time_ms, tid, px, 'new' FROM trades WHERE side = 'A' AND time_ms >= {LOW} AND time_ms < {HIGH} AND NOT (time_ms >= {LOW + D // 2} AND time_ms < {LOW + D})""")
 def upsert_replace(spark: SparkSession, d: str) -> DataFrame:
