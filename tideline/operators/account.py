@@ -1,7 +1,8 @@
 """Positions of accounts from their fills: steps, continuity breaks, events per instant, episodes from zero to zero.
 
 A fill declares the position before it, so every state is a function of one row and the previous one: no recursion.
-All accounts and coins are worked on in one plan, each run split by time (see ``ordered``).
+All accounts and coins are worked on in one plan. Long runs are split by time, at a width that follows from the rows of
+the busiest run (see ``ordered.split_ms``).
 
 Fills of other kinds, without price, size, side, start, time or coin are left out and counted by ``ignored``; rows
 repeated as a whole count once. Comparisons allow what lot sizes and floating point ask for.
@@ -13,15 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.timeops import DAY_MS, floor_div
-from tideline.operators.ordered import Runs, bucketed
-from tideline.operators.stats import step_levels, weighted_percentile
+from tideline.operators.curves import cost_fold
+from tideline.operators.ordered import LEAST_ROWS, SHARE, Runs, bucketed, split_ms
+from tideline.operators.stats import interpolated, step_levels, weighted_percentile
 from tideline.session import written
 
 #: Relative slack of positions, and the kinds that have positions.
 SLACK = 1e-9
 LOT_KIND, OTHER_KIND = "perp", "hip3"
 KEYS = ["address", "coin"]
-BUCKET_MS = 64 * DAY_MS  # a run is cut every so often; each cut costs a row
 
 
 def ignored(fills: DataFrame) -> DataFrame:
@@ -33,11 +34,11 @@ def ignored(fills: DataFrame) -> DataFrame:
     return fills.where(F.col("kind").isin(LOT_KIND, OTHER_KIND)).distinct().groupBy("address").agg(F.sum((missing | bad_side).cast("long")).alias("n_ignored"))
 
 
-def usable(fills: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def usable(fills: DataFrame, bucket_ms: int | None = None) -> DataFrame:
     """Fills with a signed size (side B adds, A takes away), each once, placed by account, coin and time."""
     named = fills.select("address", "seq", "time_ms", "coin", "kind", "px", "sz", "side", "start_position", "crossed", "closed_pnl", "twap_id")
     whole = named.where(F.col("kind").isin(LOT_KIND, OTHER_KIND) & F.col("side").isin("A", "B")).dropna(subset=["address", "time_ms", "coin", "px", "sz", "start_position"])
-    once = bucketed(whole, KEYS, "time_ms", bucket_ms).distinct()
+    once = bucketed(whole, KEYS, "time_ms", bucket_ms or split_ms(fills, KEYS, "time_ms")).distinct()
     return once.withColumn("signed", F.when(F.col("side") == "B", F.col("sz")).otherwise(-F.col("sz")))
 
 
@@ -45,7 +46,7 @@ def _sign(c: Column) -> Column:
     return F.signum(c).cast("int")
 
 
-def steps(fills: DataFrame, lots: DataFrame | None = None, default_lot: float = 0.01, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def steps(fills: DataFrame, lots: DataFrame | None = None, default_lot: float = 0.01, bucket_ms: int | None = None) -> DataFrame:
     """usable fills with lot, before, after (zero by rule), expected (null for a coin's first), broke, touched_zero.
 
     And what the next row will find: whether the fill opens or crosses, whether and on which side it leaves a position
@@ -113,13 +114,13 @@ def parts(steps_: DataFrame) -> DataFrame:
     return Runs(rows, KEYS, "time_ms", ["seq", "part"], null_keys=False).running(episode=F.col("starts").cast("long"))
 
 
-def episodes(parts_: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def episodes(parts_: DataFrame, bucket_ms: int = 64 * DAY_MS) -> DataFrame:
     """One row per episode: opened, closed (null while open), side, how it began and ended, notionals, fills, and its result.
 
     ``divergence_bps`` is the distance of the rebuilt from the reported result per traded notional, for whole episodes:
     from flat, closed, not broken, every fill with a reported result. With average cost, an episode whose sizes cancel
     has realized its cash flow, whatever the order of its fills. Where a residue below a lot is left, it counts at the
-    average cost reached; only the fills of such episodes are looked at in order, as a list.
+    average cost reached; only the fills of such episodes are folded in order, bucket by bucket.
     """
     notional = F.col("size") * F.col("px")
     at = F.struct("time_ms", "seq", "part")
@@ -153,8 +154,8 @@ def episodes(parts_: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     out = out.withColumn("closed", F.coalesce("ended", F.when(cut, F.col("next_opened")))).withColumn("broken", F.col("broken_fill") | cut)
     whole = F.expr("opened_from_flat and closed is not null and not broken and not unknown and traded_notional > 0")
     rest = out.where(whole & (F.abs("residue") > 1e-9)).select(*KEYS, "episode")
-    left = rows.join(rest, [*KEYS, "episode"], "left_semi").groupBy(*KEYS, "episode").agg(F.array_sort(F.collect_list(F.struct("time_ms", "seq", "part", "px", "change"))).alias("fills"))
-    left = left.select(*KEYS, "episode", _cost_left("fills").alias("cost_left"))
+    left = cost_fold(rows.join(rest, [*KEYS, "episode"], "left_semi"), [*KEYS, "episode"], "time_ms", ["seq", "part"], "px", "change", 0.0, bucket_ms)
+    left = left.select(*KEYS, "episode", (F.col("size") * F.col("cost")).alias("cost_left"))
     out = out.join(left, [*KEYS, "episode"], "left")
     realized = F.col("side") * (F.col("cash") + F.coalesce("cost_left", F.lit(0.0)))
     gap = F.when(whole, F.abs(realized - F.col("reported")) / F.col("traded_notional") * 1e4)
@@ -164,53 +165,82 @@ def episodes(parts_: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     )
 
 
-def _cost_left(fills: str) -> Column:
-    """Size left times average cost after folding the fills in order: what opens is averaged in, what closes leaves the average."""
-    zero = F.lit(0.0)
-
-    def fold(s: Column, x: Column) -> Column:
-        size = s["size"] + x["change"]
-        cost = F.when(x["change"] > 0, (s["size"] * s["cost"] + x["change"] * x["px"]) / size).otherwise(s["cost"])
-        return F.struct(size.alias("size"), cost.alias("cost"))
-
-    return F.aggregate(fills, F.struct(zero.alias("size"), zero.alias("cost")), fold, lambda s: s["size"] * s["cost"])
-
-
 def pnl_divergence(episodes_: DataFrame) -> DataFrame:
     """address, coin, episode, divergence_bps of the episodes that can be checked."""
     return episodes_.where("divergence_bps is not null").select(*KEYS, "episode", "divergence_bps")
 
 
-def facts(fills: DataFrame, start_ms: int, end_ms: int, default_lot: float = 0.01, tolerance_bps: float = 10.0) -> DataFrame:
+def facts(fills: DataFrame, start_ms: int, end_ms: int, default_lot: float = 0.01, tolerance_bps: float = 10.0, universe: DataFrame | None = None, accounts: DataFrame | None = None, coverage: DataFrame | None = None, block_days: int = 7) -> DataFrame:
     """One row of measures per account over [start, end): fills, breaks, episodes, durations, shares, open coins, results.
 
-    Parts are made once, as a table; every measure is an aggregate over all accounts at once.
+    ``universe``: coin; breaks, episodes and the share of notional count inside it only. ``accounts``: address,
+    account_value, role. ``coverage``: address, start_ms, end_ms, status, ingested_at_ms; the last row of exactly this
+    window decides. Without them the measures are over all coins, and value, role and coverage are null.
+    Blocks of ``block_days`` end at the window's end. Parts are made once, as a table; every measure is an aggregate over
+    all accounts at once.
     """
-    inside = fills.where((F.col("time_ms") >= start_ms) & (F.col("time_ms") < end_ms))
-    parts_ = written(parts(steps(inside, default_lot=default_lot)), "parts")
-    steps_ = parts_.where("part = 0")  # one row per fill
-    episodes_ = episodes(parts_)
-    notional = F.coalesce(F.abs("sz") * F.col("px"), F.lit(0.0))
-    base = inside.groupBy("address").agg(
-        F.count(F.lit(1)).alias("n_fills"), F.sum(notional).alias("notional"), F.sum(F.when(F.col("kind") == LOT_KIND, notional).otherwise(0.0)).alias("perp_notional"),
-        F.count(F.when(F.lower("liquidated_user") == F.lower("address"), 1)).alias("liquidated_fills"),
-    )
-    broken = steps_.groupBy("address").agg(F.count(F.when(F.col("broke"), 1)).alias("n_breaks"))
-    flat = F.col("opened_from_flat")
-    opened = F.sum(F.when(flat, F.col("opening_notional")))
-    runs = episodes_.groupBy("address").agg(
-        F.count(F.when(flat & F.col("closed").isNotNull(), 1)).alias("closed_episodes"),
-        F.median(F.when(flat, F.col("closed") - F.col("opened"))).alias("median_duration_ms"),
-        F.when(opened > 0, F.sum(F.when(flat, F.col("opening_taker_notional"))) / opened).alias("taker_share"),
-        F.size(F.collect_set(F.when(flat, floor_div(F.col("opened") - start_ms, 7 * DAY_MS)))).cast("long").alias("active_blocks"),
-        F.max("divergence_bps").alias("max_divergence_bps"),
-        F.count(F.when(F.col("divergence_bps") > tolerance_bps, 1)).alias("n_violations"),
-    )
-    open_ = open_coins(steps_, start_ms, end_ms).drop("weight")
-    out = base
-    for more in (ignored(inside), broken, runs, open_):
-        out = out.join(more, "address", "left")
-    return out
+    return Measures(fills, start_ms, end_ms, default_lot, universe).facts(tolerance_bps, accounts, coverage, block_days)
+
+
+class Measures:
+    """Measures of all accounts over one window; steps and parts are written once and shared by all of them."""
+
+    def __init__(self, fills: DataFrame, start_ms: int, end_ms: int, default_lot: float = 0.01, universe: DataFrame | None = None, share: float = SHARE, least: int = LEAST_ROWS):
+        self.start_ms, self.end_ms = start_ms, end_ms
+        self.fills = fills.where((F.col("time_ms") >= start_ms) & (F.col("time_ms") < end_ms))
+        self.coins = None if universe is None else universe.select("coin").distinct()
+        self.level_ms = split_ms(self.fills, ["address"], "time_ms", share, least)
+        width = split_ms(self.fills, KEYS, "time_ms", share, least)
+        self.parts = written(parts(steps(self.fills, default_lot=default_lot, bucket_ms=width)), "parts")
+        self.steps = self.parts.where("part = 0")  # one row per fill
+
+    def _inside(self, df: DataFrame) -> DataFrame:
+        """Rows of the universe's coins: a list of instruments, so mostly a broadcast by measured size."""
+        return df if self.coins is None else df.join(self.coins, "coin", "left_semi")
+
+    def facts(self, tolerance_bps: float = 10.0, accounts: DataFrame | None = None, coverage: DataFrame | None = None, block_days: int = 7) -> DataFrame:
+        inside, episodes_ = self.fills, self._inside(episodes(self.parts))
+        notional = F.coalesce(F.abs("sz") * F.col("px"), F.lit(0.0))
+        known = inside if self.coins is None else inside.join(self.coins.withColumn("of_universe", F.lit(True)), "coin", "left")
+        of = F.lit(True) if self.coins is None else F.coalesce("of_universe", F.lit(False))
+        base = known.groupBy("address").agg(
+            F.count(F.lit(1)).alias("n_fills"), F.sum(notional).alias("notional"), F.sum(F.when(F.col("kind") == LOT_KIND, notional).otherwise(0.0)).alias("perp_notional"),
+            F.count(F.when(F.lower("liquidated_user") == F.lower("address"), 1)).alias("liquidated_fills"), F.sum(F.when(of, notional).otherwise(0.0)).alias("u_"),
+        )
+        base = base.withColumn("universe_share", F.when(F.col("notional") > 0, F.col("u_") / F.col("notional"))).drop("u_")
+        broken = self._inside(self.steps).groupBy("address").agg(F.count(F.when(F.col("broke"), 1)).alias("n_breaks"))
+        flat = F.col("opened_from_flat")
+        closed = flat & F.col("closed").isNotNull()
+        opened = F.sum(F.when(flat, F.col("opening_notional")))
+        block = floor_div(F.lit(self.end_ms - 1).cast("long") - F.col("opened"), block_days * DAY_MS)
+        runs = episodes_.groupBy("address").agg(
+            F.count(F.when(closed, 1)).alias("closed_episodes"),
+            F.when(opened > 0, F.sum(F.when(flat, F.col("opening_taker_notional"))) / opened).alias("taker_share"),
+            F.size(F.collect_set(F.when(flat, block))).cast("long").alias("active_blocks"),
+            F.max(F.when(closed, F.col("divergence_bps"))).alias("max_divergence_bps"),
+            F.count(F.when(F.col("divergence_bps") > tolerance_bps, 1)).alias("n_violations"),
+            F.count(F.when(closed & F.col("divergence_bps").isNull(), 1)).alias("unreconciled_episodes"),
+        )
+        durations = interpolated(episodes_.where(closed), ["address"], F.col("closed") - F.col("opened"), {"median_duration_ms": 0.5}).drop("n")
+        open_ = self.open_coins().drop("weight")
+        out = base
+        for more in (ignored(inside), broken, runs, durations, open_):
+            out = out.join(more, "address", "left")
+        zero = ("n_ignored", "n_breaks", "closed_episodes", "active_blocks", "n_violations", "unreconciled_episodes")
+        out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in zero})
+        if accounts is not None:
+            out = out.join(accounts.groupBy("address").agg(F.max("account_value").alias("account_value"), F.max("role").alias("role")), "address", "left")
+        if coverage is not None:
+            mine = coverage.where((F.col("start_ms") == self.start_ms) & (F.col("end_ms") == self.end_ms))
+            last = mine.groupBy("address").agg(F.max_by("status", F.struct("ingested_at_ms", "status")).alias("s_"))
+            out = out.join(last, "address", "left").withColumn("coverage_ok", F.coalesce(F.col("s_") == "ok", F.lit(False))).drop("s_")
+        return out
+
+    def open_coins(self, pct: int = 50) -> DataFrame:
+        return open_coins(self.steps, self.start_ms, self.end_ms, pct, self.level_ms)
+
+    def exposure(self, pct: int = 95) -> DataFrame:
+        return exposure(self._inside(self.steps), self.start_ms, self.end_ms, pct, self.level_ms)
 
 
 def moves(steps_: DataFrame, was: Column, before: Column, after: Column, start_ms: int) -> DataFrame:
@@ -220,18 +250,18 @@ def moves(steps_: DataFrame, was: Column, before: Column, after: Column, start_m
     return first.unionByName(steps_.select("address", F.col("time_ms").alias("t"), (after - F.when(seen, was).otherwise(before)).alias("delta")))
 
 
-def open_coins(steps_: DataFrame, start_ms: int, end_ms: int, pct: int = 50) -> DataFrame:
+def open_coins(steps_: DataFrame, start_ms: int, end_ms: int, pct: int = 50, bucket_ms: int | None = None) -> DataFrame:
     """address, median_open, weight: time-weighted percentile of the number of open coins, over the time with at least one."""
     is_open = lambda c: (F.col(c) != 0).cast("long")
     changes = moves(steps_, is_open("expected"), is_open("before"), is_open("after"), start_ms)
-    return weighted_percentile(step_levels(changes, ["address"], "t", "delta", start_ms, end_ms), ["address"], "level", "weight", pct, "median_open")
+    return weighted_percentile(step_levels(changes, ["address"], "t", "delta", start_ms, end_ms, bucket_ms), ["address"], "level", "weight", pct, "median_open")
 
 
-def exposure(steps_: DataFrame, start_ms: int, end_ms: int, pct: int = 95) -> DataFrame:
+def exposure(steps_: DataFrame, start_ms: int, end_ms: int, pct: int = 95, bucket_ms: int | None = None) -> DataFrame:
     """address, exposure, hours: time-weighted percentile of the sum of |position| * price over time in position, in whole cents."""
     cents = lambda c, px: F.floor(F.abs(F.col(c)) * F.col(px) * 100 + 0.5).cast("long")
     changes = moves(steps_, cents("expected", "prev_px"), cents("before", "px"), cents("after", "px"), start_ms)
-    found = weighted_percentile(step_levels(changes, ["address"], "t", "delta", start_ms, end_ms), ["address"], "level", "weight", pct, "cents")
+    found = weighted_percentile(step_levels(changes, ["address"], "t", "delta", start_ms, end_ms, bucket_ms), ["address"], "level", "weight", pct, "cents")
     return found.select("address", (F.col("cents") / 100).alias("exposure"), (F.col("weight") / 3_600_000).alias("hours"))
 
 

@@ -27,11 +27,11 @@ def sharpe(rets: DataFrame, keys: Sequence[str], periods: int) -> DataFrame:
     return agg.select(*keys, "n", F.when(ok, F.col("m") / F.col("s") * F.sqrt(F.lit(float(periods)))).alias("sharpe"))
 
 
-def drawdowns(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
+def drawdowns(curve: DataFrame, keys: Sequence[str], bucket_ms: int = 64 * DAY_MS) -> DataFrame:
     """keys, depth, peak_t, trough_t, recovery_t: the deepest fall from the running maximum; first of equals; nulls without one."""
-    upto = W.partitionBy(*keys).orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    best = F.max(F.struct("equity", (-F.col("t")).alias("nt"))).over(upto)  # the first instant of the running maximum
-    rows = curve.withColumn("top", best).withColumn("depth", (F.col("top.equity") - F.col("equity")) / F.col("top.equity"))
+    best = F.struct("equity", (-F.col("t")).alias("nt"))  # the first instant of the running maximum
+    rows = Runs(curve, keys, "t", [], bucket_ms).annotate(highest={"top": best})
+    rows = rows.withColumn("depth", (F.col("top.equity") - F.col("equity")) / F.col("top.equity"))
     low = rows.groupBy(*(F.col(k).alias(f"d_{k}") for k in keys)).agg(F.max(F.struct("depth", (-F.col("t")).alias("nt"), F.col("top.equity").alias("peak"), (-F.col("top.nt")).alias("peak_t"))).alias("x"))
     low = low.select(*(f"d_{k}" for k in keys), F.col("x.depth").alias("depth"), (-F.col("x.nt")).alias("trough_t"), F.col("x.peak").alias("peak"), F.col("x.peak_t").alias("peak_t"))
     on = (F.col("t") > F.col("trough_t")) & (F.col("equity") >= F.col("peak"))
@@ -42,17 +42,16 @@ def drawdowns(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     return back.select(*(F.col(f"d_{k}").alias(k) for k in keys), F.greatest("depth", F.lit(0.0)).alias("depth"), *(F.when(fell, F.col(c)).alias(c) for c in ("peak_t", "trough_t", "recovery_t")))
 
 
-def together(curves: DataFrame, group: Sequence[str], member: str) -> DataFrame:
-    """group, t, equity: sum over members of each one's last point at or before t, at every instant any of them has."""
-    instants = curves.select(*group, "t").distinct()
-    members = curves.select(*group, member).distinct()
-    # instants x members is what the sum needs: each member has a value at each instant
-    on = F.lit(True)
-    for g in group:
-        on &= instants[g].eqNullSafe(members[g])
-    asked = instants.join(members, on).select(*(instants[c] for c in instants.columns), member)
-    seen = as_of(asked, curves, [*group, member], "t", "t", ["equity"])
-    return seen.groupBy(*group, "t").agg(F.sum("r_equity").alias("equity"))
+def together(curves: DataFrame, group: Sequence[str], member: str, bucket_ms: int = DAY_MS) -> DataFrame:
+    """group, t, equity: sum over members of each one's last point at or before t, at every instant any of them has.
+
+    A member's point adds its difference from the one before it, so the sum is a running sum of changes: one row per
+    point, whatever the number of members. Of several points of a member at one instant the greatest counts.
+    """
+    points = curves.where("equity is not null").groupBy(*group, member, "t").agg(F.max("equity").alias("equity"))
+    seen = Runs(points, [*group, member], "t", [], bucket_ms).previous(["equity"])
+    changes = seen.groupBy(*group, "t").agg(F.sum(F.col("equity") - F.coalesce("prev_equity", F.lit(0.0))).alias("change_"))
+    return Runs(changes, group, "t", [], bucket_ms).annotate(running={"equity": F.col("change_")}).select(*group, "t", "equity")
 
 
 def order_runs(orders: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], signed: Column, bucket_ms: int = DAY_MS) -> DataFrame:
@@ -71,24 +70,45 @@ def order_runs(orders: DataFrame, keys: Sequence[str], time: str, order: Sequenc
     return Runs(rows, keys, time, [*order, "part"], bucket_ms).running(episode=(F.col("before_units") == 0).cast("long"))
 
 
-def average_cost(runs: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], price: str = "price") -> DataFrame:
-    """keys, episode, opened, n_parts, realized, cost, size, notional: average cost over each episode of ``order_runs``.
+def cost_fold(rows: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], price: str, change: str, dust: float, bucket_ms: int) -> DataFrame:
+    """keys, size, cost, realized: average cost over the rows of ``keys`` in order, each changing the position by ``change``.
 
-    The average after a step needs the one before it, so an episode's parts are folded in order, as a list, in the JVM.
+    What grows the position is averaged in, what shrinks it realizes against the average. The average after a step is
+    linear in the average before it, so the rows of a time bucket fold into one row of coefficients, and these rows fold
+    along the run: no list is longer than a bucket's rows or a run's buckets. ``dust``: a smaller size is zero.
     """
-    item = F.struct(time, *order, "part", F.col(price).alias("px"), (F.col("units") / 100.0).alias("change"))
-    per = runs.groupBy(*keys, "episode").agg(F.array_sort(F.collect_list(item)).alias("rows"), F.count(F.lit(1)).alias("n_parts"), F.min(time).alias("opened"), F.sum(F.abs("units") / 100.0 * F.col(price)).alias("notional"))
-    zero = F.lit(0.0)
-    start = F.struct(zero.alias("size"), zero.alias("cost"), zero.alias("realized"))
+    at = F.floor(F.col(time) / F.lit(bucket_ms))
+    units = F.col(change)
+    sizes = rows.groupBy(*keys, at.alias("at_")).agg(F.sum(units).alias("moved_"))
+    before = W.partitionBy(*keys).orderBy("at_").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumn("size_", F.coalesce(F.sum("moved_").over(before), F.lit(0.0))).drop("moved_")
+    item = F.struct(time, *order, F.col(price).cast("double").alias("px"), units.alias("change"))
+    per = rows.groupBy(*keys, at.alias("at_")).agg(F.array_sort(F.collect_list(item)).alias("rows_")).join(sizes, [*keys, "at_"])
+    zero, one = F.lit(0.0), F.lit(1.0)
+    # cost = cost0 + cost1 * the bucket's first cost, realized likewise
+    start = F.struct(F.when(F.abs("size_") < dust, zero).otherwise(F.col("size_")).alias("size"), zero.alias("cost0"), one.alias("cost1"), zero.alias("gain0"), zero.alias("gain1"))
 
     def fold(s: Column, x: Column) -> Column:
         size = s["size"] + x["change"]
         grows = F.abs(size) > F.abs(s["size"])
-        cost = F.when(grows, (s["size"] * s["cost"] + x["change"] * x["px"]) / size).otherwise(s["cost"])
-        realized = s["realized"] + F.when(grows, zero).otherwise(-x["change"] * (x["px"] - s["cost"]))
-        return F.struct(F.when(F.abs(size) < 0.005, zero).otherwise(size).alias("size"), cost.alias("cost"), realized.alias("realized"))
-
-    return per.withColumn("x", F.aggregate("rows", start, fold)).select(*keys, "episode", "opened", "n_parts", F.col("x.realized").alias("realized"), F.col("x.cost").alias("cost"), F.col("x.size").alias("size"), "notional")
+        cost0 = F.when(grows, (s["size"] * s["cost0"] + x["change"] * x["px"]) / size).otherwise(s["cost0"])
+        cost1 = F.when(grows, s["size"] * s["cost1"] / size).otherwise(s["cost1"])
+        gain0 = s["gain0"] + F.when(grows, zero).otherwise(-x["change"] * (x["px"] - s["cost0"]))
+        gain1 = s["gain1"] + F.when(grows, zero).otherwise(x["change"] * s["cost1"])
+        return F.struct(F.when(F.abs(size) < dust, zero).otherwise(size).alias("size"), cost0.alias("cost0"), cost1.alias("cost1"), gain0.alias("gain0"), gain1.alias("gain1"))
+
+    parts = per.select(*keys, "at_", F.aggregate("rows_", start, fold).alias("x")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at_", "x.*"))).alias("parts_"))
+    flat = F.struct(zero.alias("size"), zero.alias("cost"), zero.alias("realized"))
+    along = lambda s, x: F.struct(x["size"].alias("size"), (x["cost0"] + x["cost1"] * s["cost"]).alias("cost"), (s["realized"] + x["gain0"] + x["gain1"] * s["cost"]).alias("realized"))
+    return parts.select(*keys, F.aggregate("parts_", flat, along).alias("x")).select(*keys, "x.*")
+
+
+def average_cost(runs: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], price: str = "price", bucket_ms: int = 64 * DAY_MS) -> DataFrame:
+    """keys, episode, opened, n_parts, realized, cost, size, notional: average cost over each episode of ``order_runs``."""
+    run = [*keys, "episode"]
+    rows = runs.withColumn("change_", F.col("units") / 100.0)
+    sums = rows.groupBy(*run).agg(F.min(time).alias("opened"), F.count(F.lit(1)).alias("n_parts"), F.sum(F.abs("change_") * F.col(price)).alias("notional"))
+    return sums.join(cost_fold(rows, run, time, [*order, "part"], price, "change_", 0.005, bucket_ms), run).select(*run, "opened", "n_parts", "realized", "cost", "size", "notional")
 
 
 def ladder_fill(levels: DataFrame, keys: Sequence[str], level: str, size: str, price: str, wanted: float) -> DataFrame:

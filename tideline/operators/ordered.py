@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.functions.timeops import DAY_MS, floor_to
+from tideline.functions.timeops import DAY_MS, HOUR_MS, floor_div, floor_to
 
 BUCKET = "bucket_"
+SHARE, LEAST_ROWS, WIDEST_DAYS = 1 / 128, 20_000, 4096
 
 
 def on_same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -33,6 +34,21 @@ def bucketed(df: DataFrame, keys: Sequence[str], time: str, bucket_ms: int) -> D
     return df.withColumn(BUCKET, floor_to(time, bucket_ms)).repartition(*keys, BUCKET)
 
 
+def split_ms(df: DataFrame, keys: Sequence[str], time: str, share: float = SHARE, least: int = LEAST_ROWS) -> int:
+    """The bucket width at which no bucket of a run holds more than ``share`` of all rows, or ``least`` rows. Eager, over narrow rows.
+
+    Follows from exact counts per run and day: as many days as the busiest day allows, an hour where a day is too much,
+    and one bucket for each run where no run is that long, as each cut costs a row.
+    """
+    daily = df.where(F.col(time).isNotNull()).groupBy(*keys, floor_div(time, DAY_MS).alias("d_")).agg(F.count(F.lit(1)).alias("n_"))
+    runs = daily.groupBy(*keys).agg(F.sum("n_").alias("n_"), F.max("n_").alias("top_"))
+    total, longest, busiest = runs.agg(F.sum("n_"), F.max("n_"), F.max("top_")).first()
+    room = max(least, int((total or 0) * share))
+    if (longest or 0) <= room:
+        return WIDEST_DAYS * DAY_MS
+    return max(1, room // busiest) * DAY_MS if busiest <= room else HOUR_MS
+
+
 class Runs:
     """``keys`` name a run, ``time`` and ``order`` its order. A frame that is ``bucketed`` keeps its buckets and its place.
 
@@ -69,12 +85,19 @@ class Runs:
         """``df`` with running sums up to and including each row."""
         return self.annotate(running=sums)
 
-    def annotate(self, previous: Sequence[str] = (), following: Sequence[str] = (), running: dict[str, Column] | None = None, prefixes: tuple[str, str] = ("prev_", "next_")) -> DataFrame:
-        """All of these in one pass: the rows below are read twice, once for the buckets' edges and once for the result."""
-        sums, order = running or {}, F.struct(*self.order)
+    def running_max(self, **tops: Column) -> DataFrame:
+        """``df`` with running maxima up to and including each row; nulls do not count."""
+        return self.annotate(highest=tops)
+
+    def annotate(self, previous: Sequence[str] = (), following: Sequence[str] = (), running: dict[str, Column] | None = None, highest: dict[str, Column] | None = None, whole: dict[str, Column] | None = None, prefixes: tuple[str, str] = ("prev_", "next_")) -> DataFrame:
+        """All of these in one pass: the rows below are read twice, once for the buckets' edges and once for the result.
+
+        ``whole``: sums over the whole run.
+        """
+        sums, tops, alls, order = running or {}, highest or {}, whole or {}, F.struct(*self.order)
         before, upto = self.along.rowsBetween(W.unboundedPreceding, -1), self.inside.rowsBetween(W.unboundedPreceding, 0)
         edges, carried, out = [], [], list(self.kept)
-        df = self.df.select("*", *(c.alias(f"x_{n}") for n, c in sums.items()))
+        df = self.df.select("*", *(c.alias(f"x_{n}") for n, c in (sums | tops | alls).items()))
         near = {}
         for columns, prefix, edge, step in ((previous, prefixes[0], F.max_by, F.lag), (following, prefixes[1], F.min_by, F.lead)):
             if columns:
@@ -87,6 +110,14 @@ class Runs:
             edges.append(F.sum(f"x_{n}").alias(f"s_{n}"))
             carried.append(F.coalesce(F.sum(f"s_{n}").over(before), F.lit(0)).alias(f"b_{n}"))
             out.append((F.coalesce(F.sum(f"x_{n}").over(upto), F.lit(0)) + F.col(f"b_{n}")).alias(n))
+        for n in tops:
+            edges.append(F.max(f"x_{n}").alias(f"s_{n}"))
+            carried.append(F.max(f"s_{n}").over(before).alias(f"b_{n}"))
+            out.append(F.greatest(F.max(f"x_{n}").over(upto), F.col(f"b_{n}")).alias(n))
+        for n in alls:
+            edges.append(F.sum(f"x_{n}").alias(f"s_{n}"))
+            carried.append(F.sum(f"s_{n}").over(W.partitionBy(*(f"c_{k}" for k in self.keys))).alias(f"b_{n}"))
+            out.append(F.col(f"b_{n}").alias(n))
         return self._carried(df, edges, carried).withColumns(near).select(*out) if near else self._carried(df, edges, carried).select(*out)
 
 

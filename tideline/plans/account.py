@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tideline.functions.timeops import DAY_MS, floor_div, utc_day
 from tideline.operators import account as acc
-from tideline.operators.ordered import exists_between
+from tideline.operators.ordered import exists_between, split_ms
+from tideline.operators.stats import interpolated
 from tideline.plans.registry import Registry
+from tideline.session import written
 from tideline.sources.tables import read
 
 query = Registry()
@@ -30,6 +32,11 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
     return acc.steps(read(spark, d, "fills").where("address is not null"))
 
 
+def _level_ms(spark: SparkSession, d: str) -> int:
+    """The width at which an account's changes are cut, from its fills."""
+    return split_ms(read(spark, d, "fills"), ["address"], "time_ms")
+
+
 _STEPS = """
 u AS (SELECT DISTINCT address, seq, time_ms, coin, kind, px, sz, side, start_position, crossed, closed_pnl, twap_id FROM fills
  WHERE kind IN ('perp', 'hip3') AND side IN ('A', 'B') AND address IS NOT NULL AND time_ms IS NOT NULL AND coin IS NOT NULL AND px IS NOT NULL AND sz IS NOT NULL AND start_position IS NOT NULL),
@@ -119,10 +126,13 @@ def episode_facts(spark: SparkSession, d: str) -> DataFrame:
     """Durations and weeks of activity of each account's episodes."""
     e = acc.episodes(acc.parts(_steps(spark, d)))
     whole = F.col("closed").isNotNull() & F.col("opened_from_flat")
-    return e.groupBy("address").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(whole, 1)).alias("closed"), F.median(F.when(whole, F.col("closed") - F.col("opened"))).alias("median_ms"),
+    e = written(e, "episodes-of-accounts")
+    counts = e.groupBy("address").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(whole, 1)).alias("closed"),
         F.countDistinct(F.when(F.col("opened_from_flat"), floor_div("opened", 7 * DAY_MS))).alias("weeks"), F.count(F.when(F.col("broken"), 1)).alias("broken"),
     )
+    medians = interpolated(e.where(whole), ["address"], F.col("closed") - F.col("opened"), {"median_ms": 0.5}).drop("n")
+    return counts.join(medians, "address", "left").select("address", "n", "closed", "median_ms", "weeks", "broken")
 
 
 # average cost, fill by fill: size, cost and realized result so far
@@ -160,7 +170,7 @@ ch AS (SELECT address, {START} t, CASE WHEN pp <> 0 THEN 1 ELSE 0 END delta FROM
 {_LEVELS} SELECT address, min(lv)::BIGINT median_open, max(tot)::BIGINT weight FROM k WHERE cum * 100 >= tot * 50 GROUP BY address""")
 def open_count_steps(spark: SparkSession, d: str) -> DataFrame:
     """Median number of open coins of each account over the time with at least one."""
-    return acc.open_coins(_steps(spark, d), *window(spark, d))
+    return acc.open_coins(_steps(spark, d), *window(spark, d), bucket_ms=_level_ms(spark, d))
 
 
 @query(f"""WITH {_STEPS}, v AS (SELECT address, coin, time_ms AS t, seq, floor(abs(bf) * px * 100 + 0.5)::BIGINT fr, floor(abs(af) * px * 100 + 0.5)::BIGINT too FROM s),
@@ -169,7 +179,7 @@ ch AS (SELECT address, {START} t, fr delta FROM d WHERE rn = 1 UNION ALL SELECT
 {_LEVELS} SELECT address, min(lv)::BIGINT p95_cents, max(tot)::BIGINT weight FROM k WHERE cum * 100 >= tot * 95 GROUP BY address""")
 def exposure_steps(spark: SparkSession, d: str) -> DataFrame:
     """95th percentile over time in position of each account's exposure, in whole cents so that sums are exact."""
-    e = acc.exposure(_steps(spark, d), *window(spark, d))
+    e = acc.exposure(_steps(spark, d), *window(spark, d), bucket_ms=_level_ms(spark, d))
     return e.select("address", F.round(F.col("exposure") * 100).cast("long").alias("p95_cents"), F.round(F.col("hours") * 3_600_000).cast("long").alias("weight"))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tideline.functions.timeops import DAY_MS, utc_day
 from tideline.operators.curves import average_cost, drawdowns, ladder_fill, order_runs, returns, sharpe, together
-from tideline.operators.ordered import Runs
+from tideline.operators.ordered import Runs, split_ms
 from tideline.plans.registry import Registry
+from tideline.session import written
 from tideline.sources.tables import read
 
 query = Registry()
@@ -30,8 +31,18 @@ p AS (SELECT *, 0 part, CASE WHEN sign(af - u) * sign(af) < 0 THEN -(af - u) ELS
 e AS (SELECT *, sum(CASE WHEN bf = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, wallet, coin ORDER BY exec_t, order_no, part ROWS UNBOUNDED PRECEDING)::BIGINT episode FROM p)"""
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    return order_runs(orders(spark, d).select(*KEYS, "order_no", "exec_t", "price", "fee", "signed"), KEYS, "exec_t", ["order_no"], F.col("signed"))
+def _width(spark: SparkSession, d: str) -> int:
+    return split_ms(read(spark, d, "copy_orders"), KEYS, "exec_t")
+
+
+def _runs(spark: SparkSession, d: str, width: int | None = None) -> DataFrame:
+    rows = orders(spark, d).select(*KEYS, "order_no", "exec_t", "price", "fee", "signed")
+    return order_runs(rows, KEYS, "exec_t", ["order_no"], F.col("signed"), width or _width(spark, d))
+
+
+def _costs(spark: SparkSession, d: str) -> DataFrame:
+    width = _width(spark, d)
+    return average_cost(written(_runs(spark, d, width), "order-runs"), KEYS, "exec_t", ["order_no"], bucket_ms=width)
 
 
 @query(f"WITH {_RUNS} SELECT run_id, wallet, coin, episode, min(exec_t) opened, max(exec_t) last_t, count(*)::BIGINT n_parts, sum(units)::BIGINT net_units FROM e GROUP BY ALL")
@@ -49,13 +60,13 @@ _COST = f"""{_RUNS}, k AS (SELECT run_id, wallet, coin, episode, min(exec_t) ope
 def average_costs(spark: SparkSession, d: str) -> DataFrame:
     """Realized result, average cost and size left of each copied episode."""
     rounded = [F.round(c, n).alias(c) for c, n in (("realized", 2), ("cost", 8), ("size", 6), ("notional", 2))]
-    return average_cost(_runs(spark, d), KEYS, "exec_t", ["order_no"]).select(*KEYS, "episode", "opened", "n_parts", *rounded)
+    return _costs(spark, d).select(*KEYS, "episode", "opened", "n_parts", *rounded)
 
 
 @query(f"WITH {_COST} SELECT run_id, count(*)::BIGINT n, round(avg(CASE WHEN round(z[3], 6) > 0 THEN 1.0 ELSE 0.0 END), 9) hit_rate FROM k WHERE z[1] = 0 GROUP BY run_id")
 def hit_rates(spark: SparkSession, d: str) -> DataFrame:
     """Per run: closed episodes, and the share of them that gained."""
-    c = average_cost(_runs(spark, d), KEYS, "exec_t", ["order_no"]).where("size = 0")
+    c = _costs(spark, d).where("size = 0")
     return c.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.round("realized", 6) > 0).cast("double")), 9).alias("hit_rate"))
 
 
