@@ -16,13 +16,14 @@ from tideline.sources.tables import read
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
-START, END = 15700 * DAY_MS, 15708 * DAY_MS  # the window of the SQL; the operators take theirs from the table
+#: Start of the first and end of the last UTC day that has a fill.
+START, END = f"(SELECT min(time_ms // {DAY_MS}) * {DAY_MS} FROM fills)", f"(SELECT (max(time_ms // {DAY_MS}) + 1) * {DAY_MS} FROM fills)"
 NEIGHBOURHOOD_MS = 3_600_000
 AGE_EDGES_MS = [2 * DAY_MS, 5 * DAY_MS]
 
 
 def window(spark: SparkSession, d: str) -> tuple[int, int]:
-    """Start of the first and end of the last UTC day that has a fill; an empty window if no fill has a time."""
+    """The same as numbers; an empty window if no fill has a time."""
     day = utc_day("time_ms")
     first, last = read(spark, d, "fills").agg(F.min(day), F.max(day)).first()
     return (0, 0) if first is None else (first * DAY_MS, (last + 1) * DAY_MS)
