@@ -1,13 +1,14 @@
 import hashlib
+import itertools
 import struct
 
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators.choosing import first_meeting, funnel, hash_order, until_share
 from tideline.operators.feeds import drop_first, half_spreads, message_gaps, message_rows, qualifying_days
-from tideline.operators.storage import Bounded, IntervalTable, LookaheadError, change_log, content_sha256, copies, intersect, multiset_difference, normalize, table_digest
+from tideline.operators.storage import Bounded, IntervalTable, LookaheadError, change_log, content_hashes, content_sha256, copies, intersect, multiset_difference, normalize, table_digest
 from tideline.session import shared_path
 from tideline.sources.tables import schema
 
@@ -68,11 +69,39 @@ def test_digests(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "i long, s string")
     assert rows(table_digest(df)) == rows(table_digest(df.repartition(3).orderBy(F.desc("i"))))
     assert rows(table_digest(df)) != rows(table_digest(df.limit(2)))
-    pdf = pd.DataFrame({"s": ["a", None], "i": [1, 2]})
+    table = pa.table({"s": pa.array([None, "a"]), "i": pa.array([2, 1])})
     want = hashlib.sha256(b"m" + struct.pack("<QQ", 2, 2))
     want.update(struct.pack("<Q", 1) + b"ii" + b"\x01\x01" + struct.pack("<qq", 1, 2))
     want.update(struct.pack("<Q", 1) + b"ss" + b"\x01\x00" + struct.pack("<Q", 1) + b"a" + struct.pack("<Q", 0))
-    assert content_sha256(pdf, {"i": "i", "s": "s"}, b"m") == want.hexdigest()
+    assert content_sha256(table, {"i": "i", "s": "s"}, ["i"], b"m") == want.hexdigest()
+
+
+def test_content_hash_of_odd_values():
+    of = lambda *v: content_sha256(pa.table({"k": pa.array(range(len(v))), "x": pa.array(v, pa.float64(), from_pandas=False)}), {"k": "i", "x": "f"}, ["k"])
+    nan, other = float("nan"), struct.unpack("<d", b"\1\0\0\0\0\0\xf8\x7f")[0]
+    assert of(0.0, 1.0) == of(-0.0, 1.0) and of(nan) == of(other)
+    assert len({of(None), of(nan), of(0.0)}) == 3
+    kinds = {"k": "i", "s": "s", "b": "b", "y": "y"}
+    rows_ = [{"k": 2, "s": None, "b": True, "y": b"x"}, {"k": None, "s": "é", "b": None, "y": None}, {"k": 1, "s": "", "b": False, "y": b""}, {"k": 1, "s": None, "b": False, "y": b""}]
+    kind = pa.schema([("k", pa.int64()), ("s", pa.string()), ("b", pa.bool_()), ("y", pa.binary())])
+    found = {content_sha256(pa.Table.from_pylist(list(p), kind), kinds, ["k"]) for p in itertools.permutations(rows_)}
+    assert len(found) == 1
+    assert content_sha256(pa.Table.from_pylist([], kind), kinds, ["k"]) not in found
+
+
+def test_content_hash_per_partition(spark):
+    df = spark.createDataFrame([("a", 1, 0.0), ("a", 2, None), ("b", 1, float("nan"))], "p string, k long, x double")
+    got = {r.p: (r.n, r.sha256) for r in content_hashes(df, ["p"], ["k"]).collect()}
+    again = {r.p: (r.n, r.sha256) for r in content_hashes(df.orderBy(F.desc("k")).repartition(3), ["p"], ["k"]).collect()}
+    assert got == again and got["a"][0] == 2 and got["a"][1] != got["b"][1]
+
+
+def test_difference_keeps_what_is_stored(spark):
+    kind = "k long, x double"
+    left = spark.createDataFrame([(1, -0.0), (2, 0.0), (3, float("nan")), (4, -0.0), (4, -0.0)], kind)
+    right = spark.createDataFrame([(1, 0.0), (3, float("nan")), (4, 0.0), (5, -0.0)], kind)
+    got = {r.k: (str(r.x), r.n_more) for r in multiset_difference(left, right).collect()}
+    assert got == {2: ("0.0", 1), 4: ("-0.0", 1), 5: ("-0.0", -1)}
 
 
 def test_hash_order_is_sha256(spark):

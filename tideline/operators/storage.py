@@ -6,7 +6,9 @@ import hashlib
 import struct
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,11 +65,17 @@ def in_spans(instant: str, spans: Sequence[tuple[int, int]]) -> Column:
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Columns of both, and ``n_more``: how many more copies of a row left has (positive) or right has (negative).
 
-    NaN equals NaN, -0.0 equals 0.0, null equals null. One aggregate, with map-side combine, for both directions.
+    NaN equals NaN, -0.0 equals 0.0, null equals null; a row comes out as the side that has more of it stores it, with
+    -0.0 where any of its copies has it. One aggregate, with map-side combine, for both directions.
     """
-    cols = left.columns
-    flat = lambda df, n: df.select(*(canonical(df, c).alias(c) for c in cols), F.lit(n).alias("n_"))
-    return flat(left, 1).unionByName(flat(right, -1)).groupBy(*cols).agg(F.sum("n_").alias("n_more")).where("n_more != 0")
+    cols, doubles = left.columns, [c for c, k in left.dtypes if k in ("double", "float")]
+    below_zero = lambda c: F.when(F.col(f"`{c}`") == 0, F.col(f"`{c}`").cast("string") == "-0.0")
+    flat = lambda df, n: df.select(*(canonical(df, c).alias(c) for c in cols), F.lit(n).alias("n_"), F.array(*(F.coalesce(below_zero(c), F.lit(False)) for c in doubles)).alias("minus_"))
+    of = lambda n: [F.bool_or(F.when(F.col("n_") == n, F.get("minus_", F.lit(i)))).alias(f"minus_{n}_{i}") for i in range(len(doubles))]
+    out = flat(left, 1).unionByName(flat(right, -1)).groupBy(*cols).agg(F.sum("n_").alias("n_more"), *of(1), *of(-1)).where("n_more != 0")
+    sign = lambda i: F.when(F.col("n_more") > 0, F.col(f"minus_1_{i}")).otherwise(F.col(f"minus_-1_{i}"))
+    stored = {c: F.when(sign(i), F.lit(-0.0)).otherwise(F.col(f"`{c}`")) for i, c in enumerate(doubles)}
+    return out.select(*(stored.get(c, F.col(f"`{c}`")).alias(c) for c in cols), "n_more")
 
 
 def copies(diff: DataFrame, positive: bool) -> DataFrame:
@@ -197,24 +205,54 @@ def table_digest(df: DataFrame) -> DataFrame:
     return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"))
 
 
-def content_sha256(rows: pd.DataFrame, kinds: dict[str, str], magic: bytes) -> str:
-    """SHA-256 of sorted rows, column by column in name order: name, kind, validity bytes, then values.
+MAGIC = b"table-1"
+_KINDS = {"tinyint": "i", "smallint": "i", "int": "i", "bigint": "i", "float": "f", "double": "f", "boolean": "b", "string": "s", "binary": "y"}
 
-    ``kinds``: i (64-bit integer), f (double), b (boolean), s (text), y (bytes). For one partition's worth of rows.
+
+def _encoded(kind: str, column: pa.Array) -> tuple[bytes, bytes]:
+    """Validity, a byte per row, and the values: 8 little-endian bytes for numbers, a byte for booleans, length and bytes for text."""
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    valid = known.astype(np.uint8).tobytes()
+    if kind == "i":
+        return valid, column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+    if kind == "f":
+        x = column.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False).astype("<f8") + 0.0  # -0.0 is 0.0
+        x[np.isnan(x)] = np.nan
+        return valid, x.tobytes()
+    if kind == "b":
+        return valid, column.fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+    cells = column.cast(pa.large_binary()).fill_null(b"").to_pylist()
+    return valid, b"".join(struct.pack("<Q", len(c)) + c for c in cells)
+
+
+def content_sha256(rows: pa.Table, kinds: dict[str, str], keys: Sequence[str], magic: bytes = MAGIC) -> str:
+    """SHA-256 of the rows in canonical order, whatever order they come in: by ``keys``, then all other columns, nulls last.
+
+    Column by column in name order: name, kind, validity, values. ``kinds``: i (integer), f (double), b (boolean), s (text),
+    y (bytes). -0.0 equals 0.0, all NaNs are one, and null is neither. For one partition's worth of rows.
     """
+    flat = pa.table({c: pc.add(rows[c].cast(pa.float64()), 0.0) if kinds[c] == "f" else rows[c] for c in kinds})
+    order = [*keys, *sorted(set(kinds) - set(keys))]
+    at = pc.sort_indices(flat, sort_keys=[(c, "ascending") for c in order], null_placement="at_end")
     digest = hashlib.sha256(magic + struct.pack("<QQ", len(rows), len(kinds)))
     for name in sorted(kinds):
-        kind, column = kinds[name], rows[name]
-        present = column.notna() if kind != "f" else column.map(lambda v: v is not None)
-        digest.update(struct.pack("<Q", len(name.encode())) + name.encode() + kind.encode() + bytes(present.astype("uint8")))
-        for ok, v in zip(present, column):
-            if kind == "i":
-                digest.update(struct.pack("<q", int(v) if ok else 0))
-            elif kind == "f":
-                digest.update(b"\0\0\0\0\0\0\xf8\x7f" if ok and v != v else struct.pack("<d", v if ok else 0.0))
-            elif kind == "b":
-                digest.update(bytes([bool(ok and v)]))
-            else:
-                raw = (v.encode() if kind == "s" else bytes(v)) if ok else b""
-                digest.update(struct.pack("<Q", len(raw)) + raw)
+        column = flat[name].take(at).combine_chunks()
+        column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+        head = name.encode()
+        digest.update(struct.pack("<Q", len(head)) + head + kinds[name].encode() + b"".join(_encoded(kinds[name], column)))
     return digest.hexdigest()
+
+
+def content_hashes(df: DataFrame, partition: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """partition columns, n, sha256: the content hash of every partition, each made in one task over its rows as Arrow.
+
+    A partition is what is stored and replaced as a whole, one address or one coin and day; its size is bounded by that.
+    """
+    kinds = {c: _KINDS[k] for c, k in df.dtypes if c not in partition}
+    named = dict(df.dtypes)
+
+    def run(rows: pa.Table) -> pa.Table:
+        first = {p: rows[p].slice(0, 1) for p in partition}
+        return pa.table(first | {"n": pa.array([rows.num_rows], pa.int64()), "sha256": pa.array([content_sha256(rows, kinds, keys)])})
+
+    return df.groupBy(*partition).applyInArrow(run, ", ".join([*(f"`{p}` {named[p]}" for p in partition), "n long", "sha256 string"]))
