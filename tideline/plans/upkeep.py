@@ -136,7 +136,7 @@ P4_DAYS = _P4_OUTAGES + "SELECT coin, day, CAST(ms AS BIGINT) gap_ms FROM t"
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    diff = SnapshotDiff(read(spark, d, "fill_snapshots"), "batch_id", "snapshot_ms", ["address", "seq"], read(spark, d, "snapshot_results"))
+    diff = SnapshotDiff(read(spark, d, "fill_snapshots"), "batch_id", "snapshot_ms", ["address", "seq"], read(spark, d, "snapshot_results"), "sha256")
     return diff.changes().select(F.col("batch_id").cast("long").alias("batch_id"), "snapshot_ms", "address", "seq", "change")
 
 
