@@ -75,6 +75,23 @@ def test_empty_tables(spark):
     assert [r.day for r in wrong_reports(segments, reports).collect()] == [4]
 
 
+def test_days_of_many_files(spark):
+    """Some thirty files a day: even sizes, and receive times that overlap little, though some events are late and one is hours off."""
+    late = lambda i: 40_000 if i % 50 == 0 else 7_200_000 if i == 999 else 300
+    rows = [("p", i, i * 20_000, 1, '{"channel":"book","data":{"time":%d,"x":"%s"}}' % (i * 20_000 - late(i), "y" * (i % 37))) for i in range(4000)]
+    rows += [("p", 4000 + i, 30_000_000, 1, '{"channel":"book","data":{"time":30000000,"x":%d}}' % i) for i in range(600)]  # one instant that fills several files
+    segments, records = frames(spark, [("a", "book", 5, "p")], rows)
+    target = sum(len(r[4]) + 32 for r in rows) // 30
+    done = SegmentCompactor(segments, records, target_bytes=target).run()
+    d = done.digests.first()
+    assert d.ok and d.n_written == 4600 and 30 <= d.n_files <= 32
+    assert d.most_bytes < 1.1 * target and d.least_bytes > 0.5 * target
+    whole = 4000 * 20_000
+    assert d.overlap_ms < whole  # a file spans less than twice its share of the day; files of random rows would each span all of it
+    near = done.files.where("recv_ms < 20000000").groupBy("file_no").agg((F.max("recv_ms") - F.min("recv_ms")).alias("x")).agg(F.max("x")).first()[0]
+    assert near < whole / 8
+
+
 def test_hilbert_visits_neighbours(spark):
     n = 16
     cells = spark.range(n * n).select((F.col("id") % n).alias("x"), F.floor(F.col("id") / n).alias("y"))

@@ -29,6 +29,12 @@ def on_same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]])
     return out
 
 
+def join_same(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, joined by equal ``names``, null equal to null."""
+    right = right.withColumnsRenamed({n: f"j_{n}" for n in names})
+    return left.join(right, on_same(left, right, [(n, f"j_{n}") for n in names]), how).drop(*(f"j_{n}" for n in names))
+
+
 def bucketed(df: DataFrame, keys: Sequence[str], time: str, bucket_ms: int) -> DataFrame:
     """``df`` placed by keys and time bucket, so that all later steps on the same runs find their rows where they need them."""
     return df.withColumn(BUCKET, floor_to(time, bucket_ms)).repartition(*keys, BUCKET)

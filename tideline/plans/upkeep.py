@@ -26,9 +26,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_compact(spark: SparkSession, d: str) -> DataFrame:
-    """Per coin, channel and day: records read, written and dropped as repeats, files, and whether the digests agree."""
+    """Per coin, channel and day: records read, written and dropped as repeats; files, their least and greatest bytes of
+    messages, by how much their receive times overlap; and whether the digests agree."""
     done = SegmentCompactor(read(spark, d, "segments"), read(spark, d, "records")).run()
-    return done.digests.select("coin", "channel", "day", "n_source", "n_written", "n_dropped", "n_files", "ok")
+    return done.digests.select("coin", "channel", "day", "n_source", "n_written", "n_dropped", "n_files", "least_bytes", "most_bytes", "overlap_ms", "ok")
 
 
 # -- 3: late events --------------------------------------------------------------------------------------------------
