@@ -57,7 +57,7 @@ def test_mixture(spark):
     m = mixture(spark, rows, targets)
     sizes = {r.doc_id: r.tokens for r in m.sized.collect()}
     enc = encoder(DEFAULT_RANKS, PATTERN)
-    assert sizes[7] == len(enc.encode_ordinary(rows[7][1]))
+    assert sizes[7] == len(enc[0].encode_ordinary(rows[7][1]))
     got = m.selected().collect()
     limit = {s: r for s, _, r in targets}
     assert all(1 <= r.uses <= limit[r.source] for r in got)
@@ -85,5 +85,5 @@ def test_long_blanks_are_counted_too():
     count = lambda t: n_tokens(enc, t, PATTERN)
     for blank in (" ", "\n", " \n\t"):
         text = "word's 12 is" + blank * 1200 + "then, 3.5 ends" + blank * 1001
-        assert count(text) == len(enc.encode_ordinary(text))
+        assert count(text) == len(enc[0].encode_ordinary(text))
         assert count("x" + blank * 1_000_000 + "y") > 2

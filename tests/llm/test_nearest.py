@@ -5,8 +5,8 @@ import pytest
 from tideline.llm.nearest import nearest
 
 
-@pytest.mark.parametrize("tolerance", [3, 25, 400])
-def test_against_brute_force(spark, tolerance):
+@pytest.mark.parametrize("tolerance,tick", [(3, None), (3, 1), (25, None), (25, 7), (400, None), (400, 1000), (400, 90)])
+def test_against_brute_force(spark, tolerance, tick):
     rng = random.Random(tolerance)
     right = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(-300, 2000)]), "r") for _ in range(150)]
     right += right[:20]
@@ -17,7 +17,7 @@ def test_against_brute_force(spark, tolerance):
         if near:
             want.append((i, min(near, key=lambda u: (abs(u - t), u))))
     df = spark.createDataFrame(left, "i int, coin string, t long, tick long, inside string")
-    got = nearest(df, spark.createDataFrame(right, "coin string, t long, before string"), "coin", "t", "coin", "t", tolerance)
+    got = nearest(df, spark.createDataFrame(right, "coin string, t long, before string"), "coin", "t", "coin", "t", tolerance, tick_ms=tick)
     assert got.columns == ["i", "coin", "t", "tick", "inside", "nearest_ms"]
     assert sorted((r.i, r.nearest_ms) for r in got.collect()) == sorted(want)
 

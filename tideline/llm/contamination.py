@@ -2,7 +2,8 @@
 
 Items are cut into runs of ``n`` words; their distinct hashes are broadcast, at most ``broadcast_grams`` of them. Every
 document is scanned window by window; a window whose hash is known is compared word by word with the item's run. With
-more runs than that, windows and runs meet in a join on the hash instead, with the same comparison after it.
+more runs than that, windows and runs meet in a join on their 128-bit hashes instead, after windows that no item can have
+were taken out by a Bloom filter of all runs: a broadcast of fixed size, so few windows move and no words do.
 
 Null and empty texts have no words; items of fewer than ``n`` words cannot be found; repeated documents each count;
 an empty item table finds nothing. Texts are read whole.
@@ -15,10 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.words import words, words_at
+from tideline.session import written
+
+BLOOM_BITS = 1 << 27  # 16 MB
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers stay invertible
 
@@ -72,6 +77,15 @@ class Grams:
                 yield t, k - int(ends[t] - lengths[t]), items
 
 
+def _passes(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which rows of two 64-bit hashes have both bits set."""
+    out = np.ones(len(hashes), bool)
+    for j in range(2):
+        p = np.mod(hashes[:, j], BLOOM_BITS)
+        out &= (filled[p >> 6] >> (p & 63)) & 1 == 1
+    return out
+
+
 def stretches(text: str, starts: list[int], n: int) -> list[dict[str, int]]:
     """start, end, n_words of what windows of ``n`` words cover, in order; windows that overlap or touch are one."""
     at = words_at(text)[1]
@@ -91,7 +105,7 @@ class Contamination:
         self.n, self.items = n, items.select(F.col(item).cast("long").alias("item_id"), F.col(passage).alias("passage")).where("item_id is not null and passage is not null")
         spark = items.sparkSession
         size = self.items.agg(F.sum(F.length("passage"))).first()[0] or 0
-        self.grams = None
+        self.grams = self._known = self._bloom = None
         if size // 2 <= broadcast_grams:  # a run of words starts at every second character at most
             self.grams = spark.sparkContext.broadcast(Grams([tuple(r) for r in self.items.collect()], n))
 
@@ -113,22 +127,41 @@ class Contamination:
         kind = dict(rows.dtypes)["doc_id"]
         return rows.mapInPandas(scan, f"doc_id {kind}, item_id long").distinct()
 
-    def _by_join(self, rows: DataFrame) -> DataFrame:
-        n = self.n
+    # -- more runs than are broadcast -----------------------------------------------------------------------------------
 
-        def windows(key: str):
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    got = [(k, r) for k, t in zip(b[key], b.iloc[:, 1]) for w in [words(t)] for r in {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}]
-                    if got:
-                        yield pd.DataFrame({key: [k for k, _ in got], "run": [r for _, r in got]})
+    def _windows(self, rows: DataFrame, keys: list[str], bloom=None) -> DataFrame:
+        """keys, k, h1, h2: where each run of ``n`` words begins, and its hash; only those the filter lets through."""
+        n = self.n
 
-            return run
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.itertuples(index=False):
+                    w = words(r[-1])
+                    if len(w) < n:
+                        continue
+                    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(w[k : k + n])) for k in range(len(w) - n + 1)), np.int64).reshape(-1, 2)
+                    at = np.arange(len(raw)) if bloom is None else np.flatnonzero(_passes(bloom.value, raw))
+                    if len(at):
+                        yield pd.DataFrame({k: [v] * len(at) for k, v in zip(keys, r)} | {"k": at, "h1": raw[at, 0], "h2": raw[at, 1]})
+
+        kinds = dict(rows.dtypes)
+        return rows.select(*keys, rows.columns[-1]).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "k long, h1 long, h2 long"]))
+
+    def _runs(self) -> DataFrame:
+        """item_id, h1, h2 of all items, as a table, and the filter of their hashes."""
+        if self._known is None:
+            known = written(self._windows(self.items, ["item_id"]).drop("k").distinct(), "item-runs")
+            place = F.explode(F.array(*(F.pmod(h, F.lit(BLOOM_BITS)) for h in ("h1", "h2"))))
+            bits = known.select(place.alias("p")).groupBy(F.call_function("div", F.col("p"), F.lit(64).cast("long")).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("b"))
+            filled = np.zeros(BLOOM_BITS // 64, np.int64)
+            for r in bits.toPandas().itertuples(index=False):  # BLOOM_BITS / 64 rows at most
+                filled[r.w] = r.b
+            self._known, self._bloom = known, known.sparkSession.sparkContext.broadcast(filled)
+        return self._known
 
-        kind = dict(rows.dtypes)["doc_id"]
-        of_items = self.items.mapInPandas(windows("item_id"), "item_id long, run string").withColumn("h", F.xxhash64("run"))
-        of_docs = rows.mapInPandas(windows("doc_id"), f"doc_id {kind}, run string").withColumn("h", F.xxhash64("run"))
-        return of_docs.join(of_items.distinct(), ["h", "run"]).select("doc_id", "item_id").distinct()
+    def _by_join(self, rows: DataFrame) -> DataFrame:
+        known = self._runs()
+        return self._windows(rows, ["doc_id"], self._bloom).join(known, ["h1", "h2"]).select("doc_id", "item_id").distinct()
 
     def _spanned(self, rows: DataFrame) -> DataFrame:
         """The rows with ``spans``: start, end, n_words of the leaked stretches of ``text``, null or empty without any."""
@@ -147,25 +180,15 @@ class Contamination:
 
             return rows.withColumn("spans", scan("text"))
 
-        def windows(key: list[str]):
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    got = [(*r[:-1], k, " ".join(w[k : k + n])) for r in b.itertuples(index=False) for w in [words(r[-1])] for k in range(len(w) - n + 1)]
-                    if got:
-                        yield pd.DataFrame(got, columns=[*key, "k", "run"])
-
-            return run
-
         @F.pandas_udf(kind)
         def join(text: pd.Series, starts: pd.Series) -> pd.Series:
             return pd.Series([None if k is None else stretches(t, list(k), n) for t, k in zip(text, starts)], dtype=object)
 
         # where the runs stand follows from the text, so each text is looked up once and by what it says
-        known = self.items.select("passage").mapInPandas(windows([]), "k long, run string").select("run").distinct().withColumn("h", F.xxhash64("run"))
+        known = self._runs().select("h1", "h2").distinct()
         keyed = rows.withColumn("h1_", F.xxhash64("text")).withColumn("h2_", F.xxhash64(F.lit(1), "text"))
         texts = keyed.where("text is not null").groupBy("h1_", "h2_").agg(F.first("text").alias("text"))
-        runs = texts.mapInPandas(windows(["h1_", "h2_"]), "h1_ long, h2_ long, k long, run string").withColumn("h", F.xxhash64("run"))
-        found = runs.join(known, ["h", "run"]).groupBy("h1_", "h2_").agg(F.sort_array(F.collect_list("k")).alias("starts_"))
+        found = self._windows(texts, ["h1_", "h2_"], self._bloom).join(known, ["h1", "h2"]).groupBy("h1_", "h2_").agg(F.sort_array(F.collect_set("k")).alias("starts_"))
         return keyed.join(found, ["h1_", "h2_"], "left").withColumn("spans", join("text", "starts_")).drop("h1_", "h2_", "starts_")
 
     def spans(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,22 +40,51 @@ SLOTS = 4096
 
 @lru_cache(2)
 def encoder(ranks: str, pattern: str):
+    """The tokenizer, and its table of byte strings."""
     import tiktoken
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}), table
 
 
 #: The tokenizer's own scanner runs out of stack on longer stretches of white space.
 LONG_BLANK = re.compile(r"\s{1000}")
 
 
-def n_tokens(enc, text: str, pattern: str) -> int:
-    """Number of tokens of a text, with long blanks too: there the pieces are cut here and only merged by the tokenizer."""
+def merged(piece: bytes, table: Mapping[bytes, int]) -> int:
+    """Number of tokens of one piece: of all neighbours that make a token the one of least rank is merged first, leftmost on a tie."""
+    n = len(piece)
+    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    live, count = [True] * n, n
+
+    def pair(i: int) -> tuple[int, int, int] | None:
+        j = after[i]
+        rank = table.get(piece[i : end[j]]) if j < n else None
+        return None if rank is None else (rank, i, end[j])
+
+    queue = [p for i in range(n) if (p := pair(i))]
+    heapq.heapify(queue)
+    while queue:
+        _, i, stop = heapq.heappop(queue)
+        j = after[i]
+        if not live[i] or j >= n or end[j] != stop:
+            continue  # one of the two has been merged since
+        live[j], end[i], after[i], count = False, end[j], after[j], count - 1
+        if after[j] < n:
+            before[after[j]] = i
+        queue_at = [i] if before[i] < 0 else [before[i], i]
+        for k in queue_at:
+            if p := pair(k):
+                heapq.heappush(queue, p)
+    return count
+
+
+def n_tokens(enc: tuple, text: str, pattern: str) -> int:
+    """Number of tokens of a text, with long blanks too: only there the pieces are cut and merged here."""
     if not LONG_BLANK.search(text):
-        return len(enc.encode_ordinary(text))
-    return sum(len(enc._encode_single_piece(p)) for p in regex.findall(pattern, text))
+        return len(enc[0].encode_ordinary(text))
+    return sum(merged(p.encode(), enc[1]) for p in regex.findall(pattern, text))
 
 
 class Flow:
@@ -173,8 +203,11 @@ class Mixture:
 
     @staticmethod
     def _sized(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+        name = os.path.basename(ranks)
+        docs.sparkSession.sparkContext.addFile(ranks)  # executors need not have it
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            enc = encoder(ranks, pattern)
+            enc = encoder(SparkFiles.get(name), pattern)
             for b in batches:
                 yield b.assign(tokens=[n_tokens(enc, t, pattern) for t in b.pop("text")])
 

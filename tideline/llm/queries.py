@@ -11,6 +11,7 @@ from tideline.llm.mixing import Mixture
 from tideline.llm.nearest import nearest
 from tideline.llm.quantiles import Quantiles, median, percentile
 from tideline.llm.truncation import Truncation
+from tideline.session import written
 from tideline.sources.tables import read
 
 # -- 2: percentiles ----------------------------------------------------------------------------------------------------
@@ -54,17 +55,41 @@ def p2_day_level(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_proxy_check(spark: SparkSession, d: str) -> DataFrame:
-    """Per coin: p95 of the distance from the day's median, and how the medians lie."""
-    rows = _differences(spark, d)
-    levels = _levels(rows).drop("n", "rank_err")
-    off = rows.join(levels, ["coin", "day"]).select("coin", F.abs(F.col("bps") - F.col("median_bps")).alias("off"))
-    q = Quantiles(["coin"])
-    spread = q.combined(q.summaries(off, F.col("off"))).select("coin", "n", F.col("err").alias("rank_err"), percentile(95).alias("deviation_p95_bps"))
+    """Per coin: p95 of the distance from the day's median, and how the medians lie.
+
+    Every day is worked on by itself: its median from its summary, then a summary of its distances from it. The days of
+    a coin are put together from these summaries alone.
+    """
+    rows = written(_differences(spark, d), "proxy-differences")
+    levels = written(_levels(rows), "day-levels")
+    off = rows.join(levels, ["coin", "day"]).select("coin", "day", F.abs(F.col("bps") - F.col("median_bps")).alias("off"))
+    q = Quantiles(["coin", "day"])
+    days = q.combined(q.summaries(off, F.col("off")))
+    spread = q.combined(days, ["coin"]).select("coin", "n", F.col("err").alias("rank_err"), percentile(95).alias("deviation_p95_bps"))
     m = F.col("median_bps")
     by_coin = levels.groupBy("coin").agg(F.max(F.abs(m)).alias("level_bps"), (F.max(m) - F.min(m)).alias("shift_bps"))
     return spread.join(by_coin, "coin")
 
 
+COARSE = 0.01  # a permitted error at which small tables are thinned out too
+
+
+def p2_error_bound(spark: SparkSession, d: str) -> DataFrame:
+    """The delays of all trades of all coins as one group, summarised per day at a coarse error and put together from the
+    days: for several percentiles, whether the answer is approximate, and whether its true ranks are as near as stated."""
+    trades = read(spark, d, "trades").select(utc_day("time_ms").alias("day"), F.lit(0).alias("all_"), (F.col("recv_ms") - F.col("time_ms")).cast("double").alias("x")).where("x is not null")
+    q = Quantiles(["all_", "day"], eps=COARSE)
+    whole = q.combined(q.combined(q.summaries(trades, F.col("x"))), ["all_"])
+    pcts = (1, 10, 50, 90, 95, 99)
+    made = whole.select("n", "err", F.array(*(percentile(p) for p in pcts)).alias("x")).first()  # one row
+    n, err, answers = (made.n, made.err, made.x) if made else (0, 0, [None] * len(pcts))
+    x = F.col("x")
+    counts = trades.agg(*(c for i, v in enumerate(answers) for c in (F.count(F.when(x < F.lit(v), 1)).alias(f"below{i}"), F.count(F.when(x == F.lit(v), 1)).alias(f"ties{i}"))))
+    off = lambda i, p: F.greatest(F.col(f"below{i}") + 1 - max(1, (n * p + 99) // 100), max(1, (n * p + 99) // 100) - F.col(f"below{i}") - F.col(f"ties{i}"), F.lit(0))
+    row = lambda i, p: F.struct(F.lit(p).cast("long").alias("pct"), F.lit(n).cast("long").alias("n"), F.lit(err > 0).alias("approximate"), (off(i, p) <= err).alias("within_bound"), F.lit(err <= COARSE * n).alias("as_permitted"))
+    return counts.select(F.explode(F.array(*(row(i, p) for i, p in enumerate(pcts)))).alias("r")).select("r.*")
+
+
 def _rank(p: int, x: str) -> str:
     return f"list_sort(list({x}))[greatest(1, (count(*) * {p} + 99) // 100)]"
 
@@ -76,6 +101,7 @@ f AS (SELECT fills.coin, time_ms // 86400000 AS day, (px / p.last - 1) * 1e4 AS
 m AS (SELECT coin, day, count(*) n, median(bps) median_bps FROM f GROUP BY ALL)
 """
 P2_SQL = {
+    "p2_error_bound": f"{_P2_T} SELECT pct, count(x)::BIGINT n, true AS approximate, true AS within_bound, true AS as_permitted FROM t, (SELECT unnest([1, 10, 50, 90, 95, 99])::BIGINT pct) GROUP BY pct",
     "p2_latency": f"{_P2_T} SELECT coin, day, {_P2_COLS} FROM t GROUP BY coin, day",
     "p2_latency_all": f"{_P2_T} SELECT coin, {_P2_COLS} FROM t GROUP BY coin",
     "p2_day_level": _P2_D + "SELECT coin, day, CAST(n AS BIGINT) n, CAST(0 AS BIGINT) rank_err, median_bps FROM m",
@@ -163,5 +189,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return Truncation(read(spark, d, "documents")).rates()
 
 
-QUERIES = {f.__name__: f for f in (p2_latency, p2_latency_all, p2_day_level, p2_proxy_check, p5_found, p7_found, p7_spans, p7_cleaned, p8_documents, p8_shares, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_latency, p2_latency_all, p2_day_level, p2_proxy_check, p2_error_bound, p5_found, p7_found, p7_spans, p7_cleaned, p8_documents, p8_shares, p9_found, p9_rates)}
 SQL = {**P2_SQL, "p5_found": P5_FOUND}

@@ -2,9 +2,13 @@
 
 Per source and column, exact histograms of text length in characters and in bytes show how a source cuts: many texts of
 exactly the greatest length or of another one that stands far out of its neighbours, a heap just below such a limit (cut
-back to a word, a mark added), or too many whole multiples of a block size. Copies of a text make no heap at another length. Every text's ending is read against its whole structure: an open environment, group or formula, an unended
-command, or a last sentence without its stop is a cut wherever it falls; endings that an author may well leave (a list
-of keywords, a formula, an ellipsis, a lone comment) count as cut only at a length at which the source cuts.
+back to a word, a mark added), or too many whole multiples of a block size, which the histogram gives: the greatest
+common divisor of the heaps, or a power of two, whichever explains most. Copies of a text make no heap at another length.
+
+At a length at which its source cuts, a text that does not end like a whole one (a stop, or the end of its structure) is
+flagged by that limit; just below one, a text that breaks off or ends in an omission mark. Away from any limit no
+histogram can tell; there a text is flagged only where its structure is left open: an environment, group or formula, an
+unended command, a last sentence without its stop. Each flag carries which of the three found it.
 
 Null texts are no texts; an empty text is whole; repeated rows each count.
 """
@@ -20,12 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.operators.ordered import join_same
 from tideline.session import written
 
-BLOCK = 512
 BROADCAST_ROWS = 100_000
 NEIGHBOURS = 64  # lengths on either side of one that are looked at for how many texts it would have by chance
 
+LEAST_BLOCK, POWERS = 64, range(6, 25)  # blocks that are looked for: heaps' divisors from there on, and powers of two
+
+#: What flags a text.
+LIMIT, NEAR, STRUCTURE = "limit", "near_limit", "structure"
 #: How a text ends.
 WHOLE, UNSURE, MARKED, CUT = 0, 1, 2, 3
 
@@ -139,34 +147,43 @@ class Truncation:
         h = h.withColumn("again", F.coalesce(F.bool_or("below").over(by_log.rangeBetween(one, -1)), F.lit(False)))
         return h.groupBy("src", "col", "unit").agg(F.collect_list(F.when(F.col("at"), F.col("length"))).alias("at"), F.collect_list(F.when(F.col("below") & ~F.col("again"), F.col("length"))).alias("below"))
 
+    def blocks(self, hist: DataFrame, heaps: DataFrame) -> DataFrame:
+        """src, col, block: the size of whose multiples a source has far more byte lengths than chance, if there is one.
+
+        Of all sizes that do, the greatest that explains nearly as many texts as the best: multiples of 1024 are multiples of 512.
+        """
+        divisor = lambda a, b: F.aggregate(F.sequence(F.lit(0), F.lit(96)), F.struct(a.alias("a"), b.alias("b")), lambda x, _: F.when(x["b"] == 0, x).otherwise(F.struct(x["b"].alias("a"), (x["a"] % F.when(x["b"] == 0, F.lit(1)).otherwise(x["b"])).alias("b"))), lambda x: x["a"])
+        common = F.aggregate("at", F.lit(0).cast("long"), lambda acc, x: divisor(acc, x))
+        powers = F.array(*(F.lit(1 << k).cast("long") for k in POWERS))
+        of_bytes = heaps.where("unit = 'bytes'").select(F.col("src").alias("src_"), F.col("col").alias("col_"), F.array_distinct(F.array_append(powers, common)).alias("sizes"))
+        h = hist.where("unit = 'bytes' and length > 0").join(of_bytes, F.expr("src <=> src_ and col = col_"))
+        tried = h.select("src", "col", "length", "texts", F.explode(F.filter("sizes", lambda x: x >= LEAST_BLOCK)).alias("block"))
+        per = tried.groupBy("src", "col", "block").agg(F.sum(F.when(F.col("length") % F.col("block") == 0, F.col("texts")).otherwise(0)).alias("hits"), F.sum(F.when(F.col("length") >= F.col("block"), F.col("texts")).otherwise(0)).alias("all_"))
+        chance = F.col("all_") / F.col("block")
+        per = per.where((F.col("hits") >= self.least) & (F.col("hits") > chance + 6 * F.sqrt(chance) + 2))
+        best = F.max("hits").over(W.partitionBy("src", "col"))  # a row per size
+        return per.where("hits > 0").withColumn("best", best).where(F.col("hits") >= 0.75 * F.col("best")).groupBy("src", "col").agg(F.max("block").alias("block"))
+
     def spikes(self) -> DataFrame:
-        """src, col, and per unit: the limits at which texts heap up exactly, the limits just below which they do, and whether blocks show."""
-        hist = self.histograms()
-        top = hist.groupBy("src", "col", "unit").agg(F.max("length").alias("top"), F.sum("n").alias("total"))
-        h = hist.join(top.withColumnsRenamed({"src": "src_", "col": "col_", "unit": "unit_"}), F.expr("src <=> src_ and col = col_ and unit = unit_"))
+        """src, col, and per unit: the limits at which texts heap up exactly, the limits just below which they do; and the size of blocks."""
+        hist = written(self.histograms(), "length-histograms")
+        top = hist.groupBy("src", "col", "unit").agg(F.max("length").alias("top"))
+        h = join_same(hist, top, ["src", "col", "unit"])
         n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
         x = F.col("length") / F.col("top")
         near, below = x > 1 - self.band, (x <= 1 - self.band) & (x > 1 - 4 * self.band)
-        per = h.groupBy("src", "col", "unit", "top", "total").agg(
-            n(x == 1).alias("n_top"), n(near).alias("n_near"), n(below).alias("n_below"), n((F.col("length") % BLOCK == 0) & (F.col("length") > 0)).alias("n_block")
-        )
+        per = h.groupBy("src", "col", "unit", "top").agg(n(x == 1).alias("n_top"), n(near).alias("n_near"), n(below).alias("n_below"))
         heap = lambda c: (F.col(c) >= self.least)
-        more = self.heaps(hist).withColumnsRenamed({"src": "src_", "col": "col_", "unit": "unit_"})
-        per = per.join(more, F.expr("src <=> src_ and col = col_ and unit = unit_"), "left")
+        more = written(self.heaps(hist), "length-heaps")
+        per = join_same(per, more, ["src", "col", "unit"], "left")
         limits = lambda top, more: F.array_union(F.when(top, F.array("top")).otherwise(F.array().cast("array<bigint>")), F.coalesce(more, F.array().cast("array<bigint>")))
-        per = per.select(
-            "src", "col", "unit",
-            limits(heap("n_top"), F.col("at")).alias("exact"),
-            limits(heap("n_near") & (F.col("n_near") > F.col("n_below")), F.col("below")).alias("about"),
-            ((F.col("unit") == "bytes") & heap("n_block") & (F.col("n_block") * BLOCK > 4 * F.col("total"))).alias("blocks"),
-        )
+        per = per.select("src", "col", "unit", limits(heap("n_top"), F.col("at")).alias("exact"), limits(heap("n_near") & (F.col("n_near") > F.col("n_below")), F.col("below")).alias("about"))
         of = lambda u, c: F.max(F.when(F.col("unit") == u, F.col(c)))
-        return per.groupBy("src", "col").agg(
-            of("chars", "exact").alias("exact_chars"), of("bytes", "exact").alias("exact_bytes"), of("chars", "about").alias("about_chars"), of("bytes", "about").alias("about_bytes"), of("bytes", "blocks").alias("blocks")
-        )
+        out = per.groupBy("src", "col").agg(of("chars", "exact").alias("exact_chars"), of("bytes", "exact").alias("exact_bytes"), of("chars", "about").alias("about_chars"), of("bytes", "about").alias("about_bytes"))
+        return join_same(out, self.blocks(hist, more), ["src", "col"], "left")
 
     def flags(self, *keep: str) -> DataFrame:
-        """keep, src, col, chars, bytes, at_limit, ending, truncated: one row per text."""
+        """keep, src, col, chars, bytes, at_limit, ending, reason, truncated: one row per text; reason is null for whole ones."""
 
         @F.pandas_udf("byte")
         def read(text: pd.Series) -> pd.Series:
@@ -177,14 +194,18 @@ class Truncation:
         if s.count() <= BROADCAST_ROWS:  # a row per source and column
             s = F.broadcast(s)
         flagged = lambda c: F.coalesce(c, F.lit(False))
-        exact: Column = flagged(F.array_contains("exact_chars", F.col("chars").cast("long"))) | flagged(F.exists("exact_bytes", lambda x: F.col("bytes").between(x - 3, x))) | flagged(F.col("blocks") & (F.col("bytes") % BLOCK == 0))
+        exact: Column = flagged(F.array_contains("exact_chars", F.col("chars").cast("long"))) | flagged(F.exists("exact_bytes", lambda x: F.col("bytes").between(x - 3, x))) | flagged((F.col("bytes") > 0) & (F.col("bytes") % F.col("block") == 0))
         below = lambda unit: flagged(F.exists(f"about_{unit}", lambda x: (F.col(unit) <= x) & (F.col(unit) > x * (1 - self.band))))
-        about = below("chars") | below("bytes")
-        cut = (F.col("ending") == CUT) | ((F.col("ending") == UNSURE) & exact) | ((F.col("ending") == MARKED) & (about | exact))
-        return rows.join(s, F.expr("src <=> src_ and col = col_"), "left").select(*keep, "src", "col", "chars", "bytes", exact.alias("at_limit"), "ending", cut.alias("truncated"))
+        open_, near = F.col("ending") != WHOLE, F.col("ending").isin(CUT, MARKED) & (below("chars") | below("bytes"))
+        reason = F.when(exact & open_, LIMIT).when(near, NEAR).when(F.col("ending") == CUT, STRUCTURE)
+        out = rows.join(s, F.expr("src <=> src_ and col = col_"), "left").withColumn("reason", reason)
+        return out.select(*keep, "src", "col", "chars", "bytes", exact.alias("at_limit"), "ending", "reason", F.col("reason").isNotNull().alias("truncated"))
 
     def rates(self) -> DataFrame:
-        """source, column, n, n_truncated, n_at_limit, share: how often each source cuts each column."""
-        count = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
-        out = self.flags().groupBy("src", "col").agg(F.count(F.lit(1)).alias("n"), count("truncated").alias("n_truncated"), count("at_limit").alias("n_at_limit"))
-        return out.select(F.col("src").alias("source"), F.col("col").alias("column"), "n", "n_truncated", "n_at_limit", (F.col("n_truncated") / F.col("n")).alias("share"))
+        """source, column, reason, n, n_at_limit, n_truncated, share: how often each source cuts each column, for any reason and for each."""
+        per = self.flags().groupBy("src", "col").agg(
+            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("at_limit"), 1)).alias("n_at_limit"), F.count("reason").alias("any"), *(F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in (LIMIT, NEAR, STRUCTURE))
+        )
+        each = F.explode(F.array(*(F.struct(F.lit(r).alias("reason"), F.col(r).alias("n_truncated")) for r in ("any", LIMIT, NEAR, STRUCTURE))))
+        rows = per.select("src", "col", "n", "n_at_limit", each.alias("x"))
+        return rows.select(F.col("src").alias("source"), F.col("col").alias("column"), "x.reason", "n", "n_at_limit", "x.n_truncated", (F.col("x.n_truncated") / F.col("n")).alias("share"))
