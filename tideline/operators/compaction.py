@@ -27,6 +27,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tideline.functions.hashing import row_hash
 from tideline.functions.hilbert import grid, hilbert2
+from tideline.functions.search import count_upto
 from tideline.functions.timeops import utc_day
 from tideline.operators.ordered import Runs, join_same
 from tideline.session import shared_path, written
@@ -134,19 +135,6 @@ class SegmentCompactor:
         firsts = whole.unionByName(inside).groupBy(*GROUP, "file").agg(F.min("key").alias("key")).where("file > 0")
         return firsts.groupBy(*GROUP).agg(F.array_sort(F.collect_list("key")).alias("cuts"))
 
-    @staticmethod
-    def _file_no(key: Column) -> Column:
-        """How many cuts are not above the key, by bisection."""
-        n = F.size("cuts")
-
-        def step(acc: Column, _: Column) -> Column:
-            mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-            right = (acc["low"] < acc["high"]) & (F.get("cuts", mid) <= key)
-            return F.struct(F.when(right, mid + 1).otherwise(acc["low"]).alias("low"), F.when(right | (acc["low"] >= acc["high"]), acc["high"]).otherwise(mid).alias("high"))
-
-        start = F.struct(F.lit(0).alias("low"), n.alias("high"))
-        return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")), start, step, lambda acc: acc["low"])
-
     def placed(self, rows: DataFrame, bounds: DataFrame, several: bool, kept: DataFrame) -> DataFrame:
         """``rows`` with code and file_no."""
         least = F.lit(-(1 << 63)).cast("long")
@@ -160,7 +148,7 @@ class SegmentCompactor:
         out = join_same(rows, layout, GROUP)
         out = out.withColumn("event_", self._event()).withColumn("code", self._code(F.col("recv_ms"), F.col("event_")))
         key = F.struct("code", F.coalesce("recv_ms", least).alias("recv"), F.coalesce("event_", least).alias("event"), F.col("row_hash").alias("h")).cast(KEY)
-        file_no = F.when(F.col("cuts").isNull(), 0).otherwise(self._file_no(key)) if several else F.lit(0)
+        file_no = F.when(F.col("cuts").isNull(), 0).otherwise(count_upto(F.col("cuts"), key)) if several else F.lit(0)
         return out.withColumn("file_no", file_no.cast("int")).drop("low", "high", "cuts")
 
     def run(self, location: str | None = None) -> Compaction:
