@@ -35,7 +35,7 @@ WAYS = 3
 HALVES = ("kl", "kh", "rl", "rh", "cl", "ch")
 PEELED = "pair long, bucket long, kh long, ok boolean"
 CHUNK_CELLS = 1 << 18
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 250_000  # of deliveries, and of keys that are looked up; beyond it they are joined by shuffle
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -150,7 +150,7 @@ def _peel_stream(cells: int):
 
 
 class SnapshotDiff:
-    def __init__(self, df: DataFrame, group: str, at: str, keys: Sequence[str], deliveries: DataFrame | None = None, digest: str | None = None, bucket_keys: int = 1024, cells: int = 192, rounds: int = 4):
+    def __init__(self, df: DataFrame, group: str, at: str, keys: Sequence[str], deliveries: DataFrame | None = None, digest: str | None = None, bucket_keys: int = 1024, cells: int = 288, rounds: int = 4):
         """``deliveries``: further (group, at) that were delivered, possibly empty; ``digest``: their column that states what was delivered.
 
         ``cells`` must be a multiple of 3; a table of them gives back about 0.8 pairs a cell.
@@ -237,7 +237,8 @@ class SnapshotDiff:
         keys = [f"key_{i}" for i in range(len(self.keys))]
         asked = self.differing().join(self.order.select(F.col("plus").alias("pair"), "g", "at", "prev_id"), "pair")
         sides = F.explode(F.array(F.struct(F.col("pair").alias("id"), F.lit(True).alias("new")), F.struct(F.col("prev_id").alias("id"), F.lit(False).alias("new"))))
-        looked = self.hashed.select("id", "kh", "rh", *keys).join(asked.select("g", "at", "kh", sides.alias("x")).select("g", "at", "kh", "x.*"), ["id", "kh"])
+        asked = written(asked.select("g", "at", "kh", sides.alias("x")).select("g", "at", "kh", "x.*"), "asked")
+        looked = self.hashed.select("id", "kh", "rh", *keys).join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, ["id", "kh"])
         contents = lambda new: F.sort_array(F.collect_set(F.when(F.col("new") == new, F.col("rh"))))
         change = F.when(F.size("old_rows") == 0, "added").when(F.size("new_rows") == 0, "removed").otherwise("changed")
         return (
