@@ -4,10 +4,11 @@ A summary is a sorted list of values, each with the least and greatest rank it c
 Where rows are read, values are sorted and thinned to every so many ranks; summaries of any parts merge into one whose
 rank intervals add up, and are thinned again as far as the permitted uncertainty goes. Each level of merging gets its
 share of the permitted error, and the error really reached is kept beside the summary. Nothing is random: the same
-partitions give the same summaries.
+partitions give the same summaries. Of the permitted error, parts use a quarter, neighbouring parts put together a half,
+a key's summary three quarters, and what is put together from such summaries all of it.
 
 Null values are left out; groups without values have no summary; ties share a run of ranks; NaN is a value, above all
-others. Few values (up to 1 / (2 * eps) per part) are kept as they are, and all answers are exact.
+others. Few values (up to ``exact`` of a summary) are kept as they are, and all answers are exact.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ FLUSH_ROWS = 1 << 20
 SUMMARY = "n long, err long, v array<double>, lo array<long>, hi array<long>"
 
 
-def thin(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int, eps: float) -> np.ndarray:
+def thin(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int, eps: float, exact: int = 2) -> np.ndarray:
     """Positions to keep: from each the farthest next one whose greatest rank is within 2 * eps * n of this one's least."""
     room = int(2 * eps * n)
-    if room <= 1 or len(v) <= 2:
+    if room <= 1 or len(v) <= max(exact, 2):
         return np.arange(len(v))
     keep, i = [0], 0
     while i < len(v) - 1:
@@ -42,7 +43,7 @@ def reached(lo: np.ndarray, hi: np.ndarray) -> int:
     return -(-gap // 2) if gap > 1 else 0
 
 
-def merge(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], eps: float) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+def merge(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], eps: float, exact: int = 2) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
     """(n, v, lo, hi) of disjoint parts as (n, err, v, lo, hi) of all, in one sweep over their values."""
     n = sum(p[0] for p in parts)
     v = np.concatenate([p[1] for p in parts])
@@ -53,7 +54,7 @@ def merge(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], eps: floa
     order = np.argsort(v, kind="stable")
     v, lo = v[order], np.cumsum(up[order])
     hi = start + np.cumsum(down[order]) - down[order] + 1
-    k = thin(v, lo, hi, n, eps)
+    k = thin(v, lo, hi, n, eps, exact)
     v, lo, hi = v[k], lo[k], hi[k]
     return n, reached(lo, hi), v, lo, hi
 
@@ -61,9 +62,9 @@ def merge(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], eps: floa
 class Quantiles:
     """Summaries of ``value`` per ``keys``; ``eps``: permitted rank error as a share of n."""
 
-    def __init__(self, keys: Sequence[str], eps: float = 0.0005, fan_in: int = 1024):
+    def __init__(self, keys: Sequence[str], eps: float = 0.0005, fan_in: int = 1024, exact: int = 4096):
         """``fan_in``: from how many parts of the input summaries are merged at once; so many squared make one key's final merge."""
-        self.keys, self.eps, self.fan_in = list(keys), eps, fan_in
+        self.keys, self.eps, self.fan_in, self.exact = list(keys), eps, fan_in, exact
 
     def _schema(self, df: DataFrame, keys: Sequence[str]) -> str:
         kinds = dict(df.dtypes)
@@ -71,7 +72,7 @@ class Quantiles:
 
     def summaries(self, df: DataFrame, value: Column) -> DataFrame:
         """One summary per key and part of the input, made where the rows are read."""
-        keys, eps = self.keys, self.eps / 3
+        keys, eps, exact = self.keys, self.eps / 4, self.exact
         rows = df.select(*keys, value.cast("double").alias("v_")).where("v_ is not null")
 
         def part(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -82,7 +83,7 @@ class Quantiles:
             first = np.flatnonzero(np.diff(code, prepend=-1))
             n = np.diff(np.append(first, len(v)))
             rank = np.arange(len(v)) - np.repeat(first, n)
-            step = np.repeat(np.maximum(1, (2 * eps * n).astype(np.int64)), n)
+            step = np.repeat(np.where(n <= exact, 1, np.maximum(1, (2 * eps * n).astype(np.int64))), n)
             keep = (rank % step == 0) | (rank == np.repeat(n, n) - 1)
             rank = rank[keep] + 1
             per = np.add.reduceat(keep, first)
@@ -110,21 +111,22 @@ class Quantiles:
 
     def combined(self, summaries: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
         """One summary per ``keys`` (a subset of the summaries' keys): first over neighbouring parts, then in all."""
+        share = 0.75 if keys is None or list(keys) == self.keys else 1.0
         keys = self.keys if keys is None else list(keys)
-        schema = self._schema(summaries, keys)
+        schema, exact = self._schema(summaries, keys), self.exact
 
         def level(eps: float):
             def run(b: pd.DataFrame) -> pd.DataFrame:
                 parts = [(int(n), np.asarray(v, float), np.asarray(lo, np.int64), np.asarray(hi, np.int64)) for n, v, lo, hi in zip(b["n"], b["v"], b["lo"], b["hi"])]
-                n, err, v, lo, hi = merge(parts, eps)
+                n, err, v, lo, hi = merge(parts, eps, exact)
                 out = {k: [b[k].iloc[0]] for k in keys}
                 return pd.DataFrame(out | {"n": [n], "err": [err], "v": [v], "lo": [lo], "hi": [hi]})
 
             return run
 
         parts = summaries.withColumn("parts_", F.floor(F.spark_partition_id() / self.fan_in))
-        middle = parts.groupBy(*keys, "parts_").applyInPandas(level(self.eps * 2 / 3), schema)
-        return middle.groupBy(*keys).applyInPandas(level(self.eps), schema)
+        middle = parts.groupBy(*keys, "parts_").applyInPandas(level(self.eps * (share - 0.25)), schema)
+        return middle.groupBy(*keys).applyInPandas(level(self.eps * share), schema)
 
 
 def at_rank(rank: Column) -> Column:

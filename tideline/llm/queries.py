@@ -78,7 +78,7 @@ def p2_error_bound(spark: SparkSession, d: str) -> DataFrame:
     """The delays of all trades of all coins as one group, summarised per day at a coarse error and put together from the
     days: for several percentiles, whether the answer is approximate, and whether its true ranks are as near as stated."""
     trades = read(spark, d, "trades").select(utc_day("time_ms").alias("day"), F.lit(0).alias("all_"), (F.col("recv_ms") - F.col("time_ms")).cast("double").alias("x")).where("x is not null")
-    q = Quantiles(["all_", "day"], eps=COARSE)
+    q = Quantiles(["all_", "day"], eps=COARSE, exact=0)
     whole = q.combined(q.combined(q.summaries(trades, F.col("x"))), ["all_"])
     pcts = (1, 10, 50, 90, 95, 99)
     made = whole.select("n", "err", F.array(*(percentile(p) for p in pcts)).alias("x")).first()  # one row
