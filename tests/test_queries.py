@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare
-from tideline.plans import account, checks, copying, relational, upkeep
+from tideline.plans import account, checks, copying, relational, selecting, stored, upkeep
 
-MODULES = (upkeep, relational, account, copying, checks)
+MODULES = (upkeep, relational, account, copying, checks, stored, selecting)
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES]
 
 

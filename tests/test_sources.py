@@ -67,7 +67,13 @@ def pages(items, size):
 def test_pages():
     items = [{"time": t, "tid": i} for i, t in enumerate([1, 2, 2, 3, 4], 1)]
     assert ingest.collect_pages(pages(items, 3), 0, 9, 3, 99) == (items, 3, False)
-    assert ingest.collect_pages(pages(items, 3), 0, 9, 3, 2) == (items[:2], 1, True)
+    assert ingest.collect_pages(pages(items, 3), 0, 9, 3, 2) == (items[:3], 1, True)  # all that came, one more than the cap
+    assert ingest.collect_pages(pages(items, 3), 0, 9, 3, 5) == (items, 3, False)  # exactly as many as the cap
+    for bad in ([{"time": 3, "tid": 1}, {"time": 2, "tid": 2}], [{"time": 9, "tid": 1}], [{"time": None, "tid": 1}]):
+        with pytest.raises(ValueError):
+            ingest.collect_pages(lambda a, b, bad=bad: bad, 0, 9, 3, 99)
+    burst = [{"time": i, "tid": i} for i in range(1849)] + [{"time": 5000, "tid": 9000 + i // 2} for i in range(300)] + [{"time": 6000 + i, "tid": i} for i in range(100)]
+    assert ingest.collect_pages(pages(burst, 2000), 0, 9999, 2000, 20_000) == (burst, 2, False)
     twins = [{"time": 1, "tid": i // 2} for i in range(4)] + [{"time": 2, "tid": 9}]
     assert ingest.collect_pages(pages(twins, 5), 0, 9, 5, 99)[0] == twins
     with pytest.raises(ValueError):

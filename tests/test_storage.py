@@ -8,36 +8,13 @@ from pyspark.sql import functions as F
 
 from tideline.operators.choosing import first_meeting, funnel, hash_order, until_share
 from tideline.operators.feeds import drop_first, half_spreads, message_gaps, message_rows, qualifying_days
-from tideline.operators.storage import Bounded, IntervalTable, LookaheadError, change_log, content_hashes, content_sha256, copies, intersect, multiset_difference, normalize, table_digest
-from tideline.session import shared_path
-from tideline.sources.tables import schema
+from tideline.operators.storage import Bounded, LookaheadError, change_log, content_hashes, content_sha256, copies, intersect, multiset_difference, normalize, table_digest
 
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_interval_table(spark):
-    kind = schema("t:l v:s")
-    make = lambda *r: spark.createDataFrame(list(r), kind)
-    path = shared_path(spark, "table")
-    table = IntervalTable(spark, path, kind, "t", frozen=[(15, 25)])
-    assert table.read().count() == 0 and table.spans() == []
-    table.write(make((1, "a"), (20, "b"), (20, "b")), (0, 30))
-    diff = table.write(make((12, "c"), (20, "x")), (10, 40))  # 20 is frozen and was written
-    assert rows(table.read()) == [(1, "a"), (12, "c"), (20, "b"), (20, "b")]
-    assert rows(diff) == [(20, "b", 2), (20, "x", -1)]
-    assert table.spans() == [(0, 40)]
-    with pytest.raises(ValueError):
-        table.write(make((50, "z")), (0, 30))
-    with pytest.raises(ValueError):
-        table.write(make((None, "z")), (0, 30))
-    with pytest.raises(ValueError):
-        table.create(make((1, "a")))
-    table.append(make((99, "log")))
-    assert table.read().count() == 5
-
-
 def test_spans():
     assert normalize([(5, 7), (1, 3), (3, 4), (9, 9)]) == [(1, 4), (5, 7)]
     assert intersect([(0, 10), (20, 30)], [(5, 25)]) == [(5, 10), (20, 25)]

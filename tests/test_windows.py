@@ -4,7 +4,7 @@ import pytest
 
 from compare import compare
 from tideline.functions.timeops import DAY_MS
-from tideline.plans import account, relational
+from tideline.plans import account, relational, selecting
 from tideline.sources.tables import SCHEMAS
 
 FIRST, LAST = 15698, 15711
@@ -36,13 +36,13 @@ def test_all_days_count(spark, root, name):
 
 
 def test_measures_of_all_days(spark, root):
-    got = {r.address: (r.n_fills, r.closed_episodes, r.median_open) for r in account.account_measures(spark, root).collect()}
+    got = {r.address: (r.n_fills, r.closed_episodes, r.median_open) for r in selecting.account_measures(spark, root).collect()}
     assert got == {"w": (6, 1, 1), "v": (2, 1, 1), "u": (2, 0, 1)}
 
 
 def test_no_fills_no_window(spark, tmp_path):
     spark.createDataFrame([], SCHEMAS["fills"]).write.parquet(f"{tmp_path}/fills.parquet")
-    assert account.account_measures(spark, str(tmp_path)).count() == account.open_count_steps(spark, str(tmp_path)).count() == 0
+    assert selecting.account_measures(spark, str(tmp_path)).count() == account.open_count_steps(spark, str(tmp_path)).count() == 0
 
 
 def test_coverage_reaches_the_last_instant(spark, tmp_path):

@@ -199,11 +199,13 @@ class Measures:
         return df if self.coins is None else df.join(self.coins, "coin", "left_semi")
 
     def facts(self, tolerance_bps: float = 10.0, accounts: DataFrame | None = None, coverage: DataFrame | None = None, block_days: int = 7) -> DataFrame:
-        inside, episodes_ = self.fills, self._inside(episodes(self.parts))
+        # rows repeated as a whole count once
+        inside = self.fills.select("address", "seq", "time_ms", "coin", "kind", "px", "sz", "side", "start_position", "liquidated_user")
+        episodes_ = self._inside(episodes(self.parts))
         notional = F.coalesce(F.abs("sz") * F.col("px"), F.lit(0.0))
         known = inside if self.coins is None else inside.join(self.coins.withColumn("of_universe", F.lit(True)), "coin", "left")
         of = F.lit(True) if self.coins is None else F.coalesce("of_universe", F.lit(False))
-        base = known.groupBy("address").agg(
+        base = known.distinct().groupBy("address").agg(
             F.count(F.lit(1)).alias("n_fills"), F.sum(notional).alias("notional"), F.sum(F.when(F.col("kind") == LOT_KIND, notional).otherwise(0.0)).alias("perp_notional"),
             F.count(F.when(F.lower("liquidated_user") == F.lower("address"), 1)).alias("liquidated_fills"), F.sum(F.when(of, notional).otherwise(0.0)).alias("u_"),
         )
@@ -224,9 +226,10 @@ class Measures:
         durations = interpolated(episodes_.where(closed), ["address"], F.col("closed") - F.col("opened"), {"median_duration_ms": 0.5}).drop("n")
         open_ = self.open_coins().drop("weight")
         out = base
-        for more in (ignored(inside), broken, runs, durations, open_):
+        perps = ignored(inside.where(F.col("kind") == LOT_KIND)).withColumnRenamed("n_ignored", "invalid_perp_fills")
+        for more in (ignored(inside), perps, broken, runs, durations, open_):
             out = out.join(more, "address", "left")
-        zero = ("n_ignored", "n_breaks", "closed_episodes", "active_blocks", "n_violations", "unreconciled_episodes")
+        zero = ("n_ignored", "invalid_perp_fills", "n_breaks", "closed_episodes", "active_blocks", "n_violations", "unreconciled_episodes")
         out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in zero})
         if accounts is not None:
             out = out.join(accounts.groupBy("address").agg(F.max("account_value").alias("account_value"), F.max("role").alias("role")), "address", "left")

@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.timeops import HOUR_MS, floor_to
+from tideline.operators.ordered import join_same
+from tideline.session import written
 
 ON_TIME, CORRECTED, DROPPED = "on_time", "corrected", "dropped"
 
@@ -50,8 +52,7 @@ class LatePeriods:
 
     def closing(self, arrivals: DataFrame) -> DataFrame:
         """keys, period_ms, overtaken_at, closed_at: rows received strictly later are overtaken, or too late. Null: never so far."""
-        merged = arrivals.groupBy(*self.keys, "period_ms").agg(F.min("first_recv").alias("first_recv"), F.min("first_after").alias("first_after"))
-        merged = merged.withColumn("down", -F.col("period_ms"))
+        merged = self.merged(arrivals).withColumn("down", -F.col("period_ms"))
         later = W.partitionBy(*self.keys).orderBy("down")  # the newest period first: growing frames only
         far = self.cutoff_ms + self.period_ms
         return merged.select(
@@ -95,19 +96,39 @@ class LatePeriods:
 
     # -- the same, batch by batch ---------------------------------------------------------------------------------
 
+    def merged(self, arrivals: DataFrame) -> DataFrame:
+        return arrivals.groupBy(*self.keys, "period_ms").agg(F.min("first_recv").alias("first_recv"), F.min("first_after").alias("first_after"))
+
     def ingest(self, spark: SparkSession, store: str, df: DataFrame, delivery: int) -> DataFrame:
         """Adds a delivery of whole arrival batches to ``store`` and returns all partials kept there.
 
         Deliveries are numbered in receive order. One that is repeated, after a failure, replaces itself. Rows of periods
-        that are closed by then are kept as ``dropped`` counts only.
+        that are closed by then are refused: they are kept as ``dropped`` counts only. What a delivery needs of the
+        earlier ones is one row per period still open, and per stream the newest period closed; both are written anew
+        with each delivery, so the work does not grow with what was ever stored.
         """
         rows = self.rows(df)
-        own = self.arrivals(rows)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/arrivals")
+        own = self.arrivals(rows).drop("batch_ms")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/state")
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         earlier = [n for s in (fs.listStatus(path) if fs.exists(path) else []) if (n := int(s.getPath().getName().rpartition("=")[2])) < delivery]
-        before = spark.read.schema(own.schema).parquet(*(f"{store}/arrivals/delivery={n}" for n in earlier)) if earlier else own.limit(0)
-        made = self.partials(self.judged(rows, self.closing(before.unionByName(own))))
+        kind = own.withColumn("closed", F.lit(False)).schema
+        before = spark.read.schema(kind).parquet(f"{store}/state/delivery={max(earlier)}") if earlier else spark.createDataFrame([], kind)
+        live = written(self.merged(before.where("not closed").drop("closed").unionByName(own)), "periods")
+        closing = self.closing(live)
+        refused = before.where("closed").groupBy(*(F.col(k).alias(f"r_{k}") for k in self.keys)).agg(F.max("period_ms").alias("refused_upto"))
+        on = F.lit(True)
+        for k in self.keys:
+            on &= F.col(k).eqNullSafe(F.col(f"r_{k}"))
+        judged = self.judged(rows, closing).join(refused, on, "left").drop(*(f"r_{k}" for k in self.keys))
+        judged = judged.withColumn("outcome", F.when(F.col("period_ms") <= F.col("refused_upto"), DROPPED).otherwise(F.col("outcome"))).drop("refused_upto")
+        made = self.partials(judged)
         made.write.mode("overwrite").parquet(f"{store}/partials/delivery={delivery}")
-        own.write.mode("overwrite").parquet(f"{store}/arrivals/delivery={delivery}")
+        # a closed period needs no more than to be refused; periods close in order
+        shut = join_same(live, closing.select(*self.keys, "period_ms", F.col("closed_at").isNotNull().alias("shut_")), [*self.keys, "period_ms"])
+        newest = shut.where("shut_").groupBy(*self.keys).agg(F.max("period_ms").alias("period_ms")).unionByName(before.where("closed").select(*self.keys, "period_ms")).groupBy(*self.keys).agg(F.max("period_ms").alias("period_ms"))
+        none = F.lit(None).cast("long")
+        state = shut.where("not shut_").select(*self.keys, "period_ms", "first_recv", "first_after", F.lit(False).alias("closed"))
+        state = state.unionByName(newest.select(*self.keys, "period_ms", none.alias("first_recv"), none.alias("first_after"), F.lit(True).alias("closed")))
+        state.write.mode("overwrite").parquet(f"{store}/state/delivery={delivery}")
         return spark.read.schema(made.schema).parquet(f"{store}/partials")

@@ -184,13 +184,6 @@ def exposure_steps(spark: SparkSession, d: str) -> DataFrame:
     return e.select("address", F.round(F.col("exposure") * 100).cast("long").alias("p95_cents"), F.round(F.col("hours") * 3_600_000).cast("long").alias("weight"))
 
 
-@query()
-def account_measures(spark: SparkSession, d: str) -> DataFrame:
-    """All measures of all accounts in one table, over all days that have fills."""
-    f = acc.facts(read(spark, d, "fills").where("address is not null"), *window(spark, d))
-    return f.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in f.dtypes))
-
-
 @query(f"""WITH {_STEPS} SELECT kind, count(expected)::BIGINT pairs, count(CASE WHEN broke THEN 1 END)::BIGINT breaks, count(CASE WHEN broke AND time_ms = prev_t THEN 1 END)::BIGINT same_ms FROM s GROUP BY kind""")
 def continuity_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = _steps(spark, d)

@@ -10,6 +10,7 @@ from tideline.operators.compaction import SegmentCompactor, distinct_segments, w
 from tideline.operators.intervals import Intervals
 from tideline.operators.lateness import ON_TIME, LatePeriods
 from tideline.operators.snapshots import SnapshotDiff
+from tideline.session import shared_path, written
 from tideline.sources.messages import event_time
 from tideline.sources.tables import read
 
@@ -58,6 +59,23 @@ def p3_hourly(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*STREAM, F.col("period_ms").alias("hour_ms"), "n", F.col("sum_delay_ms").cast("long").alias("sum_delay_ms"), "n_on_time", "n_corrected", "n_dropped")
 
 
+DELIVERIES = 6
+
+
+def p3_ingested(spark: SparkSession, d: str) -> DataFrame:
+    """The same out of a store to which the rows were added in deliveries, one after the other in receive order."""
+    late = LatePeriods(STREAM, "event", "recv_ms", ["delay_ms"])
+    rows = written(arrivals(spark, d).withColumn("delay_ms", F.col("recv_ms") - F.col("event")).where("event is not null and recv_ms is not null"), "arrivals")
+    first, last = rows.agg(F.min("recv_ms"), F.max("recv_ms")).first()
+    store, hour = shared_path(spark, "late-periods"), late.batch_ms
+    first, last = (0, 0) if first is None else (first // hour, last // hour + 1)
+    edges = [(first + (last - first) * i // DELIVERIES) * hour for i in range(DELIVERIES + 1)]
+    for n, (low, high) in enumerate(zip(edges, edges[1:])):
+        out = late.ingest(spark, store, rows.where((F.col("recv_ms") >= low) & (F.col("recv_ms") < high)), n)
+    out = late.combine(out)
+    return out.select(*STREAM, F.col("period_ms").alias("hour_ms"), "n", F.col("sum_delay_ms").cast("long").alias("sum_delay_ms"), "n_on_time", "n_corrected", "n_dropped")
+
+
 _P3_JUDGED = """
 WITH seg AS (SELECT path, min(coin) coin, min(channel) channel FROM segments GROUP BY path),
 ev AS (
@@ -155,5 +173,28 @@ FROM nw n FULL OUTER JOIN od o ON n.batch_id = o.batch_id AND n.pair = o.pair AN
 WHERE n.pair IS NULL OR o.pair IS NULL OR NOT ({_P6_SAME})
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_compact, p3_found, p3_hourly, p4_found, p4_periods, p4_days, p6_found)}
-SQL = {"p3_found": P3_FOUND, "p3_hourly": P3_HOURLY, "p4_found": P4_FOUND, "p4_periods": P4_PERIODS, "p4_days": P4_DAYS, "p6_found": P6_FOUND}
+# equal raw: the same leaves at the same places, numbers by value; raw that is no JSON by its text
+_P1_REPEATS = """
+WITH s AS (SELECT path, min(coin) coin, min(channel) channel, min(hour_ms) hour_ms, min(opened_ms) opened_ms, bool_or(closed) closed FROM segments GROUP BY path),
+r AS (SELECT row_number() OVER () id, * FROM records JOIN s USING (path)),
+j AS (SELECT r.id, string_agg(t.fullkey || '=' || CASE WHEN t.type IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') THEN t.atom::DOUBLE::VARCHAR ELSE t.type || t.atom END, chr(1) ORDER BY t.fullkey) v
+      FROM r, json_tree(r.raw::JSON) t WHERE json_valid(r.raw) AND t.atom IS NOT NULL GROUP BY r.id),
+k AS (SELECT r.*, coalesce('j' || j.v, 't' || r.raw) v FROM r LEFT JOIN j USING (id)),
+f AS (SELECT *, min((opened_ms, path)) OVER (PARTITION BY coin, channel, conn_ms, recv_ms, v) fst FROM k)
+"""
+P1_FOUND = (
+    _P1_REPEATS
+    + """, n AS (SELECT hour_ms // 86400000 AS day, count(*) n FROM s WHERE closed GROUP BY ALL)
+SELECT 'record' kind, hour_ms, path, record_no FROM f WHERE (opened_ms, path) > fst
+UNION ALL SELECT DISTINCT 'day', p.day * 86400000, '-', -1::BIGINT FROM day_reports p LEFT JOIN n ON n.day = p.day WHERE p.deleted_segments IS NOT NULL AND p.day IS NOT NULL AND p.deleted_segments <> coalesce(n.n, 0)"""
+)
+# a day of one file, as all are that hold less than a file's worth
+P1_COMPACT = (
+    _P1_REPEATS
+    + """SELECT coin, channel, hour_ms // 86400000 AS day, count(*)::BIGINT n_source, count(CASE WHEN (opened_ms, path) = fst THEN 1 END)::BIGINT n_written, count(CASE WHEN (opened_ms, path) > fst THEN 1 END)::BIGINT n_dropped,
+ 1::BIGINT n_files, sum(CASE WHEN (opened_ms, path) = fst THEN octet_length(encode(raw)) ELSE 0 END)::BIGINT least_bytes, sum(CASE WHEN (opened_ms, path) = fst THEN octet_length(encode(raw)) ELSE 0 END)::BIGINT most_bytes,
+ 0::BIGINT overlap_ms, true AS ok FROM f GROUP BY ALL"""
+)
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_compact, p3_found, p3_hourly, p3_ingested, p4_found, p4_periods, p4_days, p6_found)}
+SQL = {"p1_found": P1_FOUND, "p1_compact": P1_COMPACT, "p3_found": P3_FOUND, "p3_hourly": P3_HOURLY, "p3_ingested": P3_HOURLY, "p4_found": P4_FOUND, "p4_periods": P4_PERIODS, "p4_days": P4_DAYS, "p6_found": P6_FOUND}

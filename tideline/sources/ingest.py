@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -66,30 +68,40 @@ def collect_pages(fetch: Callable[[int, int], list[dict]], start_ms: int, end_ms
     """Items of [start, end) from a service that answers at most ``page_max`` of them, oldest first: items, pages, capped.
 
     Each page starts at the instant where the last one ended, so items of that instant come again: they are taken off as
-    often as they were kept. A full page that leads no further is an error.
+    often as the last page had them. More than ``cap`` items end the collection: it is ``capped``, and all that came so
+    far is returned. A page out of order or outside what was asked for, and a full page that leads no further, are errors.
     """
+    spelled = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
     kept: list[dict] = []
     at, pages = start_ms, 0
+    again: Counter[str] = Counter()
     while True:
         page = fetch(at, end_ms)
         pages += 1
-        again = [repr(sorted(x.items())) for x in kept if x["time"] == at]
-        fresh = []
-        for x in page:
-            key = repr(sorted(x.items()))
-            if x["time"] == at and key in again:
-                again.remove(key)
+        times = [x.get("time") for x in page]
+        if not all(isinstance(t, int) and at <= t < end_ms for t in times):
+            raise ValueError(f"an item outside [{at}, {end_ms})")
+        if any(a > b for a, b in zip(times, times[1:])):
+            raise ValueError("a page out of order")
+        left, fresh = Counter(again), []
+        for x, t in zip(page, times):
+            if t == at and left[key := spelled(x)] > 0:
+                left[key] -= 1
             else:
                 fresh.append(x)
         kept += fresh
-        if len(kept) >= cap:
-            return kept[:cap], pages, True
-        if len(page) < page_max:
-            return kept, pages, False
-        last = max(x["time"] for x in page)
-        if last == at and not fresh:
+        if len(kept) > cap or len(page) < page_max:
+            return kept, pages, len(kept) > cap
+        if not fresh:
             raise ValueError("a full page of one instant leads no further")
-        at = last
+        at = times[-1]
+        again = Counter(spelled(x) for x, t in zip(page, times) if t == at)
+
+
+def latest_coverage(coverage: DataFrame, window: Sequence[str], at: str = "ingested_at_ms") -> DataFrame:
+    """Of the coverage rows recorded for a window, the one that stands: the last; of several at one instant the greatest."""
+    row = F.struct(at, *(c for c in coverage.columns if c not in {at, *window}))
+    return coverage.groupBy(*window).agg(F.max(row).alias("x")).select(*window, "x.*")
 
 
 def uncovered(addresses: DataFrame, coverage: DataFrame, start_ms: int, end_ms: int, done: Sequence[str] = ("ok",)) -> DataFrame:
@@ -164,6 +176,4 @@ def until_first_missing(days: DataFrame) -> DataFrame:
 
 def params_hash(params: dict) -> str:
     """SHA-256 of a parameter tree in one spelling: keys sorted, no spacing."""
-    import json
-
     return hashlib.sha256(json.dumps(params, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
