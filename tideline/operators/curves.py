@@ -50,7 +50,7 @@ def together(curves: DataFrame, group: Sequence[str], member: str, bucket_ms: in
     """
     points = curves.where("equity is not null").groupBy(*group, member, "t").agg(F.max("equity").alias("equity"))
     seen = Runs(points, [*group, member], "t", [], bucket_ms).previous(["equity"])
-    changes = seen.groupBy(*group, "t").agg(F.sum(F.col("equity") - F.coalesce("prev_equity", F.lit(0.0))).alias("change_"))
+    changes = seen.groupBy(*group, "t").agg(F.sum(F.col("equity") - F.coalesce("prev_equity", F.lit(0))).alias("change_"))
     return Runs(changes, group, "t", [], bucket_ms).annotate(running={"equity": F.col("change_")}).select(*group, "t", "equity")
 
 
