@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare
-from tideline.plans import account, checks, copying, relational, selecting, simulating, stored, upkeep
+from tideline.plans import account, checks, copying, relational, selecting, simulating, stored, upkeep, verifying
 
-MODULES = (upkeep, relational, account, copying, checks, stored, selecting, simulating)
+MODULES = (upkeep, relational, account, copying, checks, stored, selecting, simulating, verifying)
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES]
 
 

@@ -27,3 +27,9 @@ def channel_and_coin(raw: Column | str) -> tuple[Column, Column]:
     v = F.try_parse_json(_c(raw))
     coin = F.coalesce(F.try_variant_get(v, "$.data.coin", "string"), F.try_variant_get(v, "$.data[0].coin", "string"))
     return F.try_variant_get(v, "$.channel", "string"), coin
+
+
+def times_in(raw: Column | str) -> Column:
+    """Every instant that stands as ``"time": n`` in a message, in order, without reading the message; empty for none."""
+    found = F.regexp_extract_all(_c(raw), F.lit(r'"time"\s*:\s*(\d+)'), F.lit(1))
+    return F.transform(found, lambda x: x.cast("long"))
