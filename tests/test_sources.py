@@ -19,25 +19,43 @@ def test_members_round_trip():
     assert segments.whole_length(cut) == len(segments.encode(REC[:2])) and segments.whole_length(data) == len(data)
     with pytest.raises(ValueError):
         list(segments.members(cut, False))
-    with pytest.raises(ValueError):
-        list(segments.decode(gzip.decompress(segments.encode(REC))[:-1] + b"\x01" * 19))
+    assert gzip.decompress(segments.encode([(1, 2, b"a\nb")])) == b"1\t2\t3\ta\nb\n"
+    for bad in (gzip.decompress(segments.encode(REC))[:-1] + b"\x01" * 19, b"1\t2\t5\tab\n", b"1\t2", b"x\t2\t0\t\n"):
+        with pytest.raises(ValueError):
+            list(segments.decode(bad))
 
 
 def test_segment_source(spark, tmp_path):
-    folder = tmp_path / "lab_X" / "bbo"
+    folder = tmp_path / "lab%3AX" / "bbo"
     folder.mkdir(parents=True)
-    (folder / "0.5.seg.gz").write_bytes(segments.encode(REC))
-    (folder / "0.9.seg.gz.open").write_bytes(segments.encode(REC[:1]) + segments.encode(REC)[:-4])
-    segments.register(spark)
-    got = sorted((r.path, r.record_no, r.recv_ms, r.closed, r.coin, r.raw) for r in spark.read.format("segments").load(str(tmp_path)).collect())
+    (folder / "0.5.jsonl.gz").write_bytes(segments.encode(REC))
+    (folder / "0.9.jsonl.gz.open").write_bytes(segments.encode(REC[:1]) + segments.encode(REC)[:-4])
+    (folder / "0.11.jsonl.gz.open").write_bytes(segments.encode(REC)[:-4])
+    load = lambda p: segments.read(spark, str(p))
+    got = sorted((r.path, r.record_no, r.recv_ms, r.closed, r.coin, r.raw) for r in load(tmp_path).collect())
     assert [g[1:4] for g in got] == [(0, 10, True), (1, 11, True), (2, 12, True), (0, 10, False)]
     assert got[1][4:] == ("lab:X", "é")
-    rows = spark.read.format("segments").load(str(tmp_path))
     out = tmp_path / "out"
-    rows.write.format("segments").mode("append").save(str(out))
-    again = spark.read.format("segments").load(str(out))
-    assert sorted((r.recv_ms, r.raw) for r in again.collect()) == sorted((g[2], g[5]) for g in got)
-    assert spark.read.format("segments").load(str(tmp_path / "none")).count() == 0
+    more = spark.createDataFrame([("lab:X", "bbo", 3_600_001, None, "line\nfeed"), ("lab:X", "bbo", None, 1, "gone")], "coin string, channel string, recv_ms long, conn_ms long, raw string")
+    rows = load(tmp_path).select(*more.columns).unionByName(more)
+    paths = segments.write(rows, str(out))
+    assert paths == ["lab%3AX/bbo/0.10.jsonl.gz", "lab%3AX/bbo/3600000.3600001.jsonl.gz"]
+    assert segments.write(rows, str(out)) == []  # as after a failure
+    again = load(out)
+    assert sorted((r.recv_ms, r.raw) for r in again.collect()) == sorted([*((g[2], g[5]) for g in got), (3_600_001, "line\nfeed")])
+    assert load(tmp_path / "none").count() == 0
+    assert segments.recover(spark, str(tmp_path / "lab%3AX")) == ["lab%3AX/bbo/0.9.jsonl.gz"]
+    assert sorted(p.name for p in folder.glob("[0-9]*")) == ["0.5.jsonl.gz", "0.9.jsonl.gz"] and load(tmp_path / "lab%3AX").where("closed").count() == 4
+    assert segments.delete(spark, str(out), paths + ["none"]) == 2 and load(out).count() == 0
+
+
+def test_many_small_files_share_a_task(spark, tmp_path):
+    for i in range(300):
+        folder = tmp_path / f"c{i % 7}" / "bbo"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.{i}.jsonl.gz").write_bytes(segments.encode(REC))
+    df = segments.read(spark, str(tmp_path))
+    assert df.count() == 900 and df.rdd.getNumPartitions() < 20
 
 
 def test_json_documents(spark):
