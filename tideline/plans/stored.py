@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.timeops import DAY_MS, floor_div, utc_day
+from tideline.operators.compaction import distinct_segments
+from tideline.operators.daily import convert, due_days
 from tideline.operators.ordered import join_same
 from tideline.operators.storage import multiset_difference
 from tideline.plans.registry import Registry
@@ -75,6 +77,31 @@ def store_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return listed.join(held, "snapshot_ms")
 
 
+# -- days of segments into tables ----------------------------------------------------------------------------------------------
+
+_SILENCE = 1_800_000
+
+
+@query(f"""WITH g AS (SELECT path, min(coin) coin, min(channel) channel, min(hour_ms) hour_ms, min(opened_ms) opened_ms, bool_or(closed) closed FROM segments WHERE path IS NOT NULL GROUP BY path),
+dd AS (SELECT hour_ms // {DAY_MS} AS day FROM g WHERE channel IN ('bbo', 'book', 'trades') GROUP BY 1 HAVING bool_and(closed) AND hour_ms // {DAY_MS} < (SELECT max(hour_ms // {DAY_MS}) FROM g)),
+m AS (SELECT r.*, g.coin, g.channel, g.hour_ms, g.opened_ms, dd.day FROM records r JOIN g USING (path) JOIN dd ON g.hour_ms // {DAY_MS} = dd.day WHERE g.channel IN ('bbo', 'book', 'trades') AND g.coin IS NOT NULL),
+k AS (SELECT * FROM (SELECT *, min(struct_pack(recv_ms, opened_ms, path, record_no)) OVER (PARTITION BY coin, channel, conn_ms) f FROM m) WHERE struct_pack(recv_ms, opened_ms, path, record_no) > f),
+j AS (SELECT * FROM k WHERE json_valid(raw)),
+w AS (SELECT day, recv_ms // {DAY_MS} rd, coin, channel, recv_ms, conn_ms, CASE WHEN channel <> 'trades' THEN json_extract_string(raw, '$.data.time')::BIGINT END t FROM j WHERE channel <> 'trades' AND json_extract_string(raw, '$.data.coin') = coin
+ UNION ALL SELECT day, recv_ms // {DAY_MS}, coin, channel, recv_ms, conn_ms, NULL FROM (SELECT *, unnest(CAST(json_extract(raw, '$.data') AS JSON[])) x FROM j WHERE channel = 'trades') WHERE json_extract_string(x, '$.coin') = coin),
+b AS (SELECT coin, t, recv_ms, conn_ms, lag(t) OVER v pt, lag(conn_ms) OVER v pc, row_number() OVER v rn FROM w WHERE channel = 'book' AND t IS NOT NULL WINDOW v AS (PARTITION BY coin ORDER BY recv_ms, t, conn_ms)),
+p AS (SELECT DISTINCT coin, pt, t, CASE WHEN conn_ms <> pc THEN 'disconnect' ELSE 'silence' END reason FROM b WHERE rn > 1 AND (conn_ms <> pc OR t - pt > {_SILENCE})),
+c AS (SELECT dd.day, (SELECT count(*) FROM m WHERE m.day = dd.day) messages, (SELECT count(*) FROM k WHERE k.day = dd.day) kept, (SELECT count(*) FROM j WHERE j.day = dd.day) readable, (SELECT count(*) FROM w WHERE w.rd = dd.day) n_rows, (SELECT count(*) FROM p WHERE p.t // {DAY_MS} = dd.day) n_gaps,
+ (SELECT count(DISTINCT path) FROM m WHERE m.day = dd.day) segments, (SELECT count(*) FROM w WHERE w.rd = dd.day AND channel <> 'trades') single, (SELECT count(*) FROM k WHERE k.day = dd.day AND channel <> 'trades') want FROM dd)
+SELECT day, messages::BIGINT messages, (messages - kept)::BIGINT dropped_first, (kept - readable)::BIGINT unreadable, n_rows::BIGINT n_rows, n_gaps::BIGINT n_gaps, segments::BIGINT segments, kept = readable AND single = want whole FROM c""")
+def day_conversion(spark: SparkSession, d: str) -> DataFrame:
+    """Every UTC day whose segments are all closed, as it goes into tables: messages, first ones dropped, rows, gaps, segments."""
+    segments = distinct_segments(read(spark, d, "segments"))
+    last = segments.agg(F.max(utc_day("hour_ms"))).first()[0]
+    records = read(spark, d, "records").join(segments.drop("closed"), "path")
+    return convert(records, due_days(segments, last or 0), max_silence_ms=_SILENCE).report
+
+
 # -- writes ----------------------------------------------------------------------------------------------------------------
 
 _FROZEN = (LOW + DAY_MS // 2, LOW + DAY_MS)
