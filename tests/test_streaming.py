@@ -1,6 +1,8 @@
 from tideline.operators import feeds as batch
 from tideline.operators.lateness import LatePeriods
 from tideline.session import shared_path
+from tideline.sources import segments
+from tideline.sources.store import Store
 from tideline.sources.tables import SCHEMAS, read
 from tideline.streaming import feeds
 
@@ -16,11 +18,66 @@ def folder(spark, df, order, parts):
 
 
 def test_bars_come_out_as_in_batch(spark, small):
-    trades = read(spark, small, "trades").where("time_ms is not null").select("coin", "time_ms", "tid", "px", "recv_ms")
-    flow = feeds.stream(spark, folder(spark, trades, ["recv_ms"], 3), trades.schema)
-    got = {(r.coin, r.slot): tuple(r)[2:] for r in feeds.drained(feeds.bars(flow, "20 days"), shared_path(spark, "bars")).collect()}
+    """All bars but that of a last trade, whose only use is to move the watermark past all others."""
+    trades = read(spark, small, "trades").where("time_ms is not null and coin is not null").select("coin", "time_ms", "tid", "px", "recv_ms")
+    last = spark.createDataFrame([("end", 15_800 * 86_400_000, 0, 1.0, 0)], trades.schema)
+    path = folder(spark, trades, ["time_ms"], 3)
+    flow = feeds.bars(feeds.stream(spark, path, trades.schema), "2 hours")
+    out, at = shared_path(spark, "bars"), shared_path(spark, "bars-checkpoint")
+    run = lambda: flow.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    run()
+    assert 0 < spark.read.parquet(out).count()  # what the watermark has passed so far
+    last.write.mode("append").parquet(path)
+    run()
+    got = {(r.coin, r.slot): tuple(r)[2:] for r in spark.read.parquet(out).collect()}
     want = {(r.coin, r.slot): tuple(r)[2:] for r in batch.bars(trades, ["coin"], "time_ms", "px", ["tid", "px"]).collect()}
-    assert all(want[k] == v for k, v in got.items())  # those whose end the watermark passed
+    assert len(want) > 500 and got == want
+
+
+def test_late_trades_are_left_out_beyond_the_watermark(spark):
+    kind = "coin string, time_ms long, tid long, px double"
+    path = shared_path(spark, "late-trades")
+    for rows in ([("a", 10_000_000, 1, 1.0)], [("a", 10_000_500, 2, 2.0)], [("a", 1_000, 3, 9.0)], [("z", 90_000_000, 4, 1.0)], [("z", 90_000_001, 5, 1.0)]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    got = feeds.drained(feeds.bars(feeds.stream(spark, path, spark.createDataFrame([], kind).schema), "1 hour"), shared_path(spark, "late-bars")).collect()
+    assert ("a", 10_000) in {(r.coin, r.slot) for r in got}
+
+
+def test_first_messages_by_state(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", feeds.STATE_STORE)
+    kind = "coin string, channel string, opened_ms long, path string, record_no long, recv_ms long, conn_ms long, raw string"
+    rows = [("a", "bbo", 0, "p", i, i, i // 7, f"m{i}") for i in range(30)] + [("b", "bbo", 0, "q", i, i, 3, "x") for i in range(4)]
+    df = spark.createDataFrame(rows, kind)
+    flow = feeds.stream(spark, folder(spark, df, ["recv_ms", "coin"], 4), df.schema)
+    got = feeds.drained(feeds.first_dropped(flow), shared_path(spark, "first"))
+    want = batch.drop_first(df, ["coin", "channel"], ["recv_ms", "opened_ms", "path", "record_no"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect())) and want.count() == 34 - 5 - 1
+
+
+def test_recorded_and_closed_by_day(spark):
+    """A stream into segments, its closed days into tables, and the next day carried on from there."""
+    day = 86_400_000
+    kind = "coin string, channel string, recv_ms long, conn_ms long, raw string"
+    say = lambda t: '{"channel":"book","data":{"coin":"a","time":%d,"levels":[[{"px":"1","sz":"2"}],[{"px":"3","sz":"4"}]]}}' % t
+    trade = lambda t: '{"channel":"trades","data":[{"coin":"a","side":"B","px":"1","sz":"1","time":%d,"tid":%d,"users":["x","y"]}]}' % (t, t)
+    one = [("a", "book", t + 300, 7, say(t)) for t in (1_000, 11_000, 21_001, 30_000)] + [("a", "trades", t + 300, 7, trade(t)) for t in (500, 600, 700)]
+    two = [("a", "book", day + t + 300, 7, say(day + t)) for t in (5, 9_000)] + [("a", "book", day + 50_000, 8, say(day + 49_000)), ("a", "book", day + 51_000, 8, say(day + 50_500))]
+    source, root = shared_path(spark, "messages"), shared_path(spark, "segments")
+    spark.createDataFrame(one + two, kind).coalesce(1).write.parquet(source)
+    for _ in range(2):  # the second time from a new checkpoint, as after a loss
+        feeds.recorded(feeds.stream(spark, source, spark.createDataFrame([], kind).schema), root).awaitTermination()
+    assert segments.read(spark, root).count() == len(one + two)
+    store = Store(spark, shared_path(spark, "tables"))
+    first = feeds.close_days(spark, root, store, 1)
+    assert [tuple(r) for r in first.collect()] == [(0, 7, 2, 0, 5, 1, 2, True)]  # one gap of more than ten seconds, from 11 000 to 21 001
+    assert segments.read(spark, root).count() == len(two) and store.partitions("book") == [("a", "0")]
+    assert [tuple(r) for r in store.read("gaps", ("a",)).collect()] == [("a", 11_000, 21_001, "silence")]
+    second = feeds.close_days(spark, root, store, 2)
+    # connection 7 goes on: none of its messages is dropped; 8 begins
+    assert [tuple(r) for r in second.collect()] == [(1, 4, 1, 0, 3, 2, 1, True)]
+    gaps = sorted(tuple(r) for r in store.read("gaps", ("a",)).collect())
+    assert gaps == [("a", 11_000, 21_001, "silence"), ("a", 30_000, day + 5, "silence"), ("a", day + 9_000, day + 50_500, "disconnect")]
+    assert segments.read(spark, root).count() == 0 and feeds.close_days(spark, root, store, 9).count() == 0
 
 
 def test_gaps_by_state(spark, small):

@@ -8,6 +8,7 @@ import json
 import zipfile
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions.timeops import DAY_MS, HOUR_MS, hour_floor
 from tideline.operators.feeds import bars
+from tideline.operators.ordered import as_of
+from tideline.session import written
 from tideline.sources.tables import SCHEMAS, schema
 
 # -- JSON documents ------------------------------------------------------------------------------------------------------
@@ -37,6 +40,13 @@ def instruments(raw: DataFrame, body: str = "body") -> DataFrame:
     return rows.select(F.col("r.name").alias("coin"), F.col("r.szDecimals").alias("sz_decimals"))
 
 
+def require(df: DataFrame, columns: Sequence[str], what: str = "table") -> DataFrame:
+    """``df`` itself, if it has all of ``columns``."""
+    if gone := sorted(set(columns) - set(df.columns)):
+        raise ValueError(f"{what} lacks the columns {gone}")
+    return df
+
+
 def instrument_kind(coin: Column, perps: Sequence[str] | Column) -> Column:
     """First rule first: a listed perpetual, a name with a colon, a pair or numbered spot token, an outcome token, other."""
     listed = perps if isinstance(perps, Column) else coin.isin(list(perps))
@@ -121,6 +131,7 @@ def funding_hours(rows: DataFrame, start_ms: int, end_ms: int) -> tuple[DataFram
 
 # -- daily archives --------------------------------------------------------------------------------------------------------
 
+LINES = 50_000  # of an archive at a time
 TRADE_CSV = schema("agg_trade_id:l price:d quantity:d first_trade_id:l last_trade_id:l transact_time:l is_buyer_maker:s")
 
 
@@ -146,12 +157,15 @@ def archives(spark: SparkSession, paths: str | list[str], checksums: DataFrame)
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content, ok in zip(b["path"], b["content"], b["ok"]):
-                lines: list[str] = []
-                if ok:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for name in z.namelist():
-                            lines += z.read(name).decode().splitlines()
-                yield pd.DataFrame({"path": path, "ok": bool(ok), "line": lines or [None]})
+                if not ok:
+                    yield pd.DataFrame({"path": [path], "ok": [False], "line": [None]})
+                    continue
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in z.namelist():
+                        with z.open(name) as f:  # unpacked as it is read
+                            text = io.TextIOWrapper(f, "utf-8")
+                            while lines := [x.rstrip("\r\n") for x in islice(text, LINES)]:
+                                yield pd.DataFrame({"path": path, "ok": True, "line": lines})
 
     rows = files.select("path", "content", "ok").mapInPandas(unzip, "path string, ok boolean, line string")
     parts = F.split("line", ",")
@@ -168,6 +182,36 @@ def second_series(trades: DataFrame, day: int) -> DataFrame:
     return bars(trades.withColumn("k_", F.lit(0)), ["k_"], "transact_time", "price", ["agg_trade_id"]).select(F.col("slot").alias("second"), "low", "high", "last", "n_trades")
 
 
+def store_archive(spark: SparkSession, path: str, sha256: str, store, coin: str, day: int) -> int:
+    """A day's archive as prices per second in ``store``, the archive taken away once they are there; returns the seconds.
+
+    A file whose digest is another, or with trades of another day, is an error and stays.
+    """
+    rows = archives(spark, path, spark.createDataFrame([(r.path, sha256) for r in spark.read.format("binaryFile").load(path).select("path").collect()], "path string, sha256 string"))
+    rows = written(rows, "archive")
+    if not rows.where("not ok").isEmpty():
+        raise ValueError(f"{path} is not what was listed")
+    bars_ = second_series(rows.where("ok"), day).select(F.lit(coin).alias("coin"), "second", "low", "high", "last", "n_trades")
+    store.write("proxy", (coin, str(day)), bars_, (day * DAY_MS // 1000, (day + 1) * DAY_MS // 1000), "second")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, False)
+    return store.read("proxy", (coin, str(day))).count()
+
+
+def tsv_recording(spark: SparkSession, path: str) -> DataFrame:
+    """file, recv_ms, raw of recordings of one message per line, receive time and message with a tab between."""
+    lines = spark.read.text(path).select("value", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file"))
+    return lines.select("file", F.expr("try_cast(substring_index(value, '\t', 1) as bigint)").alias("recv_ms"), F.expr("substring(value, locate('\t', value) + 1)").alias("raw")).where("recv_ms is not null")
+
+
+def without_snapshots(messages: DataFrame, connects: DataFrame, stream: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Messages without the first at or after each connect of their stream (``connects``: stream, at_ms), and those first ones."""
+    first = as_of(connects, messages, list(stream), "at_ms", "recv_ms", [c for c in messages.columns if c not in stream], forward=True, prefix="m_")
+    keys = first.where("m_recv_ms is not null").select(*stream, *(F.col(f"m_{o}").alias(o) for o in order)).distinct()
+    live = messages.join(keys, [*stream, *order], "left_anti")
+    return live, messages.join(keys, [*stream, *order], "left_semi")
+
+
 def until_first_missing(days: DataFrame) -> DataFrame:
     """coin, day up to the first day that was not found."""
     missing = days.where("not found").groupBy("coin").agg(F.min("day").alias("stop_"))

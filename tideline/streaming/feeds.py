@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from tideline.operators.daily import compact
 from tideline.operators.lateness import LatePeriods
 from tideline.session import shared_path
+from tideline.sources import segments
+from tideline.sources.store import Store
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -63,6 +66,56 @@ def gaps(points: DataFrame, max_silence_ms: int) -> DataFrame:
     return rows.groupBy("coin").transformWithStateInPandas(GapFinder(max_silence_ms), "coin string, start_ms long, end_ms long, reason string", "Append", "None")
 
 
+class FirstDropper(StatefulProcessor):
+    """Remembers the connections of a stream; the first message of each is left out."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "conn_ms long", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [r for r in rows if len(r)]
+        if not parts:
+            return
+        batch = pd.concat(parts).sort_values(["recv_ms", "opened_ms", "path", "record_no"], kind="stable")
+        keep = []
+        for c in batch["conn_ms"].tolist():
+            known = self.seen.containsKey((c,))
+            if not known:
+                self.seen.updateValue((c,), (1,))
+            keep.append(known)
+        if any(keep):
+            yield batch[keep]
+
+    def close(self) -> None:
+        pass
+
+
+def first_dropped(records: DataFrame) -> DataFrame:
+    """Messages (coin, channel, opened_ms, path, record_no, recv_ms, conn_ms, raw) without the first of each connection of a
+    coin and channel, as they come, in order of receipt. Needs the RocksDB state store."""
+    rows = records.where("coin is not null and channel is not null and conn_ms is not null").select("coin", "channel", "opened_ms", "path", "record_no", "recv_ms", "conn_ms", "raw")
+    return rows.groupBy("coin", "channel").transformWithStateInPandas(FirstDropper(), rows.schema, "Append", "None")
+
+
+def recorded(messages: DataFrame, root: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Writes messages (coin, channel, recv_ms, conn_ms, raw) as segments of an hour each; a micro-batch that is repeated adds nothing."""
+    return (
+        messages.writeStream.foreachBatch(lambda df, n: segments.write(df, root) and None)
+        .option("checkpointLocation", checkpoint or shared_path(messages.sparkSession, "stream"))
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def close_days(spark: SparkSession, root: str, store: Store, today: int, max_silence_ms: int = 10_000) -> DataFrame:
+    """Every day before ``today`` whose segments are all closed goes into ``store``, its segments away; returns the report."""
+    records = segments.read(spark, root)
+    listed = records.groupBy("path").agg(*(F.first(c).alias(c) for c in ("coin", "channel", "hour_ms", "opened_ms", "closed")))
+    done = compact(store, records, listed, today, max_silence_ms)
+    segments.delete(spark, root, [r.path for r in done.segments.select("path").toLocalIterator()])
+    return done.report
+
+
 def hourly_partials(events: DataFrame, late: LatePeriods, store: str, checkpoint: str | None = None) -> StreamingQuery:
     """Adds each micro-batch to the store of late-aware partials; deliveries must come in receive order."""
     spark = events.sparkSession
