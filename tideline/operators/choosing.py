@@ -60,8 +60,9 @@ def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
     return out.crossJoin(F.broadcast(total)).withColumn("entered", (F.col("all_") - before).cast("long")).select("stage_no", "stage", "entered", "removed")
 
 
-def until_share(df: DataFrame, weight: str, order: Sequence[Column], share: float) -> DataFrame:
-    """Rows in order while the weight before them is less than ``share`` of all. For small tables, one row per item."""
+def until_share(df: DataFrame, weight: str, order: Sequence[Column], share: float, most: int | None = None) -> DataFrame:
+    """Rows in order while the weight before them is less than ``share`` of all, ``most`` of them at most. For small tables, one row per item."""
     upto = F.sum(weight).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     out = df.withColumn("cumulative", upto).withColumn("total", F.sum(weight).over(W.partitionBy()))
-    return out.where(F.col("cumulative") - F.col(weight) < F.col("total") * share)
+    out = out.where(F.col("cumulative") - F.col(weight) < F.col("total") * share)
+    return out if most is None else out.orderBy(*order).limit(most)

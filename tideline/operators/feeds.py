@@ -10,6 +10,7 @@ from tideline.functions.timeops import DAY_MS, day_start, floor_div, utc_day
 from tideline.operators.intervals import Intervals
 from tideline.operators.ordered import Runs, as_of
 from tideline.operators.stats import weighted_percentile
+from tideline.session import written
 from tideline.sources.tables import SCHEMAS
 
 
@@ -113,10 +114,14 @@ def half_spreads(quotes: DataFrame, gaps: DataFrame, days: DataFrame | None = No
         rows = rows.join(days.select("coin", "day").distinct(), ["coin", "day"], "left_semi")
     following = F.lead("time_ms").over(W.partitionBy("coin", "day").orderBy("time_ms", "ord"))
     rows = rows.withColumn("until", F.coalesce(following, day_start("day") + DAY_MS))
-    outages = Intervals(gaps, "coin", "start_ms", "end_ms").periods().select("key", "start_ms", "end_ms")
-    rows = gap_measure(gap_measure(rows, "coin", "time_ms", outages, "g0"), "coin", "until", outages, "g1")
+    # a quote stands inside one day, so it meets the disjoint outages of its coin and day only
+    pieces = Intervals(gaps, "coin", "start_ms", "end_ms").pieces.groupBy(F.col("key").alias("coin"), F.col("bucket").alias("day")).agg(F.collect_list(F.struct("s", "e")).alias("out_"))
+    rows = rows.join(pieces, ["coin", "day"], "left")
+    meet = lambda acc, x: acc + F.greatest(F.lit(0).cast("long"), F.least(x["e"], F.col("until")) - F.greatest(x["s"], F.col("time_ms")))
+    rows = rows.withColumn("lost_", F.when(F.col("out_").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate("out_", F.lit(0).cast("long"), meet))).drop("out_")
     spread = (F.col("ask_px") - F.col("bid_px")) / (F.col("ask_px") + F.col("bid_px")) * 1e4
-    rows = rows.withColumn("bad", invalid_quote()).withColumn("value", spread).withColumn("weight", F.col("until") - F.col("time_ms") - (F.col("g1") - F.col("g0")))
+    rows = rows.withColumn("bad", invalid_quote()).withColumn("value", F.when(~F.col("bad"), spread)).withColumn("weight", F.col("until") - F.col("time_ms") - F.col("lost_"))
+    rows = written(rows.select("coin", "bad", "value", "weight"), "spreads")
     found = weighted_percentile(rows.where("not bad"), ["coin"], "value", "weight", 50, "half_spread_bps")
     skipped = rows.groupBy("coin").agg(F.sum(F.col("bad").cast("long")).alias("skipped"))
     return skipped.join(found.select("coin", "half_spread_bps"), "coin")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tideline.functions.timeops import DAY_MS, HOUR_MS, utc_day
 from tideline.operators import copies as cp
-from tideline.operators.curves import average_cost, decomposition, order_runs
+from tideline.operators.curves import average_cost, decomposition, order_runs, to_episodes
 from tideline.operators.ordered import Runs, as_of
-from tideline.plans.copying import _COST, _O
+from tideline.plans.copying import _COST, _O, _RUNS
 from tideline.plans.copying import orders as executed
 from tideline.plans.registry import Registry
 from tideline.session import written
@@ -301,3 +301,15 @@ def lots_requested(spark: SparkSession, d: str) -> DataFrame:
     """Orders in whole lots of a twentieth."""
     o = read(spark, d, "copy_orders").where("requested is not null")
     return o.select("run_id", "order_no", F.round(cp.floor_lot(F.col("requested"), F.lit(0.05)) / 0.05).cast("long").alias("lots")).distinct()
+
+
+@query(f"""WITH {_BASE}, {_RUNS.split('AND price IS NOT NULL), ', 1)[1]}, ep AS (SELECT run_id, wallet, coin, episode, min(exec_t) opened, CASE WHEN sum(units) = 0 THEN max(exec_t) END closed FROM e GROUP BY ALL)
+SELECT ep.run_id, ep.wallet, ep.coin, ep.episode, count(*)::BIGINT n, sum(amount)::BIGINT paid FROM ep JOIN pay ON ep.run_id = pay.run_id AND ep.wallet = pay.wallet AND ep.coin = pay.coin AND ep.opened < pay.h AND (ep.closed IS NULL OR pay.h <= ep.closed) GROUP BY ALL""")
+def episode_payments(spark: SparkSession, d: str) -> DataFrame:
+    """Funding of every copied episode: each payment goes to the one that was open at its hour."""
+    c = _copies(spark, d)
+    rows = executed(spark, d).select(*cp.KEYS, "order_no", "exec_t", "price", "fee", "signed")
+    runs = order_runs(rows, cp.KEYS, "exec_t", ["order_no"], F.col("signed"), c.width)
+    ep = runs.groupBy(*cp.KEYS, "episode").agg(F.min("exec_t").alias("opened"), F.when(F.sum("units") == 0, F.max("exec_t")).alias("closed"))
+    hit, _ = to_episodes(c.payments(), ep, cp.KEYS, "hour_ms")
+    return hit.groupBy(*cp.KEYS, "episode").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("paid"))

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.functions.timeops import DAY_MS, HOUR_MS, floor_div, hour_floor, second_of, utc_day
+from tideline.functions.timeops import DAY_MS, floor_div, second_of, utc_day
 from tideline.operators import account as acc
-from tideline.operators.feeds import day_coverage, invalid_quote
+from tideline.operators.feeds import invalid_quote
 from tideline.operators.intervals import Intervals
 from tideline.operators.ordered import Runs, join_same
 from tideline.operators.selection import compared, notional
 from tideline.operators.stats import interpolated, nearest_ranks
-from tideline.plans.account import _STEPS, _steps
+from tideline.plans.account import _PARTS, _STEPS, _steps
 from tideline.plans.registry import Registry
 from tideline.plans.simulating import _MARKED, _copies
 from tideline.session import written
-from tideline.sources.messages import event_time, times_in
+from tideline.sources.messages import channel_and_coin, event_time, times_in
 from tideline.sources.tables import read
 
 query = Registry()
@@ -316,3 +316,46 @@ def effective_windows(spark: SparkSession, d: str) -> DataFrame:
     ms = F.greatest(F.lit(0).cast("long"), F.col("observed_ms") - F.col("gap_ms") - F.col("unrecorded_ms"))
     s = Runs(c.withColumn("ms", ms), ["coin"], "day", [], 64).running(upto=F.col("ms"))
     return s.groupBy("coin").agg(F.min("day").alias("first_day"), (F.min(F.when(F.col("upto") >= 3 * DAY_MS, F.col("day"))) + 1).alias("end_day"))
+
+
+@query(f"""WITH c AS (SELECT coin, sum({_CENTS})::BIGINT cents FROM (SELECT DISTINCT * FROM fills) WHERE coin IS NOT NULL GROUP BY coin),
+r AS (SELECT *, sum(cents) OVER (ORDER BY cents DESC, coin)::BIGINT cumulative, sum(cents) OVER ()::BIGINT total FROM c) SELECT coin, cents, cumulative, total FROM r WHERE cumulative - cents < total * 0.9 ORDER BY cents DESC, coin LIMIT 8""")
+def greedy_capped(spark: SparkSession, d: str) -> DataFrame:
+    """Coins by notional until they hold nine tenths of it, eight at most: a list of stated length."""
+    from tideline.operators.choosing import until_share
+
+    c = read(spark, d, "fills").distinct().where("coin is not null").groupBy("coin").agg(F.sum(notional()).alias("cents"))
+    return until_share(c, "cents", [F.desc("cents"), F.asc("coin")], 0.9, 8)
+
+
+@query("""SELECT json_extract_string(raw, '$.channel') channel, coalesce(json_extract_string(raw, '$.data.coin'), json_extract_string(raw, '$.data[0].coin')) coin, count(*)::BIGINT n FROM records WHERE json_valid(raw) GROUP BY ALL""")
+def routing(spark: SparkSession, d: str) -> DataFrame:
+    """Where messages go by what they say: their channel, and the coin of their data or of its first item."""
+    channel, coin = channel_and_coin("raw")
+    return read(spark, d, "records").where(F.try_parse_json("raw").isNotNull()).groupBy(channel.alias("channel"), coin.alias("coin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT address FROM fill_snapshots WHERE address IS NOT NULL AND address NOT IN (SELECT address FROM fills WHERE address IS NOT NULL AND time_ms IS NOT NULL)")
+def anti_unseen(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts that were delivered but have no fill of their own."""
+    seen = read(spark, d, "fills").where("time_ms is not null").select("address")
+    return read(spark, d, "fill_snapshots").select("address").where("address is not null").distinct().join(seen, "address", "left_anti")
+
+
+@query(f"""WITH {_PARTS}, c AS (SELECT *, row_number() OVER (PARTITION BY address, coin ORDER BY seq, part) rk FROM r)
+SELECT address, coin, episode, min(seq) first_seq, max(seq) last_seq, count(*)::BIGINT n_fills, max(rk) - min(rk) + 1 = count(*) contiguous FROM c GROUP BY ALL""")
+def episode_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The range of fill numbers of every episode, and whether its fills are all that lie in it."""
+    p = acc.parts(_steps(spark, d)).select(*acc.KEYS, "episode", "seq", "part")
+    rows = Runs(p, acc.KEYS, "seq", ["part"], 1 << 16).running(rk=F.lit(1).cast("long"))
+    n = F.count(F.lit(1))
+    return rows.groupBy(*acc.KEYS, "episode").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), n.alias("n_fills"), (F.max("rk") - F.min("rk") + 1 == n).alias("contiguous"))
+
+
+@query(f"""WITH k AS (SELECT address, batch_id, snapshot_ms, count(*) n FROM fill_snapshots WHERE address IS NOT NULL GROUP BY ALL), c AS (SELECT *, CASE WHEN n % 7 = 0 THEN 'failed' ELSE 'ok' END status FROM k)
+SELECT batch_id, count(CASE WHEN status = 'ok' THEN 1 END)::BIGINT ok, count(CASE WHEN status = 'failed' THEN 1 END)::BIGINT failed, sum(n)::BIGINT n_fills FROM c GROUP BY batch_id""")
+def ingest_report(spark: SparkSession, d: str) -> DataFrame:
+    """What an ingestion of every batch came to: accounts by status, and fills in all."""
+    rows = read(spark, d, "fill_snapshots").where("address is not null").groupBy("address", "batch_id", "snapshot_ms").agg(F.count(F.lit(1)).alias("n"))
+    failed = F.col("n") % 7 == 0
+    return rows.groupBy("batch_id").agg(_count(~failed).alias("ok"), _count(failed).alias("failed"), F.sum("n").alias("n_fills"))
