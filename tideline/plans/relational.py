@@ -340,11 +340,11 @@ def executed_ratio(spark: SparkSession, d: str) -> DataFrame:
 # -- ordered choices -----------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT address, rank, rank // 10 AS block FROM (SELECT address, row_number() OVER (ORDER BY sha256('pool:7:' || address), address) - 1 AS rank FROM (SELECT DISTINCT address FROM fills WHERE address IS NOT NULL))""")
+@query("""SELECT address, rank, rank // 10 AS block FROM (SELECT address, row_number() OVER (ORDER BY sha256('7:pool:' || address), address) - 1 AS rank FROM (SELECT DISTINCT address FROM fills WHERE address IS NOT NULL))""")
 def pool_sample(spark: SparkSession, d: str) -> DataFrame:
     """Addresses in seeded hash order, in blocks of ten."""
     addresses = read(spark, d, "fills").select("address").where("address is not null").distinct()
-    return block(hash_order(addresses, "address", "pool:7"), 10).select("address", "rank", "block")
+    return block(hash_order(addresses, "address", "7:pool"), 10).select("address", "rank", "block")
 
 
 @query(f"""WITH c AS (SELECT coin, sum({_NOTIONAL})::BIGINT cents, count(*)::BIGINT n FROM {FILLS} WHERE coin IS NOT NULL GROUP BY coin),
@@ -394,14 +394,14 @@ def greedy_additions(spark: SparkSession, d: str) -> DataFrame:
     return until_share(c, "cents", [F.desc("cents"), F.asc("coin")], 0.5)
 
 
-@query("""SELECT k, i, address, place FROM (SELECT k, i, address, row_number() OVER (PARTITION BY k, i ORDER BY sha256('7:control:' || k || ':' || i || ':' || address), address)::INTEGER place
+@query("""SELECT k, i, address, place FROM (SELECT k, i, address, row_number() OVER (PARTITION BY k, i ORDER BY sha256('7:controle:' || k || ':' || i || ':' || address), address)::INTEGER place
 FROM (SELECT DISTINCT wallet address FROM copy_orders WHERE wallet IS NOT NULL), (SELECT unnest([3, 5]) k), (SELECT unnest(range(20)) i)) WHERE place <= k""")
 def control_cohorts(spark: SparkSession, d: str) -> DataFrame:
     """Twenty seeded control groups of 3 and of 5 accounts each: a stated number of draws from all candidates."""
     wallets = read(spark, d, "copy_orders").select(F.col("wallet").alias("address")).where("address is not null").distinct()
     draws = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).cast("long").alias("i")) for k in (3, 5) for i in range(20))))
     rows = wallets.select("address", draws.alias("x")).select("address", "x.k", "x.i")
-    h = F.sha2(F.concat_ws(":", F.lit("7:control"), "k", "i", "address"), 256)
+    h = F.sha2(F.concat_ws(":", F.lit("7:controle"), "k", "i", "address"), 256)
     place = F.row_number().over(W.partitionBy("k", "i").orderBy("h", "address"))  # a top-k: partial ranks cut each draw before it moves
     return rows.withColumn("h", h).withColumn("place", place).where("place <= k").select("k", "i", "address", "place")
 
@@ -528,25 +528,15 @@ def running_volume(spark: SparkSession, d: str) -> DataFrame:
     return Runs(rows, ["coin"], "time_ms", ["tid", "sz"]).previous(["time_ms"]).select("coin", "time_ms", "tid", "volume", "prev_time_ms")
 
 
-_NOW = 15708 * D - D // 2
-
-
-@query(f"""WITH {_MERGE.format(n='o', c='true')}, w AS (SELECT coin, min(time_ms) since FROM trades WHERE time_ms IS NOT NULL GROUP BY coin HAVING min(time_ms) <= {_NOW}),
-d AS (SELECT coin, since, unnest(range(since // {D}, {_NOW} // {D} + 1)) AS day FROM w),
-x AS (SELECT *, day * {D} a, least((day + 1) * {D}, {_NOW}) b FROM d WHERE least((day + 1) * {D}, {_NOW}) > day * {D})
-SELECT x.coin, x.day, coalesce((SELECT sum(greatest(0, least(o.e, x.b) - greatest(o.s, x.a))) FROM o WHERE o.coin = x.coin AND o.s < x.b AND o.e > x.a), 0)::BIGINT gap_ms, greatest(0, since - a)::BIGINT unrecorded_ms, (b - a)::BIGINT observed_ms, (day + 1) * {D} <= {_NOW} AS complete FROM x""")
-def coverage_days(spark: SparkSession, d: str) -> DataFrame:
-    """Each coin's days since its first trade: outage, unrecorded and observed time, as of a stated moment."""
-    since = read(spark, d, "trades").where("time_ms is not null").groupBy("coin").agg(F.min("time_ms").alias("since_ms"))
-    return day_coverage(Intervals(read(spark, d, "gaps"), "coin", "start_ms", "end_ms"), since.where(F.col("since_ms") <= _NOW), _NOW)
-
-
 _LATEST = "(SELECT max(t) FROM (SELECT time_ms t FROM trades UNION ALL SELECT end_ms FROM gaps WHERE coin IS NOT NULL AND end_ms > start_ms))"
 
 
-@query(SQL["coverage_days"].replace(str(_NOW), _LATEST))
+@query(f"""WITH {_MERGE.format(n='o', c='true')}, w AS (SELECT coin, min(time_ms) since FROM trades WHERE time_ms IS NOT NULL GROUP BY coin HAVING min(time_ms) <= {_LATEST}),
+d AS (SELECT coin, since, unnest(range(since // {D}, {_LATEST} // {D} + 1)) AS day FROM w),
+x AS (SELECT *, day * {D} a, least((day + 1) * {D}, {_LATEST}) b FROM d WHERE least((day + 1) * {D}, {_LATEST}) > day * {D})
+SELECT x.coin, x.day, coalesce((SELECT sum(greatest(0, least(o.e, x.b) - greatest(o.s, x.a))) FROM o WHERE o.coin = x.coin AND o.s < x.b AND o.e > x.a), 0)::BIGINT gap_ms, greatest(0, since - a)::BIGINT unrecorded_ms, (b - a)::BIGINT observed_ms, (day + 1) * {D} <= {_LATEST} AS complete FROM x""")
 def coverage_to_date(spark: SparkSession, d: str) -> DataFrame:
-    """The same as of the latest instant of trades and gaps, so that every day and coin of the tables has its row."""
+    """Each coin's days since its first trade: outage, unrecorded and observed time, as of the latest instant of trades and gaps."""
     trades, gaps = read(spark, d, "trades").where("time_ms is not null"), read(spark, d, "gaps")
     latest = trades.select("time_ms").unionByName(gaps.where("coin is not null and end_ms > start_ms").select(F.col("end_ms").alias("time_ms"))).agg(F.max("time_ms")).first()[0]
     since = trades.groupBy("coin").agg(F.min("time_ms").alias("since_ms"))
