@@ -25,20 +25,24 @@ LOT_KIND, OTHER_KIND = "perp", "hip3"
 KEYS = ["address", "coin"]
 
 
+def unusable() -> Column:
+    """Whether a fill lacks what a position needs. Never null."""
+    missing = ~F.coalesce(F.col("side").isin("A", "B"), F.lit(False))
+    for c in ("px", "sz", "start_position"):
+        missing |= F.col(c).isNull()
+    return missing
+
+
 def ignored(fills: DataFrame) -> DataFrame:
     """address, n_ignored: fills of kinds with positions that cannot be used."""
-    missing = F.lit(False)
-    for c in ("px", "sz", "side", "start_position"):
-        missing |= F.col(c).isNull()
-    bad_side = ~F.coalesce(F.col("side").isin("A", "B"), F.lit(False))
-    return fills.where(F.col("kind").isin(LOT_KIND, OTHER_KIND)).distinct().groupBy("address").agg(F.sum((missing | bad_side).cast("long")).alias("n_ignored"))
+    return fills.where(F.col("kind").isin(LOT_KIND, OTHER_KIND)).distinct().groupBy("address").agg(F.sum(unusable().cast("long")).alias("n_ignored"))
 
 
 def usable(fills: DataFrame, bucket_ms: int | None = None) -> DataFrame:
     """Fills with a signed size (side B adds, A takes away), each once, placed by account, coin and time."""
     named = fills.select("address", "seq", "time_ms", "coin", "kind", "px", "sz", "side", "start_position", "crossed", "closed_pnl", "twap_id")
     whole = named.where(F.col("kind").isin(LOT_KIND, OTHER_KIND) & F.col("side").isin("A", "B")).dropna(subset=["address", "time_ms", "coin", "px", "sz", "start_position"])
-    once = bucketed(whole, KEYS, "time_ms", bucket_ms or split_ms(fills, KEYS, "time_ms")).distinct()
+    once = bucketed(whole, KEYS, "time_ms", split_ms(fills, KEYS, "time_ms") if bucket_ms is None else bucket_ms).distinct()
     return once.withColumn("signed", F.when(F.col("side") == "B", F.col("sz")).otherwise(-F.col("sz")))
 
 
@@ -205,7 +209,9 @@ class Measures:
         notional = F.coalesce(F.abs("sz") * F.col("px"), F.lit(0.0))
         known = inside if self.coins is None else inside.join(self.coins.withColumn("of_universe", F.lit(True)), "coin", "left")
         of = F.lit(True) if self.coins is None else F.coalesce("of_universe", F.lit(False))
+        missing = F.col("kind").isin(LOT_KIND, OTHER_KIND) & unusable()
         base = known.distinct().groupBy("address").agg(
+            F.sum(missing.cast("long")).alias("n_ignored"), F.sum((missing & (F.col("kind") == LOT_KIND)).cast("long")).alias("invalid_perp_fills"),
             F.count(F.lit(1)).alias("n_fills"), F.sum(notional).alias("notional"), F.sum(F.when(F.col("kind") == LOT_KIND, notional).otherwise(0.0)).alias("perp_notional"),
             F.count(F.when(F.lower("liquidated_user") == F.lower("address"), 1)).alias("liquidated_fills"), F.sum(F.when(of, notional).otherwise(0.0)).alias("u_"),
         )
@@ -226,8 +232,7 @@ class Measures:
         durations = interpolated(episodes_.where(closed), ["address"], F.col("closed") - F.col("opened"), {"median_duration_ms": 0.5}).drop("n")
         open_ = self.open_coins().drop("weight")
         out = base
-        perps = ignored(inside.where(F.col("kind") == LOT_KIND)).withColumnRenamed("n_ignored", "invalid_perp_fills")
-        for more in (ignored(inside), perps, broken, runs, durations, open_):
+        for more in (broken, runs, durations, open_):
             out = out.join(more, "address", "left")
         zero = ("n_ignored", "invalid_perp_fills", "n_breaks", "closed_episodes", "active_blocks", "n_violations", "unreconciled_episodes")
         out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in zero})

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.functions.timeops import DAY_MS
-from tideline.operators.ordered import Runs, as_of
+from tideline.functions.timeops import DAY_MS, floor_div
+from tideline.operators.ordered import UNCUT, Runs, as_of
 
 DUST = 1e-12
 
@@ -77,7 +77,7 @@ def cost_fold(rows: DataFrame, keys: Sequence[str], time: str, order: Sequence[s
     linear in the average before it, so the rows of a time bucket fold into one row of coefficients, and these rows fold
     along the run: no list is longer than a bucket's rows or a run's buckets. ``dust``: a smaller size is zero.
     """
-    at = F.floor(F.col(time) / F.lit(bucket_ms))
+    at = F.lit(0).cast("long") if bucket_ms == UNCUT else floor_div(time, bucket_ms)
     units = F.col(change)
     sizes = rows.groupBy(*keys, at.alias("at_")).agg(F.sum(units).alias("moved_"))
     before = W.partitionBy(*keys).orderBy("at_").rowsBetween(W.unboundedPreceding, -1)

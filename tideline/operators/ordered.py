@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tideline.functions.timeops import DAY_MS, HOUR_MS, floor_div, floor_to
 
 BUCKET = "bucket_"
-SHARE, LEAST_ROWS, WIDEST_DAYS = 1 / 128, 20_000, 4096
+SHARE, LEAST_ROWS = 1 / 128, 20_000
+UNCUT = 0  # the width of a bucket that holds a whole run
+_WHOLE = {"whole_runs": True}  # what a bucket column says of itself then
 
 
 def on_same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -36,7 +38,12 @@ def join_same(left: DataFrame, right: DataFrame, names: Sequence[str], how: str
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], time: str, bucket_ms: int) -> DataFrame:
-    """``df`` placed by keys and time bucket, so that all later steps on the same runs find their rows where they need them."""
+    """``df`` placed by keys and time bucket, so that all later steps on the same runs find their rows where they need them.
+
+    With ``UNCUT`` runs stay whole, and the column says so: nothing is carried from bucket to bucket then.
+    """
+    if bucket_ms == UNCUT:
+        return df.repartition(*keys).withColumn(BUCKET, F.lit(0).cast("long").alias(BUCKET, metadata=_WHOLE))
     return df.withColumn(BUCKET, floor_to(time, bucket_ms)).repartition(*keys, BUCKET)
 
 
@@ -44,14 +51,14 @@ def split_ms(df: DataFrame, keys: Sequence[str], time: str, share: float = SHARE
     """The bucket width at which no bucket of a run holds more than ``share`` of all rows, or ``least`` rows. Eager, over narrow rows.
 
     Follows from exact counts per run and day: as many days as the busiest day allows, an hour where a day is too much,
-    and one bucket for each run where no run is that long, as each cut costs a row.
+    and ``UNCUT`` where no run is that long, as each cut costs a row.
     """
     daily = df.where(F.col(time).isNotNull()).groupBy(*keys, floor_div(time, DAY_MS).alias("d_")).agg(F.count(F.lit(1)).alias("n_"))
     runs = daily.groupBy(*keys).agg(F.sum("n_").alias("n_"), F.max("n_").alias("top_"))
     total, longest, busiest = runs.agg(F.sum("n_"), F.max("n_"), F.max("top_")).first()
     room = max(least, int((total or 0) * share))
     if (longest or 0) <= room:
-        return WIDEST_DAYS * DAY_MS
+        return UNCUT
     return max(1, room // busiest) * DAY_MS if busiest <= room else HOUR_MS
 
 
@@ -66,7 +73,9 @@ class Runs:
         self.kept = df.columns
         self.df = df.where(F.col(time).isNotNull())
         if BUCKET not in df.columns:
-            self.df = self.df.withColumn(BUCKET, floor_to(time, bucket_ms))
+            cut = F.lit(0).cast("long").alias(BUCKET, metadata=_WHOLE) if bucket_ms == UNCUT else floor_to(time, bucket_ms)
+            self.df = self.df.select("*", cut.alias(BUCKET) if bucket_ms != UNCUT else cut)
+        self.uncut = bool(self.df.schema[BUCKET].metadata.get("whole_runs"))
         self.inside = W.partitionBy(*keys, BUCKET).orderBy(*self.order)
         self.along = W.partitionBy(*(f"c_{k}" for k in keys)).orderBy(f"c_{BUCKET}")
 
@@ -105,6 +114,16 @@ class Runs:
         edges, carried, out = [], [], list(self.kept)
         df = self.df.select("*", *(c.alias(f"x_{n}") for n, c in (sums | tops | alls).items()))
         near = {}
+        if self.uncut:
+            for columns, prefix, step in ((previous, prefixes[0], F.lag), (following, prefixes[1], F.lead)):
+                if columns:
+                    name = f"near_{prefix.rstrip('_')}_"
+                    near[name] = step(F.struct(*columns)).over(self.inside)
+                    out += [*(F.col(f"{name}.{c}").alias(f"{prefix}{c}") for c in columns), F.col(name).isNotNull().alias(f"has_{prefix.rstrip('_')}")]
+            out += [F.coalesce(F.sum(f"x_{n}").over(upto), F.lit(0)).alias(n) for n in sums]
+            out += [F.max(f"x_{n}").over(upto).alias(n) for n in tops]
+            out += [F.sum(f"x_{n}").over(W.partitionBy(*self.keys, BUCKET)).alias(n) for n in alls]
+            return (df.withColumns(near) if near else df).select(*out)
         for columns, prefix, edge, step in ((previous, prefixes[0], F.max_by, F.lag), (following, prefixes[1], F.min_by, F.lead)):
             if columns:
                 row, name = F.struct(*columns), prefix.rstrip("_")

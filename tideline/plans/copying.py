@@ -37,7 +37,7 @@ def _width(spark: SparkSession, d: str) -> int:
 
 def _runs(spark: SparkSession, d: str, width: int | None = None) -> DataFrame:
     rows = orders(spark, d).select(*KEYS, "order_no", "exec_t", "price", "fee", "signed")
-    return order_runs(rows, KEYS, "exec_t", ["order_no"], F.col("signed"), width or _width(spark, d))
+    return order_runs(rows, KEYS, "exec_t", ["order_no"], F.col("signed"), _width(spark, d) if width is None else width)
 
 
 def _costs(spark: SparkSession, d: str) -> DataFrame:
