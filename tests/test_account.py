@@ -145,3 +145,8 @@ def test_empty(spark):
     steps = acc.steps(frame(spark, []))
     parts = acc.parts(steps)
     assert acc.events(steps).count() == acc.episodes(parts).count() == acc.pnl_divergence(acc.episodes(parts)).count() == 0
+
+
+def test_lots(spark):
+    meta = spark.createDataFrame([("a", 0), ("b", 2), ("c", None)], "coin string, sz_decimals long")
+    assert {r.coin: r.lot for r in acc.lots_from_meta(meta).collect()} == {"a": 1.0, "b": 0.01, "c": None}

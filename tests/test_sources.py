@@ -4,9 +4,13 @@ import zipfile
 
 import pytest
 
-from tideline.sources import ingest, segments
-from tideline.sources.messages import canonical_json, event_time
+from pyspark.sql import functions as F
+
+from tideline.functions.timeops import overlap_ms
 from tideline.session import shared_path
+from tideline.sources import ingest, segments
+from tideline.sources.messages import canonical_json, channel_and_coin, event_time, times_in
+from tideline.sources.store import Repository, Store
 
 REC = [(10, 1, b'{"a":1}'), (11, 1, "é".encode()), (12, 2, b"")]
 
@@ -136,3 +140,45 @@ def test_names_and_messages(spark):
     assert [tuple(r) for r in got] == [('{"a":{"time":"x"},"b":1}', None), ('{"data":[{"time":5},{"time":6}]}', 5), ('{"data":{"time":7}', None), (None, None)]
     assert ingest.params_hash({"b": 1, "a": [2]}) == ingest.params_hash({"a": [2], "b": 1})
     assert shared_path(spark, "x") != shared_path(spark, "x")
+
+
+def test_archive_into_the_store(spark, tmp_path):
+    day = 86_400_000
+    lines = [f"{i},{10 + i % 3}.5,1,1,1,{5 * day + i * 400},true" for i in range(9)]
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("t.csv", "agg_trade_id,price\n" + "\n".join(lines))
+    digest = hashlib.sha256(path.read_bytes()).hexdigest()
+    store = Store(spark, shared_path(spark, "prices"))
+    with pytest.raises(ValueError):
+        ingest.store_archive(spark, str(path), "0" * 64, store, "x", 5)
+    with pytest.raises(ValueError):
+        ingest.store_archive(spark, str(path), digest, store, "x", 6)
+    assert path.exists()
+    assert ingest.store_archive(spark, str(path), digest, store, "x", 5) == 4 and not path.exists()
+    assert [(r.second, r.n_trades) for r in Repository(store).proxy("x", 5 * day, 6 * day).collect()] == [(5 * 86_400 + i, n) for i, n in enumerate((3, 2, 3, 1))]
+
+
+def test_recordings(spark, tmp_path):
+    say = lambda *t: '{"data":[%s]}' % ",".join(f'{{"time": {x}}}' for x in t)
+    (tmp_path / "a.trades.tsv").write_text("\n".join(f"{r}\t{m}" for r, m in [(10, say(1, 2)), (20, say(19)), (30, "cut\toff"), (40, say(5)), (50, say(49))]) + "\nno time\n")
+    m = ingest.tsv_recording(spark, str(tmp_path))
+    assert [(r.recv_ms, r.raw) for r in m.orderBy("recv_ms").collect()][2] == (30, "cut\toff") and m.count() == 5
+    connects = spark.createDataFrame([("a.trades.tsv", 5), ("a.trades.tsv", 35), ("a.trades.tsv", 99)], "file string, at_ms long")
+    live, first = ingest.without_snapshots(m, connects, ["file"], ["recv_ms"])
+    assert sorted(r.recv_ms for r in live.collect()) == [20, 30, 50] and sorted(r.recv_ms for r in first.collect()) == [10, 40]
+    assert [list(r.t) for r in m.orderBy("recv_ms").select(times_in("raw").alias("t")).collect()] == [[1, 2], [19], [], [5], [49]]
+
+
+def test_small_rules(spark):
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    assert ingest.require(df, ["a", "b"]) is df
+    with pytest.raises(ValueError):
+        ingest.require(df, ["a", "c", "d"])
+    raw = spark.createDataFrame([('{"channel":"bbo","data":{"coin":"X"}}',), ('{"channel":"trades","data":[{"coin":"Y"}]}',), ('{"channel":"pong"}',), ("no",)], "raw string")
+    channel, coin = channel_and_coin("raw")
+    assert [tuple(r) for r in raw.select(channel, coin).collect()] == [("bbo", "X"), ("trades", "Y"), ("pong", None), (None, None)]
+    spans = spark.createDataFrame([(0, 10, 5, 20), (0, 3, 5, 20), (0, 99, 5, 20)], "a long, b long, c long, d long")
+    assert [r.x for r in spans.select(overlap_ms(*(F.col(c) for c in "abcd")).alias("x")).collect()] == [5, 0, 15]
+    days = ingest.latest_coverage(spark.createDataFrame([("w", 0, 9, 5, "ok"), ("w", 0, 9, 7, "failed"), ("w", 0, 8, 9, "ok")], "address string, start_ms long, end_ms long, ingested_at_ms long, status string"), ["address", "start_ms", "end_ms"])
+    assert sorted((r.end_ms, r.status) for r in days.collect()) == [(8, "ok"), (9, "failed")]

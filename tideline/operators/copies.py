@@ -50,6 +50,7 @@ class Copies:
         self.prices = prices.where("last > 0 and coin is not null").groupBy("coin", "second").agg(F.min("last").alias("last"))
         self.rates = rates.groupBy("coin", "hour_ms").agg(F.min("rate").alias("rate"))
         self.width = split_ms(self.orders, KEYS, "exec_t")
+        self._index: DataFrame | None = None
 
     # -- marks and the funding index -----------------------------------------------------------------------------------------
 
@@ -61,9 +62,12 @@ class Copies:
 
     def index(self) -> DataFrame:
         """coin, hour_ms, owed: what one unit of size has paid up to and including each hour, in millionths of a ten-thousandth."""
+        if self._index is not None:
+            return self._index
         inside = self.rates.where((F.col("hour_ms") >= self.start_ms) & (F.col("hour_ms") < self.end_ms))
         term = F.coalesce(F.col("mark") * F.col("rate"), F.lit(0)).cast("long")
-        return written(Runs(self.marks(inside, "hour_ms"), ["coin"], "hour_ms", [], 64 * DAY_MS).running(owed=term).select("coin", "hour_ms", "mark", "rate", "owed"), "funding-index")
+        self._index = written(Runs(self.marks(inside, "hour_ms"), ["coin"], "hour_ms", [], 64 * DAY_MS).running(owed=term).select("coin", "hour_ms", "mark", "rate", "owed"), "funding-index")
+        return self._index
 
     def missing(self) -> DataFrame:
         """coin, hour_ms that open positions ask for and that have no rate."""

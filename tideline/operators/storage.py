@@ -36,6 +36,25 @@ class Bounded:
         return df.where(F.col(instant) < self.cutoff_ms)
 
 
+class Cursor:
+    """Time that only moves on, and views that hold what is known ``delay_ms`` after it happened, never more."""
+
+    def __init__(self, start_ms: int, delay_ms: int = 0):
+        self.now_ms, self.delay_ms, self.closed = start_ms, delay_ms, False
+
+    def advance(self, to_ms: int) -> None:
+        if self.closed or to_ms < self.now_ms:
+            raise LookaheadError(f"from {self.now_ms} to {to_ms}, closed: {self.closed}")
+        self.now_ms = to_ms
+
+    def view(self, df: DataFrame, instant: str) -> DataFrame:
+        """Rows of instants up to now less the delay."""
+        return df.where(F.col(instant) <= self.now_ms - self.delay_ms)
+
+    def close(self) -> None:
+        self.closed = True
+
+
 def window(df: DataFrame, instant: str, start_ms: int, end_ms: int) -> DataFrame:
     """Rows with start <= instant < end."""
     return df.where((F.col(instant) >= start_ms) & (F.col(instant) < end_ms))

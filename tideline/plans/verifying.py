@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tideline.functions.timeops import DAY_MS, floor_div, second_of, utc_day
 from tideline.operators import account as acc
-from tideline.operators.feeds import invalid_quote
+from tideline.operators.feeds import gap_measure, invalid_quote
 from tideline.operators.intervals import Intervals
-from tideline.operators.ordered import Runs, join_same
+from tideline.operators.ordered import Runs
 from tideline.operators.selection import compared, notional
 from tideline.operators.stats import interpolated, nearest_ranks
 from tideline.plans.account import _PARTS, _STEPS, _steps
@@ -359,3 +359,13 @@ def ingest_report(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "fill_snapshots").where("address is not null").groupBy("address", "batch_id", "snapshot_ms").agg(F.count(F.lit(1)).alias("n"))
     failed = F.col("n") % 7 == 0
     return rows.groupBy("batch_id").agg(_count(~failed).alias("ok"), _count(failed).alias("failed"), F.sum("n").alias("n_fills"))
+
+
+@query("""WITH g AS (SELECT DISTINCT coin, start_ms s, end_ms e FROM gaps WHERE coin IS NOT NULL AND end_ms > start_ms), f AS (SELECT *, max(e) OVER (PARTITION BY coin ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pe FROM g),
+i AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY coin ORDER BY s, e) k FROM f), o AS (SELECT coin, min(s) s, max(e) e FROM i GROUP BY coin, k),
+x AS (SELECT DISTINCT address, seq, coin, time_ms FROM fills WHERE coin IS NOT NULL AND time_ms IS NOT NULL) SELECT x.*, coalesce((SELECT sum(least(o.e, x.time_ms) - o.s) FROM o WHERE o.coin = x.coin AND o.s < x.time_ms), 0)::BIGINT out_ms FROM x""")
+def outage_before(spark: SparkSession, d: str) -> DataFrame:
+    """How long each fill's coin had been out before it, in all: whole outages, and the part so far of the one that lasts."""
+    outages = Intervals(read(spark, d, "gaps"), "coin", "start_ms", "end_ms").periods().select("key", "start_ms", "end_ms")
+    f = read(spark, d, "fills").where("coin is not null").select("address", "seq", "coin", "time_ms").distinct()
+    return gap_measure(f, "coin", "time_ms", outages, "out_ms")

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tideline.functions.timeops import DAY_MS
-from tideline.operators.storage import LookaheadError, content_hashes, content_sha256, in_spans, intersect, multiset_difference, normalize, overlapping, replace_interval, window
-from tideline.sources.tables import PARTITIONS, SCHEMAS, empty
+from tideline.operators.storage import LookaheadError, content_hashes, in_spans, intersect, multiset_difference, normalize, overlapping, replace_interval, window
+from tideline.sources.tables import PARTITIONS, SCHEMAS
 
 SPANS, LOCK, VERSION = "_spans.json", "_lock", "version_"
 Span = tuple[int, int]
@@ -355,6 +355,3 @@ class Repository:
         """partition columns, n, sha256 of the rows of every partition with their instant in [start, end)."""
         self._bounded(end)
         return content_hashes(window(self.store.scan(table), instant, start, end), self.store.columns[table], keys)
-
-
-__all__ = ["Conflict", "MissingPartition", "Outcome", "Repository", "Store", "content_sha256", "empty"]

@@ -59,7 +59,3 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     return reader.parquet(f"{root}/{name}.parquet")
-
-
-def empty(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], SCHEMAS[name])
