@@ -31,3 +31,9 @@ def test_tie_takes_the_earlier(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "c string, t long")
     assert nearest(df, df, "c", "t", "c", "t", 5).count() == 0
+
+
+def test_names_of_ours_may_be_theirs(spark):
+    left = spark.createDataFrame([("a", 10, 1, 2, 3, 4, 5)], "e_ string, t_ long, l_ int, b_ int, best_ int, place_ int, tick_ int")
+    right = spark.createDataFrame([("a", 12, 9), ("a", 40, 9)], "entity_ string, t long, inside_ int")
+    assert [tuple(r) for r in nearest(left, right, "e_", "t_", "entity_", "t", 5).collect()] == [("a", 10, 1, 2, 3, 4, 5, 12)]

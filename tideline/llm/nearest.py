@@ -41,14 +41,14 @@ def nearest(left: DataFrame, right: DataFrame, left_entity: str, left_time: str,
     """
     width = max(1, tick_ms or tolerance_ms)
     served = ticks(right, right_entity, right_time, tolerance_ms, width)
-    rows = left.where(F.col(left_entity).isNotNull() & F.col(left_time).isNotNull())
-    t = F.col(left_time).cast("long")
-    joined = rows.withColumn("tick_of_left_", floor_div(t, width)).join(served, (F.col(left_entity) == F.col("entity_")) & (F.col("tick_of_left_") == F.col("tick_")))
-    place = count_upto(F.col("inside_"), t)
-    joined = joined.withColumn("place_", place)
+    t = F.col("t_")
+    rows = left.select(F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("l_"), F.col(f"`{left_entity}`").alias("e_"), F.col(f"`{left_time}`").cast("long").alias("t_")).where("e_ is not null and t_ is not null")
+    joined = rows.withColumn("tick_of_left_", floor_div(t, width)).join(served, (F.col("e_") == F.col("entity_")) & (F.col("tick_of_left_") == F.col("tick_")))
+    joined = joined.withColumn("place_", count_upto(F.col("inside_"), t))
     # the last instant at or before t, inside the tick or before it; the first at or after t likewise
     back_at = F.coalesce(F.when(F.col("place_") > 0, F.get("inside_", F.col("place_") - 1)), F.col("before_"))
     ahead_at = F.when(back_at == t, t).otherwise(F.coalesce(F.get("inside_", F.col("place_")), F.col("after_")))
     back, ahead = t - F.col("b_"), F.col("a_") - t
     best = F.when((back <= ahead) | ahead.isNull(), F.col("b_")).otherwise(F.col("a_"))
-    return joined.withColumn("b_", back_at).withColumn("a_", ahead_at).withColumn(out, best).where(F.abs(F.col(out) - t) <= tolerance_ms).select(*left.columns, out)
+    near = joined.withColumn("b_", back_at).withColumn("a_", ahead_at).withColumn("best_", best).where(F.abs(F.col("best_") - t) <= tolerance_ms)
+    return near.select(*(F.col(f"l_.`{c}`").alias(c) for c in left.columns), F.col("best_").alias(out))
