@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.numbers import rounded
 from tideline.functions.timeops import DAY_MS, utc_day
 from tideline.operators.curves import average_cost, drawdowns, ladder_fill, order_runs, returns, sharpe, together
 from tideline.operators.ordered import Runs, split_ms
@@ -59,8 +60,8 @@ _COST = f"""{_RUNS}, k AS (SELECT run_id, wallet, coin, episode, min(exec_t) ope
 @query(f"WITH {_COST} SELECT run_id, wallet, coin, episode, opened, n_parts, round(z[3], 2) realized, round(z[2], 8) AS cost, round(z[1], 6) AS size, round(notional, 2) notional FROM k")
 def average_costs(spark: SparkSession, d: str) -> DataFrame:
     """Realized result, average cost and size left of each copied episode."""
-    rounded = [F.round(c, n).alias(c) for c, n in (("realized", 2), ("cost", 8), ("size", 6), ("notional", 2))]
-    return _costs(spark, d).select(*KEYS, "episode", "opened", "n_parts", *rounded)
+    places = (("realized", 2), ("cost", 8), ("size", 6), ("notional", 2))
+    return _costs(spark, d).select(*KEYS, "episode", "opened", "n_parts", *(rounded(c, n).alias(c) for c, n in places))
 
 
 @query(f"WITH {_COST} SELECT run_id, count(*)::BIGINT n, round(avg(CASE WHEN round(z[3], 6) > 0 THEN 1.0 ELSE 0.0 END), 9) hit_rate FROM k WHERE z[1] = 0 GROUP BY run_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.numbers import rounded
 from tideline.functions.timeops import DAY_MS, HOUR_MS, utc_day
 from tideline.operators import copies as cp
 from tideline.operators.curves import average_cost, decomposition, order_runs, to_episodes
@@ -126,7 +127,7 @@ def asset_results(spark: SparkSession, d: str) -> DataFrame:
     for more in (made, fees, paid):
         all_ = all_.join(more, "coin", "left")
     all_ = all_.na.fill(0).withColumn("major", F.col("coin").isin(*MAJORS))
-    sums = [F.round(F.sum(x), 2).alias(x) for x in ("realized", "unrealized")] + [F.sum(x).cast("long").alias(x) for x in ("fees", "paid", "n", "notional")]
+    sums = [rounded(F.sum(x), 2).alias(x) for x in ("realized", "unrealized")] + [F.sum(x).cast("long").alias(x) for x in ("fees", "paid", "n", "notional")]
     one = all_.groupBy("coin", "major").agg(*sums)
     return one.unionByName(all_.groupBy(F.when(F.col("major"), "(majors)").otherwise("(others)").alias("coin"), "major").agg(*sums))
 
@@ -163,7 +164,7 @@ def copy_metrics(spark: SparkSession, d: str) -> DataFrame:
     notional = c.orders.groupBy(*cp.ACCOUNT).agg(F.sum(F.abs("units") * F.col("px")).alias("notional"))
     m = cp.metrics(written(c.curve(), "curves"), cp.ACCOUNT, notional)
     places = {"net_return": 9, "sharpe": 6, "depth": 9, "turnover": 6, "max_leverage": 6}
-    return m.select(*cp.ACCOUNT, *(F.round(x, n).alias(x) for x, n in places.items()), "frozen")
+    return m.select(*cp.ACCOUNT, *(rounded(x, n).alias(x) for x, n in places.items()), "frozen")
 
 
 @query(f"""WITH {_MARKED}, ex AS (SELECT run_id, equity, gross, CASE WHEN equity > 0 AND gross * 100 - equity * 2 > 0 THEN gross * 100 - equity * 2 END x FROM cv)
