@@ -61,12 +61,12 @@ class Copies:
         return found.withColumn("mark", whole(F.col("m_last"), 10_000)).drop("second_", "m_last", "m_second")
 
     def index(self) -> DataFrame:
-        """coin, hour_ms, owed: what one unit of size has paid up to and including each hour, in millionths of a ten-thousandth."""
+        """coin, hour_ms, owed, known: what one unit of size has paid up to and including each hour, in millionths of a ten-thousandth, and at how many hours."""
         if self._index is not None:
             return self._index
         inside = self.rates.where((F.col("hour_ms") >= self.start_ms) & (F.col("hour_ms") < self.end_ms))
         term = F.coalesce(F.col("mark") * F.col("rate"), F.lit(0)).cast("long")
-        self._index = written(Runs(self.marks(inside, "hour_ms"), ["coin"], "hour_ms", [], 64 * DAY_MS).running(owed=term).select("coin", "hour_ms", "mark", "rate", "owed"), "funding-index")
+        self._index = written(Runs(self.marks(inside, "hour_ms"), ["coin"], "hour_ms", [], 64 * DAY_MS).running(owed=term, known=F.col("mark").isNotNull().cast("long")).select("coin", "hour_ms", "mark", "rate", "owed", "known"), "funding-index")
         return self._index
 
     def missing(self) -> DataFrame:
@@ -103,6 +103,25 @@ class Copies:
         rows = self._owed(rows, F.least("until", F.lit(self.end_ms - 1)), index, "to_")
         return rows.select(*KEYS, "t", "until", "size", (F.col("size") * (F.col("to_") - F.col("from_"))).alias("paid"), F.col("from_").alias("owed_before"))
 
+    def episode_payments(self, episodes: DataFrame) -> DataFrame:
+        """KEYS, episode, n, paid: number and sum of the payments within opened < hour <= closed, of episodes that have any.
+
+        ``episodes``: KEYS, episode (from 1), opened, closed (null: still open); those of a key do not overlap. Between two
+        instants a key holds one size in one episode, so two readings of the index stand for all payments between them.
+        """
+        zero, turn = F.lit(0).cast("long"), lambda t, n: F.struct(F.col(t).alias("t"), zero.alias("units"), n.cast("long").alias("turn"))
+        turns = episodes.select(*KEYS, F.explode(F.array(turn("opened", F.col("episode")), turn("closed", -F.col("episode")))).alias("x")).select(*KEYS, "x.*").where("t is not null")
+        at = self.orders.select(*KEYS, F.col("exec_t").alias("t"), "units", zero.alias("turn")).unionByName(turns)
+        at = at.groupBy(*KEYS, "t").agg(F.sum("units").alias("units_"), F.sum("turn").alias("turn_"))
+        rows = Runs(at, KEYS, "t", [], self.width).annotate(following=["t"], running={"size": F.col("units_"), "episode": F.col("turn_")})
+        last = F.lit(self.end_ms - 1).cast("long")
+        rows = rows.where("size != 0 and episode != 0").select(*KEYS, "episode", "size", hour_floor("t").alias("a_"), hour_floor(F.least(F.coalesce("next_t", last), last)).alias("b_"))
+        rows = written(rows.where("a_ < b_"), "stretches")
+        for tag in "ab":
+            rows = as_of(rows, self.index(), ["coin"], f"{tag}_", "hour_ms", ["owed", "known"], prefix=f"{tag}_")
+        past = lambda c: F.coalesce(f"b_{c}", zero) - F.coalesce(f"a_{c}", zero)
+        return rows.groupBy(*KEYS, "episode").agg(F.sum(past("known")).alias("n"), F.sum(F.col("size") * past("owed")).alias("paid")).where("n > 0")
+
     # -- equity ----------------------------------------------------------------------------------------------------------------
 
     def curve(self) -> DataFrame:

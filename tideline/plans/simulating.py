@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions.numbers import rounded
 from tideline.functions.timeops import DAY_MS, HOUR_MS, utc_day
 from tideline.operators import copies as cp
-from tideline.operators.curves import average_cost, decomposition, order_runs, to_episodes
+from tideline.operators.curves import average_cost, decomposition, order_runs
 from tideline.operators.ordered import Runs, as_of
 from tideline.plans.copying import _COST, _O, _RUNS
 from tideline.plans.copying import orders as executed
@@ -309,8 +309,7 @@ SELECT ep.run_id, ep.wallet, ep.coin, ep.episode, count(*)::BIGINT n, sum(amount
 def episode_payments(spark: SparkSession, d: str) -> DataFrame:
     """Funding of every copied episode: each payment goes to the one that was open at its hour."""
     c = _copies(spark, d)
-    rows = executed(spark, d).select(*cp.KEYS, "order_no", "exec_t", "price", "fee", "signed")
-    runs = order_runs(rows, cp.KEYS, "exec_t", ["order_no"], F.col("signed"), c.width)
+    rows = executed(spark, d).select(*cp.KEYS, "order_no", "exec_t", "price", "fee", "signed").distinct()
+    runs = order_runs(rows, cp.KEYS, "exec_t", ["order_no", "price", "fee", "signed"], F.col("signed"), c.width)
     ep = runs.groupBy(*cp.KEYS, "episode").agg(F.min("exec_t").alias("opened"), F.when(F.sum("units") == 0, F.max("exec_t")).alias("closed"))
-    hit, _ = to_episodes(c.payments(), ep, cp.KEYS, "hour_ms")
-    return hit.groupBy(*cp.KEYS, "episode").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("paid"))
+    return c.episode_payments(ep)
